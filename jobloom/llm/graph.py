@@ -8,36 +8,29 @@ from pyspark.sql import functions as F
 from jobloom.session import settle
 
 
+def renamed(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """``df`` with ``column`` mapped through ``names`` (from, to); values without a name stay."""
+    other = names.select(F.col("from").alias("_from"), F.col("to").alias("_to"))
+    out = df.join(other, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column))
+    return out.drop("_from", "_to")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); root is the smallest node of its component.
+    """(node, root) for the nodes of ``edges`` (a, b) whose component has a smaller node; root is the same for all of
+    a component, and of its nodes.
 
     Every round maps each node to its smallest neighbour, if that is smaller, and contracts the edges under this
-    map. The maps point downwards only, so following them ends; the edge list shrinks to nothing in few rounds.
+    map; a node's root is found by going through the rounds' maps in order. Edges shrink to nothing in few rounds.
     Hot nodes only meet map-side minima. Null ends are ignored.
     """
     edges = settle(edges.where("a <> b").select("a", "b").distinct())
-    known = settle(
-        edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
-    )
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
+    maps = []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        down = settle(
-            both.groupBy("a").agg(F.min("b").alias("low")).where("low < a").select(F.col("a").alias("from"), F.col("low").alias("to"))
-        )
-        hop = down
-        while True:  # follow the map to its end: distances double
-            nxt = hop.alias("x").join(down.alias("y"), F.col("x.to") == F.col("y.from"), "left").select(
-                F.col("x.from").alias("from"), F.coalesce("y.to", "x.to").alias("to"), F.col("y.to").isNotNull().alias("moved")
-            )
-            nxt = settle(nxt)
-            hop = down = nxt.select("from", "to")
-            if nxt.where("moved").isEmpty():
-                break
-        move = lambda df, c: (
-            df.join(hop.select(F.col("from").alias(f"_{c}"), F.col("to").alias(f"_{c}2")), F.col(c) == F.col(f"_{c}"), "left")
-            .withColumn(c, F.coalesce(f"_{c}2", c))
-            .drop(f"_{c}", f"_{c}2")
-        )
-        known = settle(move(known, "root"))
-        edges = settle(move(move(edges, "a"), "b").where("a <> b").distinct())
-    return known
+        down = both.groupBy("a").agg(F.min("b").alias("low")).where("low < a").select(F.col("a").alias("from"), F.col("low").alias("to"))
+        maps.append(settle(down))
+        edges = settle(renamed(renamed(edges, "a", maps[-1]), "b", maps[-1]).where("a <> b").distinct())
+    for names in maps:
+        nodes = renamed(nodes, "root", names)
+    return settle(nodes.where("node <> root"))

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.graph import components
+from jobloom.llm.graph import components, renamed
 from jobloom.llm.text import WordHash, map_rows, scramble, shingle_hashes
 from jobloom.session import settle
 
 SUB_KEYS, SUB_ROWS = 12, 2
+BROADCAST_ROWS = 100_000
 
 
 def _shingles(text: str | None, words: WordHash, width: int) -> np.ndarray:
@@ -51,7 +52,9 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
             found = _shingles(row["text"], words, width)
             out = {"doc": row["doc"], "th": row["th"], "n": len(found), "node": None, "keys": None}
             if len(found):
-                lows = np.array([scramble(found * o + b).min() for o, b in zip(odd, add)], np.uint64)
+                lows = np.full(len(odd), np.uint64(2**64 - 1))
+                for at in range(0, len(found), 2048):  # shingle hashes are well mixed: one odd factor each permutes them
+                    np.minimum(lows, (odd[:, None] * found[None, at : at + 2048] + add[:, None]).min(1), out=lows)
                 lows = lows.reshape(2 * SUB_KEYS, SUB_ROWS)
                 acc = np.arange(2 * SUB_KEYS, dtype=np.uint64)
                 for k in range(SUB_ROWS):
@@ -77,6 +80,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col:
 
     arrow = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     texts = rows.join(wanted, F.col("d").eqNullSafe(F.col("doc")) & (F.col("t") == F.col("th"))).select("node", "text")
     return map_rows(texts, run, "node binary, shingles array<long>", arrow, 500)
 
@@ -129,43 +134,41 @@ def near_duplicates(
             F.min("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct(F.col("doc").isNull(), "doc", "th")).alias("of")
         )
     )
-    keys = settle(_table_keys(nodes).join(nodes.select("node", "n"), "node"))
+    keys = _table_keys(nodes).join(nodes.select("node", "n"), "node")
     buckets = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     keys = settle(keys.join(buckets.select("key"), "key"))
-    wanted = nodes.join(keys.select("node").distinct(), "node").select("node", F.col("of.doc").alias("doc"), F.col("of.th").alias("th"))
+    wanted = keys.select("node").distinct().join(nodes, "node")
+    wanted = settle(wanted.select("node", F.col("of.doc").alias("doc"), F.col("of.th").alias("th")))
     sets = settle(_sets(docs, wanted, width, id_col, text_col).dropDuplicates(["node"]))
 
     near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    firsts = keys.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("m")), "node").alias("r"))
-    pairs = (
-        keys.join(firsts, "key").select(F.col("node").alias("a"), "n", "r.b", "r.m").where((F.col("a") != F.col("b")) & near)
-    ).select("a", "b").distinct()
-    edges = settle(_verified(pairs, sets, percent))
-    for nth in range(1, rounds + 1):
-        parted = _parted(keys, components(edges))
-        pick = F.struct("root", F.xxhash64(F.lit(nth), "key", "node"))
-        firsts = parted.groupBy("key").agg(
+    members = keys.withColumn("root", F.col("node"))
+    roots = nodes.select("node", F.col("node").alias("root")).limit(0)
+    for nth in range(rounds):
+        pick = F.struct("root", F.xxhash64(F.lit(nth), "key", "node")) if nth else F.struct("node")
+        firsts = members.groupBy("key").agg(
             F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb")), pick).alias("r")
         )
         pairs = (
-            parted.join(firsts, "key")
+            members.join(firsts, "key")
             .select(F.col("node").alias("a"), "n", "root", "r.b", "r.m", "r.rb")
             .where((F.col("root") != F.col("rb")) & near)
         )
-        edges = settle(edges.union(_verified(pairs.select("a", "b").distinct(), sets, percent)))
-    parted = settle(_parted(keys, components(edges)))
-    sizes = parted.groupBy("key", "root").agg(F.count("*").alias("c"))
-    major = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
-    minor = parted.join(major, "key").where("root <> major").select(
-        "key", F.col("node").alias("a"), "n", F.col("root").alias("ra"), F.col("major")
-    )
-    others = parted.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-    pairs = minor.join(
-        others, (minor["key"] == others["key"]) & (F.col("ra") != F.col("rb")) & near & ((F.col("rb") == F.col("major")) | (F.col("a") < F.col("b")))
-    ).select("a", "b").distinct()
-    edges = settle(edges.union(_verified(pairs, sets, percent)))
+        roots = _linked(roots, _verified(pairs.select("a", "b").distinct(), sets, percent))
+        members = _apart(keys, roots)
+        if members.isEmpty():
+            break
+    else:
+        sizes = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+        major = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
+        minor = members.join(major, "key").where("root <> major").select(
+            F.col("key").alias("k"), F.col("node").alias("a"), "n", F.col("root").alias("ra"), "major"
+        )
+        others = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
+        once = (F.col("rb") == F.col("major")) | (F.col("a") < F.col("b"))
+        pairs = minor.join(others, (F.col("k") == F.col("key")) & (F.col("ra") != F.col("rb")) & near & once)
+        roots = _linked(roots, _verified(pairs.select("a", "b").distinct(), sets, percent))
 
-    roots = components(edges)
     at = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("of.doc").alias("doc"))
     smallest = at.groupBy("root").agg(F.min("doc").alias("component"))
     of_node = at.join(smallest, "root").select(F.col("node").alias("_node"), "component")
@@ -173,11 +176,19 @@ def near_duplicates(
     return linked.select("doc", "th", "n", F.coalesce("component", "doc").alias("component"))
 
 
-def _parted(keys: DataFrame, roots: DataFrame) -> DataFrame:
+def _linked(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after linking what ``edges`` join: edges are contracted to roots first."""
+    names = roots.select(F.col("node").alias("from"), F.col("root").alias("to"))
+    found = components(renamed(renamed(edges, "a", names), "b", names))
+    moved = renamed(roots, "root", found.select(F.col("node").alias("from"), F.col("root").alias("to")))
+    return settle(moved.union(found))  # ends of contracted edges are roots, so no node comes twice
+
+
+def _apart(keys: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the buckets that still hold two components or more, with their component's root."""
     placed = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return placed.join(apart.select("key"), "key")
+    return settle(placed.join(apart.select("key"), "key"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
