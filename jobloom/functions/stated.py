@@ -28,7 +28,7 @@ def stated(text: Column, phrases: dict[str, str], order: list[str]) -> Column:
     pattern = rf"(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])"
     hits = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
     kinds = F.create_map(*[F.lit(x) for pair in phrases.items() for x in pair])
-    named = F.transform(hits, lambda h: F.get(kinds, F.trim(F.regexp_replace(h, r"[\s_-]+", " "))))
+    named = F.transform(hits, lambda h: F.try_element_at(kinds, F.trim(F.regexp_replace(h, r"[\s_-]+", " "))))
     out = F.lit("unspecified")
     for kind in reversed(order):
         out = F.when(F.array_contains(named, kind), kind).otherwise(out)

@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Gender notations, arrangement words, legal forms and measured thresholds of the catalogue's rules.
 LETTER_NOTATION = r"(?i)\(\s*[mwfdax](?:\s*[/|]\s*[mwfdax])+\s*\)"
@@ -31,7 +32,7 @@ MINIMUM_TEXT_OVERLAP = 0.85
 MINIMUM_MARKER_LENGTH = 4
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normal_text(values: pd.Series) -> pd.Series:
     """NFKC, case folding, whitespace runs as one space; null stays null."""
     return values.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()))
@@ -113,7 +114,7 @@ def _without_markup(value: str) -> str:
     return "\n".join(line for line in (" ".join(raw.split()) for raw in seen.split("\n")) if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def plain_text(values: pd.Series) -> pd.Series:
     """Text of markup. Markup that was escaped shows after one layer; so layers come off until nothing changes, ten
     at most."""
@@ -131,8 +132,9 @@ def plain_text(values: pd.Series) -> pd.Series:
 def hosts(text: Column, ignored: tuple[str, ...] = ()) -> Column:
     """Distinct hosts of the absolute URLs in a text, in order, without www, and outside the ignored domains."""
     found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"https?://([a-z0-9.-]+\.[a-z]{2,})"), F.lit(1)), lambda h: F.regexp_replace(h, r"^www\.", ""))
-    for domain in ignored:
-        found = F.filter(found, lambda h, d=domain: ~((h == d) | F.endswith(h, F.lit("." + d))))
+    if ignored:
+        domains = "|".join(d.replace(".", r"\.") for d in ignored)
+        found = F.filter(found, lambda h: ~F.rlike(h, F.lit(rf"(^|\.)({domains})$")))
     return F.array_distinct(found)
 
 

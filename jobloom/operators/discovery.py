@@ -85,7 +85,7 @@ def due_for_website(companies: DataFrame, job_counts: DataFrame, now: datetime,
 def due_for_discovery(companies: DataFrame, boards: DataFrame, now: datetime, days: dict[str, int]) -> DataFrame:
     """Companies to look for again: no board yet, or no settled one and every board past its status's recheck time."""
     age = F.create_map(*[F.lit(x) for kv in days.items() for x in kv])
-    stale = F.col("last_checked_at") + F.make_interval(days=F.coalesce(F.get(age, F.col("status")), F.lit(0))) < F.lit(now).cast("timestamp_ntz")
+    stale = F.col("last_checked_at") + F.make_interval(days=F.coalesce(F.try_element_at(age, F.col("status")), F.lit(0))) < F.lit(now).cast("timestamp_ntz")
     settled = F.col("pinned") | F.col("status").isin("confirmed", "named", "blocked")
     per = boards.groupBy("company_id").agg(F.some(settled).alias("settled"), F.every(F.coalesce(stale, F.lit(True))).alias("stale"))
     joined = companies.join(per, "company_id", "left")

@@ -3,28 +3,36 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from jobloom.functions.text import normal_text
 
 # Token shapes and the words that never name a skill.
-TOKEN = r"[\p{L}\p{N}](?:[\p{L}\p{N}]|[+#]|[./](?=[\p{L}\p{N}]))*"
 PUNCTUATED = r"[A-Za-z]\w*(?:[./][A-Za-z]\w*)+|[A-Za-z]\w*[+#]+"
 CAPITALISED = r"[A-ZÀ-Þ][\wÀ-ɏ]*"
 STOPWORDS = frozenset(
     "a an and as at but by for from if in is it of on or our the to we with you your der die das und mit für von im wir du".split()
 )
+_SEPARATORS, _OUTER = re.compile(r"[\s_\-\u2010-\u2015]+"), re.compile(r"^[^\w+#]+|[^\w+#]+$")
 MAX_TOKENS, GRAMMATICAL, MEASURABLE = 4, 0.25, 30
 
 
-def form(c):
-    """A surface form's normal form: case folded, dashes and underscores as spaces, outer punctuation off."""
-    spaced = F.regexp_replace(normal_text(c), r"[\s_\-‐-―]+", " ")
-    return F.regexp_replace(spaced, r"^[^\p{L}\p{N}+#]+|[^\p{L}\p{N}+#]+$", "")
+def plain_form(value: str) -> str:
+    """A surface form's normal form: NFKC, case folded, runs of spaces, dashes and underscores as one space, outer
+    punctuation off."""
+    same = value.lower() if value.isascii() else unicodedata.normalize("NFKC", value).casefold()
+    return _OUTER.sub("", _SEPARATORS.sub(" ", same))
+
+
+@F.pandas_udf(StringType())
+def form(values: pd.Series) -> pd.Series:
+    return values.map(plain_form, na_action="ignore")
 
 
 def load_vocabulary(surface_forms: DataFrame) -> DataFrame:
@@ -42,53 +50,54 @@ def resolve_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return joined.select("term", outcome.alias("outcome"), "concept")
 
 
-def token_spans(docs: DataFrame) -> DataFrame:
-    """(id, text, tokens): tokens as structs of word, start and end, end exclusive, in code points.
-
-    The text between tokens is what the pattern splits off, so offsets are sums of lengths.
-    """
-    words = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
-    gaps = F.transform(F.split("text", TOKEN, -1), F.length)
-    cut = docs.select("id", "text", F.explode(F.array(words)).alias("words"), gaps.alias("gaps"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out"))
+def phrases(docs: DataFrame, longest: int) -> DataFrame:
+    """(id, words, first, start, end, surface_form, form): every run of 1 to ``longest`` tokens of a text, with offsets in
+    code points, end exclusive."""
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["word"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["word"].alias("word"), start.alias("start"), end.alias("end")))).alias("out"))
-
-    zipped = F.zip_with("words", F.slice("gaps", F.lit(1), F.size("words")), lambda w, g: F.struct(w.alias("word"), g.alias("gap")))
-    return cut.select("id", "text", F.aggregate(zipped, begin, step, lambda acc: acc["out"]).alias("tokens"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch["id"], batch["text"]):
+                at = [m.span() for m in _WORD_TOKEN.finditer(text or "")]
+                for n in range(1, longest + 1):
+                    for k in range(len(at) - n + 1):
+                        start, end = at[k][0], at[k + n - 1][1]
+                        surface = text[start:end]
+                        rows.append((i, n, k, start, end, surface, plain_form(surface)))
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["id", "words", "first", "start", "end", "surface_form", "form"]
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text").mapInPandas(run, f"id {kind}, words int, first int, start int, end int, surface_form string, form string")
 
 
 def extract_mentions(docs: DataFrame, vocabulary: DataFrame, max_words: int = 6) -> DataFrame:
     """(id, surface_form, form, concept, start, end): phrases of the vocabulary, longest first over the whole text.
 
     All phrases of n words are taken before any of n - 1, left to right, and a phrase must not overlap one taken
-    before. Phrases meet the vocabulary in a join, so neither texts nor vocabulary need to fit one task.
+    before. Phrases meet the vocabulary in a join, so neither texts nor vocabulary need to fit one task. Phrases longer
+    than the vocabulary's longest are not built.
     """
-    spans = token_spans(docs)
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(max_words)),
-            lambda n: F.transform(
-                F.filter(F.sequence(F.lit(1), F.greatest(F.size("tokens") - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size("tokens")),
-                lambda i: F.struct(n.alias("words"), i.alias("first"), F.element_at("tokens", i)["start"].alias("start"), F.element_at("tokens", i + n - 1)["end"].alias("end")),
-            ),
-        )
-    )
-    each = spans.where(F.size("tokens") > 0).select("id", "text", F.explode(grams).alias("g"))
-    each = each.select("id", F.expr("substr(text, g.start + 1, g.end - g.start)").alias("surface_form"), "g.*")
-    each = each.withColumn("form", form(F.col("surface_form")))
+    longest = min(vocabulary.agg(F.max("words")).first()[0] or 0, max_words)
+    each = phrases(docs, longest)
     hits = each.join(vocabulary.select(F.col("form").alias("_form"), "concept"), F.col("form") == F.col("_form")).drop("_form")
-    order = F.struct((-F.col("words")).alias("size"), "first", "words", "surface_form", "form", "concept", "start", "end")
-    sorted_hits = hits.groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("hits"))
-    kept = F.aggregate(
-        "hits",
-        F.slice("hits", F.lit(1), F.lit(0)),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return sorted_hits.select("id", F.explode(kept).alias("m")).select("id", "m.surface_form", "m.form", "m.concept", "m.start", "m.end")
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["words", "first"], ascending=[False, True])
+        taken = bytearray(int((rows["first"] + rows["words"]).max()))
+        keep = []
+        for first, words in zip(rows["first"], rows["words"]):
+            free = not any(taken[first : first + words])
+            keep.append(free)
+            if free:
+                taken[first : first + words] = b"\x01" * words
+        return rows[keep][["id", "surface_form", "form", "concept", "start", "end"]].sort_values("start")
+
+    kind, concept = (x.dataType.simpleString() for x in (docs.schema["id"], vocabulary.schema["concept"]))
+    return hits.groupBy("id").applyInPandas(take, f"id {kind}, surface_form string, form string, concept {concept}, start int, end int")
 
 
 def plan_skills(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,6 +109,7 @@ def plan_skills(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return skills, loose
 
 
+_WORD_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[+#]|[./](?=[^\W_]))*")
 _TOKENS = re.compile(rf"{PUNCTUATED}|{CAPITALISED}|[\wÀ-ɏ]+")
 _PUNCT, _CAPITAL = re.compile(PUNCTUATED), re.compile(CAPITALISED)
 _WORDS = re.compile(r"[A-Za-zÀ-ɏ][\wÀ-ɏ]*")
@@ -177,12 +187,13 @@ def ngram_frequencies(docs: DataFrame, longest: int = 3, least: int = 3, share:
     stops = sorted(w for w in STOPWORDS if w.isascii())
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     cut = docs.select("id", F.explode(F.array(words)).alias("w"))
-    per_n = []
-    for n in range(1, longest + 1):
-        shifted = [F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - n + 1, F.lit(0))) for k in range(n)]
-        grams = F.transform(F.arrays_zip(*[s.alias(f"k{k}") for k, s in enumerate(shifted)]), lambda z, n=n: F.struct(
-            F.concat_ws(" ", *[z[f"k{k}"] for k in range(n)]).alias("term"), (~z["k0"].isin(stops) & ~z[f"k{n - 1}"].isin(stops)).alias("ok")))
-        per_n.append(F.transform(F.filter(grams, lambda g: g["ok"]), lambda g: g["term"]))
+
+    def grams(n: int):
+        shifted = [F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - n + 1, F.lit(0))).alias(f"k{k}") for k in range(n)]
+        ends = lambda z: ~z["k0"].isin(stops) & ~z[f"k{n - 1}"].isin(stops)
+        return F.transform(F.filter(F.arrays_zip(*shifted), ends), lambda z: F.concat_ws(" ", *[z[f"k{k}"] for k in range(n)]))
+
+    per_n = [grams(n) for n in range(1, longest + 1)]
     total = docs.count()
     terms = cut.select("id", F.explode(F.array_distinct(F.concat(*per_n))).alias("term"))
     counts = terms.groupBy("term").agg(F.count("*").alias("df"))

@@ -1,4 +1,6 @@
 """All queries over the job catalogue and the SQL they must agree with."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from jobloom.plans import analytics, identity, lifecycle, matching, text  # noqa: F401
+from jobloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -22,7 +22,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(workplaces, (F.col("o_orderkey") % 4).cast("int")).alias("workplace_type"),
         F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate")).alias("published_at"),
         F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"),
-        F.get(states, F.col("o_orderstatus")).alias("status"),
+        F.try_element_at(states, F.col("o_orderstatus")).alias("status"),
         F.col("o_orderdate").alias("updated_at"),
     )
 
