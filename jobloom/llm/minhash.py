@@ -8,14 +8,16 @@ shingle sets.
 
 Documents with equal shingle sets are one node from the start. A sub-key that a node shares with nobody gives no
 table key. Within a table bucket, members are first compared with the bucket's smallest member; what that links is
-contracted, later rounds compare members of other components with one member of the bucket's first component, and
-only what is left in a bucket's minor components is compared with all of that bucket. So a large group of near
-copies costs comparisons in proportion to its size, and no candidate between components is left out.
+contracted, and a later round compares members of other components with one member of the bucket's first component.
+Sets that then still share a bucket with another component are compared through their rarest shingles, an exact
+filter: see ``_prefix_pairs``. So a large group of near copies, or of texts that share a passage, doesn't emit all its
+pairs, and no candidate between components is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,6 +112,40 @@ def _table_keys(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the ``placed`` (node, root) sets that can reach the threshold, from different components.
+
+    Shingles are put in one order, rare ones first. Sets of n <= m shingles that meet the threshold share at least
+    need = percent * (n + m) / (100 + percent), so from their first common shingle on both have that many left. A set
+    hence needs only its first shingles in the join, and the sizes and places of both ends decide there. The larger
+    set's rows go to every size class that its partners can have; a shingle that only one set holds joins nothing.
+    """
+    t = percent / 100
+    tok = sets.join(placed, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    known = tok.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = (
+        tok.join(known, "s", "left")
+        .groupBy("node")
+        .agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "s"))).alias("all"))
+        .select("node", "root", "n", F.posexplode(F.slice("all", F.lit(1), (F.floor(F.col("n") * (1 - t)) + 2).cast("int"))).alias("i", "x"))
+        .where("x.c > 1")
+        .select("node", "root", "n", "i", "x.s")
+    )
+    ranked = settle(ranked)
+    size_class = lambda n: F.floor(F.log(n) / F.lit(math.log(1.05))).cast("int")
+    small = ranked.select(F.col("node").alias("a"), F.col("root").alias("ra"), "n", "i", "s", size_class(F.col("n")).alias("z"))
+    most = F.least(F.col("n").cast("double"), (F.col("n") - F.col("i")) * ((1 + t) / t) - F.col("n") + 1)
+    low = F.greatest(F.lit(1.0), F.col("n") * t)
+    large = (
+        ranked.where(most >= low)
+        .select(F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("i").alias("j"), "s", F.explode(F.sequence(size_class(low) - 1, size_class(most))).alias("z"))
+    )
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
+    fits = (F.col("ra") != F.col("rb")) & (100 * F.col("n") >= percent * F.col("m")) & (F.col("n") - F.col("i") >= need) & (F.col("m") - F.col("j") >= need)
+    once = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    return small.join(large, (small["s"] == large["s"]) & (small["z"] == large["z"]) & once & fits).select("a", "b").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
@@ -159,15 +195,8 @@ def near_duplicates(
         if members.isEmpty():
             break
     else:
-        sizes = members.groupBy("key", "root").agg(F.count("*").alias("c"))
-        major = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
-        minor = members.join(major, "key").where("root <> major").select(
-            F.col("key").alias("k"), F.col("node").alias("a"), "n", F.col("root").alias("ra"), "major"
-        )
-        others = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-        once = (F.col("rb") == F.col("major")) | (F.col("a") < F.col("b"))
-        pairs = minor.join(others, (F.col("k") == F.col("key")) & (F.col("ra") != F.col("rb")) & near & once)
-        roots = _linked(roots, _verified(pairs.select("a", "b").distinct(), sets, percent))
+        left = members.select("node", "root").distinct()
+        roots = _linked(roots, _verified(_prefix_pairs(sets, settle(left), percent), sets, percent))
 
     at = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("of.doc").alias("doc"))
     smallest = at.groupBy("root").agg(F.min("doc").alias("component"))
