@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.text import WordHash, map_rows, shingle_hashes
+from jobloom.llm.text import WordHash, map_rows, packed, shingle_hashes, unpacked
 
 WIDTH = 5
 RADIUS, BLOCKS = 14, ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -204,6 +204,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     """``docs`` without the documents that hold a benchmark item."""
     gone = contaminated(docs, benchmark, id_col=id_col, **how).select(F.col("doc").alias("_doc"), F.col("th").alias("_th")).distinct()
     text = how.get("text_col", "text")
-    return docs.join(
-        gone, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_th")), "left_anti"
-    )
+    rows = packed(docs, _id=F.col(id_col).cast("long"), _at=F.xxhash64(text))
+    left = rows.join(gone, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_th")), "left_anti")
+    return unpacked(left, docs.columns)

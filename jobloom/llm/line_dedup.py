@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.text import SPACES, ascii_lower, digest128, hold
+from jobloom.llm.text import SPACES, ascii_lower, digest128, hold, packed, unpacked
 from jobloom.session import settle
 
 HOT_FLOOR = 1000
@@ -110,14 +110,16 @@ def keep_bitmaps(
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_n_lines``, ``_n_dropped`` and ``_kept``: the text without the lines its bitmap drops."""
+    """``docs`` with ``_n_lines``, ``_n_dropped`` and ``_kept``: the text without the lines its bitmap drops.
+
+    Columns of ``docs`` with one of these three names are replaced.
+    """
     maps = bitmaps.select(
         F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("n_dropped").alias("_n"), F.col("keep_runs").alias("_runs")
     )
-    joined = docs.withColumn("_at", F.xxhash64(text_col)).join(
-        maps, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_th")), "left"
-    )
-    lines = split_lines(F.col(text_col))
+    rows = packed(docs, _id=F.col(id_col), _text=F.col(text_col), _at=F.xxhash64(text_col))
+    joined = rows.join(maps, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_th")), "left")
+    lines = split_lines(F.col("_text"))
     flags = F.flatten(F.transform("_runs", lambda n, i: F.array_repeat(i % 2 == 0, n)))
     kept = F.transform(
         F.filter(
@@ -125,15 +127,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
         ),
         lambda x: x["line"],
     )
-    return (
-        joined.withColumn("_n_lines", F.size(lines).cast("long"))
-        .withColumn("_n_dropped", F.coalesce("_n", F.lit(0)).cast("long"))
-        .withColumn(
-            "_kept",
-            F.when(F.col("_n").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")),
-        )
-        .drop("_doc", "_th", "_at", "_n", "_runs")
-    )
+    whole = F.when(F.col("_n").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    counts = {"_n_lines": F.size(lines).cast("long"), "_n_dropped": F.coalesce("_n", F.lit(0)).cast("long")}
+    return unpacked(joined, docs.columns, **counts, _kept=whole)
 
 
 def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
@@ -144,4 +140,4 @@ def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     out = out.withColumn(text, F.when(F.col("_n_dropped") > 0, F.col("_kept")).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm.graph import components, renamed
-from jobloom.llm.text import WordHash, map_rows, scramble, shingle_hashes
+from jobloom.llm.text import WordHash, map_rows, packed, scramble, shingle_hashes, unpacked
 from jobloom.session import settle
 
 SUB_KEYS, SUB_ROWS = 12, 2
@@ -224,4 +224,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` without the rows that are near copies of a row with a smaller id."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
     gone = found.where("component <> doc").select(F.col("doc").alias("_doc")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_doc"), "left_anti")
+    rows = packed(docs, _id=F.col(id_col).cast("long")).join(gone, F.col("_id") == F.col("_doc"), "left_anti")
+    return unpacked(rows, docs.columns)

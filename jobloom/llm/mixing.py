@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.text import count_words
+from jobloom.llm.text import count_words, packed, unpacked
 from jobloom.session import settle
 
 RANGE_ROWS = 50_000
@@ -124,6 +124,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
     """The mixed corpus: one row per document and pass, columns of ``docs`` plus epoch, size and taken.
 
     The document at a source's cut gives its first words in the last pass; its text there is cut after them.
+    Columns of ``docs`` named epoch, size or taken are replaced. Of rows with the same id and text, each takes what
+    the first of them takes.
     """
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, **how).where(F.col("taken") > 0)
     passes = F.concat(
@@ -137,15 +139,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
     )
     plan = plan.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("size").alias("_size"), passes.alias("_passes"))
     plan = plan.dropDuplicates(["_doc", "_th"])
-    joined = docs.withColumn("_at", F.xxhash64(text_col)).join(
-        plan, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_th"))
-    )
-    kept = [c for c in docs.columns if c not in ("epoch", "size", "taken")]
-    each = joined.select(*kept, "_size", F.explode("_passes").alias("_pass"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_pass.words") >= F.col("_size"), F.col(text_col)).otherwise(
+    rows = packed(docs, _id=F.col(id_col), _text=F.col(text_col), _at=F.xxhash64(text_col))
+    joined = rows.join(plan, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_th")))
+    each = joined.select("_row", "_text", "_size", F.explode("_passes").alias("_pass"))
+    words = F.regexp_extract_all("_text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("_pass.words") >= F.col("_size"), F.col("_text")).otherwise(
         F.array_join(F.slice(words, F.lit(1), F.col("_pass.words").cast("int")), "")
     )
-    return each.withColumn(text_col, text).select(
-        *kept, F.col("_pass.epoch").alias("epoch"), F.col("_size").alias("size"), F.col("_pass.words").alias("taken")
-    )
+    new = {text_col: text, "epoch": F.col("_pass.epoch"), "size": F.col("_size"), "taken": F.col("_pass.words")}
+    return unpacked(each, docs.columns, **new)

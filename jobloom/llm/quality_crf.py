@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, id_col: str
             yield {"id": row["_id"], "y": row["y"], "x": found.astype(np.float32).ravel().tolist()}
 
     arrow = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float32()))])
-    rows = docs.where(F.col(text_col).isNotNull()).join(sample, F.col(id_col) == F.col("_id")).select("_id", "y", F.col(text_col).alias("text"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(sample, F.col("id") == F.col("_id")).select("_id", "y", "text")
     got = map_rows(rows, run, "id long, y int, x array<float>", arrow).toPandas().sort_values("id")
     shaped = [np.asarray(v, np.float64).reshape(-1, FEATURES) for v in got["x"]]
     kept = [(s, int(y)) for s, y in zip(shaped, got["y"]) if len(s)]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.text import map_rows
+from jobloom.llm.text import map_rows, packed, unpacked
 
 UNIT = {
     "line": re.compile(r"[^\n]+"),
@@ -105,13 +105,11 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     cuts = spans.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cuts")
     )
-    joined = docs.withColumn("_at", F.xxhash64(text_col)).join(
-        cuts, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_th")), "left"
-    )
-    text = F.col(text_col)
+    rows = packed(docs, _id=F.col(id_col).cast("long"), _text=F.col(text_col), _at=F.xxhash64(text_col))
+    joined = rows.join(cuts, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_th")), "left")
+    text = F.col("_text")
     from_ = lambda i: F.coalesce(F.get("_cuts", i - 1)["end"], F.lit(0))
     parts = F.transform("_cuts", lambda c, i: F.substr(text, from_(i) + 1, F.greatest(c["start"] - from_(i), F.lit(0))))
     tail = F.substr(text, F.element_at("_cuts", -1)["end"] + 1)
     cut = F.concat(F.array_join(parts, ""), tail)
-    out = joined.withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(cut))
-    return out.select(*docs.columns)
+    return unpacked(joined, docs.columns, **{text_col: F.when(F.col("_cuts").isNull(), text).otherwise(cut)})

@@ -34,6 +34,17 @@ def hold(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """``df`` as one struct column ``_row`` beside ``keys``, so that joins meet none of its own column names."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[k.alias(n) for n, k in keys.items()])
+
+
+def unpacked(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The columns ``names`` of ``_row`` again, those in ``new`` replaced, further ones in ``new`` appended."""
+    own = [new.get(c, F.col("_row").getField(c)).alias(c) for c in names]
+    return df.select(*own, *[v.alias(c) for c, v in new.items() if c not in names])
+
+
 def digest128(c: Column) -> list[Column]:
     """Two independently seeded 64-bit hashes of one string."""
     return [F.xxhash64(c), F.xxhash64(F.lit(7), c)]

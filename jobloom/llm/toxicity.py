@@ -102,7 +102,8 @@ def train(
             yield {"id": row["_id"], "y": row["y"], "ids": np.unique(gram_ids(row["text"])).astype(np.int32)}
 
     arrow = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("ids", pa.list_(pa.int32()))])
-    rows = docs.where(F.col(text_col).isNotNull()).join(sample, F.col(id_col) == F.col("_id")).select("_id", "y", F.col(text_col).alias("text"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(sample, F.col("id") == F.col("_id")).select("_id", "y", "text")
     got = map_rows(rows, run, "id long, y int, ids array<int>", arrow, 200).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     ids = got["ids"].combine_chunks()
     flat, ends = ids.flatten().to_numpy(), ids.value_lengths().to_numpy(zero_copy_only=False).cumsum() if len(ids) else np.zeros(0, int)
