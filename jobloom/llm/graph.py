@@ -16,19 +16,21 @@ def renamed(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of ``edges`` (a, b) whose component has a smaller node; root is the same for all of
-    a component, and of its nodes.
+    """(node, root) for the nodes of ``edges`` (a, b) that aren't their component's root; root is one of its nodes.
 
-    Every round maps each node to its smallest neighbour, if that is smaller, and contracts the edges under this
-    map; a node's root is found by going through the rounds' maps in order. Edges shrink to nothing in few rounds.
-    Hot nodes only meet map-side minima. Null ends are ignored.
+    Every round puts the nodes in a hashed order of its own, maps each to its first neighbour, if that comes before
+    it, and contracts the edges under this map; a node's root is found by going through the rounds' maps in order.
+    As the order is new in each round, long chains also lose a constant share of their nodes a round.
+    Hot nodes only meet map-side minima. Null ends and loops are ignored.
     """
     edges = settle(edges.where("a <> b").select("a", "b").distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
     maps = []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        down = both.groupBy("a").agg(F.min("b").alias("low")).where("low < a").select(F.col("a").alias("from"), F.col("low").alias("to"))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), c), c)
+        low = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("low")).where(F.col("low") < rank(F.col("a")))
+        down = low.select(F.col("a").alias("from"), F.col("low").getField("b").alias("to"))
         maps.append(settle(down))
         edges = settle(renamed(renamed(edges, "a", maps[-1]), "b", maps[-1]).where("a <> b").distinct())
     for names in maps:
