@@ -18,7 +18,8 @@ def renamed(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b) that aren't their component's root; root is one of its nodes.
 
-    Every round puts the nodes in a hashed order of its own, maps each to its first neighbour, if that comes before
+    The first round takes the nodes in their own order, in which stars round their smallest node vanish at once;
+    every later round puts them in a hashed order of its own. A round maps each to its first neighbour, if that comes before
     it, and contracts the edges under this map; a node's root is found by going through the rounds' maps in order.
     As the order is new in each round, long chains also lose a constant share of their nodes a round.
     Hot nodes only meet map-side minima. Null ends and loops are ignored.
@@ -28,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     maps = []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), c), c)
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), c) if maps else F.lit(0), c)
         low = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("low")).where(F.col("low") < rank(F.col("a")))
         down = low.select(F.col("a").alias("from"), F.col("low").getField("b").alias("to"))
         maps.append(settle(down))
