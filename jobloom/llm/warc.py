@@ -104,21 +104,27 @@ def _header(piece: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(F.concat(F.lit("\r\n"), head), rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
-def reachable(candidates: DataFrame) -> DataFrame:
+def reachable(candidates: DataFrame, stretch: int = 64 << 20) -> DataFrame:
     """The (file, at) of ``candidates`` (file, at, next) that the chain from each file's offset 0 reaches.
 
-    Pointer jumping: every round doubles the stride of all pointers and adds what the reached records point to.
+    Within ``stretch`` bytes of a file, a run of candidates of which each points to the following one is one segment:
+    what enters it at some offset reaches all of it from there on. Pointer jumping goes over the segments: every round
+    doubles the stride of all pointers and adds what the reached segments point to, with the offset of entry.
     """
-    jump = settle(candidates.where("next > at").select("file", "at", "next"))
-    known = settle(candidates.where("at = 0").select("file", "at"))
-    starts = candidates.select("file", F.col("at").alias("_at"))
+    along = Window.partitionBy("file", "part").orderBy("at")
+    start = F.when(F.lag("next").over(along).eqNullSafe(F.col("at")), F.lit(None)).otherwise(F.col("at"))
+    cut = candidates.withColumn("part", F.floor(F.col("at") / stretch)).withColumn("start", start)
+    members = settle(cut.select("file", "at", "next", F.last("start", True).over(along).alias("seg")))
+    ends = members.groupBy("file", "seg").agg(F.max("next").alias("next")).select("file", F.col("seg").alias("_from"), "next")
+    entry = members.select(F.col("file"), F.col("at").alias("next"), F.col("seg").alias("to"))
+    jump = settle(ends.join(entry, ["file", "next"]).where("to > _from").select("file", "_from", "to", F.col("next").alias("land")))
+    known = settle(members.where("at = 0").select("file", "seg", F.col("at").alias("land")))
     while not jump.isEmpty():
-        new = known.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        new = new.join(starts.withColumnRenamed("_at", "at"), ["file", "at"], "left_semi")
+        new = known.select("file", F.col("seg").alias("_from")).join(jump, ["file", "_from"]).select("file", F.col("to").alias("seg"), "land")
         known = settle(known.union(new).distinct())
-        far = jump.select(F.col("file"), F.col("at").alias("next"), F.col("next").alias("far"))
-        jump = settle(jump.join(far, ["file", "next"]).select("file", "at", F.col("far").alias("next")))
-    return known
+        far = jump.select("file", F.col("_from").alias("to"), F.col("to").alias("_far"), F.col("land").alias("_land"))
+        jump = settle(jump.join(far, ["file", "to"]).select("file", "_from", F.col("_far").alias("to"), F.col("_land").alias("land")))
+    return members.join(known, ["file", "seg"]).where("at >= land").select("file", "at")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
