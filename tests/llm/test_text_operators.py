@@ -66,9 +66,12 @@ def test_secret_base_columns(spark, sf_dir):
 def test_secret_ownership_tells_examples_from_live_values(spark):
     copied, own = "Zx81Kq20Lm73Pw55", "Qa12Ws34Ed56Rf78"
     rows = [(k, f"see {copied} here", f"owner{k}") for k in range(4)] + [(9, f"my {own} and {own}", "owner9"), (10, None, None)]
+    rows += [(k, "token = abcdefg", f"owner{k}") for k in range(20, 24)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc"]: r for r in secrets.scan(docs).collect()}
-    assert all(got[k]["spans"] == "" and got[k]["n_example"] == 1 for k in range(4))
+    # A copied bare token is no finding at all; a copied base finding stays one, and counts as an example.
+    assert all(got[k]["spans"] == "" and got[k]["n_example"] == got[k]["n_live"] == 0 for k in range(4))
+    assert all(got[k]["spans"] == "assign:0:15" and got[k]["n_example"] == 1 and got[k]["n_live"] == 0 for k in range(20, 24))
     assert got[9]["spans"] == "bare:3:19,bare:24:40" and got[9]["n_live"] == 2
     assert got[10]["spans"] == "" and got[10]["n_assign"] == 0
 
