@@ -15,10 +15,11 @@ def renamed(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     return out.drop("_from", "_to")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b) that aren't their component's root; root is one of its nodes.
 
-    The first round takes the nodes in their own order, in which stars round their smallest node vanish at once;
+    The first round takes the nodes in their own order, or with ``weights`` (node, w) the heaviest first, in which
+    stars round their first node vanish at once;
     every later round puts them in a hashed order of its own. A round maps each to its first neighbour, if that comes before
     it, and contracts the edges under this map; a node's root is found by going through the rounds' maps in order.
     As the order is new in each round, long chains also lose a constant share of their nodes a round.
@@ -29,8 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
     maps = []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), c) if maps else F.lit(0), c)
-        low = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("low")).where(F.col("low") < rank(F.col("a")))
+        if maps or weights is None:
+            rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), c) if maps else F.lit(0), c)
+            both = both.select("a", rank(F.col("a")).alias("ra"), rank(F.col("b")).alias("rb"))
+        else:
+            rank = weights.select("node", F.struct((-F.col("w")).alias("w"), F.col("node").alias("b")).alias("r"))
+            both = both.join(rank.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a")
+            both = both.join(rank.select(F.col("node").alias("b"), F.col("r").alias("rb")), "b").select("a", "ra", "rb")
+        low = both.groupBy("a").agg(F.min("rb").alias("low"), F.first("ra").alias("ra")).where("low < ra")
         down = low.select(F.col("a").alias("from"), F.col("low").getField("b").alias("to"))
         maps.append(settle(down))
         edges = settle(renamed(renamed(edges, "a", maps[-1]), "b", maps[-1]).where("a <> b").distinct())

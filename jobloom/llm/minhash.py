@@ -7,8 +7,8 @@ Two small collections of ``m`` sub-keys are computed per document; a sub-key is
 shingle sets.
 
 Documents with equal shingle sets are one node from the start. A sub-key that a node shares with nobody gives no
-table key. Within a table bucket, members are first compared with the bucket's smallest member; what that links is
-contracted, and a later round compares members of other components with one member of the bucket's first component.
+table key. Within a table bucket, members are first compared with the member whose sub-keys most nodes hold, as the text
+that a group's copies stem from has those of the majority; what that links is contracted, and a later round compares members of other components with one member of the bucket's first component.
 Sets that then still share a bucket with another component are compared through their rarest shingles, an exact
 filter: see ``_prefix_pairs``. So a large group of near copies, or of texts that share a passage, doesn't emit all its
 pairs, and no candidate between components is left out.
@@ -98,17 +98,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _table_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, first, second): the table keys of every node, from sub-keys that it shares with another."""
+    """(key, node, w): the table keys of every node, from sub-keys that it shares with another.
+
+    w is the number of nodes that hold these sub-keys, over all of them: the members of a group that most others
+    resemble have the largest.
+    """
     subs = nodes.select("node", F.posexplode("keys").alias("slot", "sub"))
-    shared = subs.groupBy("slot", "sub").agg(F.count("*").alias("m")).where("m > 1").select("slot", "sub")
+    shared = subs.groupBy("slot", "sub").agg(F.count("*").alias("m")).where("m > 1")
     met = subs.join(shared, ["slot", "sub"])
-    mine = met.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("slot", "sub"))).alias("subs"))
+    mine = met.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("slot", "sub"))).alias("subs"), F.sum("m").alias("w"))
     one = F.filter("subs", lambda s: s["slot"] < SUB_KEYS)
     two = F.filter("subs", lambda s: s["slot"] >= SUB_KEYS)
-    keys = mine.select("node", one.alias("one"), two.alias("two")).where((F.size("one") > 0) & (F.size("two") > 0))
-    keys = keys.select("node", "two", F.explode("one").alias("x")).select("node", "x", F.explode("two").alias("y"))
+    keys = mine.select("node", "w", one.alias("one"), two.alias("two")).where((F.size("one") > 0) & (F.size("two") > 0))
+    keys = keys.select("node", "w", "two", F.explode("one").alias("x")).select("node", "w", "x", F.explode("two").alias("y"))
     return keys.select(
-        F.xxhash64("x.slot", "x.sub", "y.slot", "y.sub").alias("key"), "node"
+        F.xxhash64("x.slot", "x.sub", "y.slot", "y.sub").alias("key"), "node", "w"
     )
 
 
@@ -173,7 +177,8 @@ def near_duplicates(
     keys = _table_keys(nodes).join(nodes.select("node", "n"), "node")
     buckets = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     keys = settle(keys.join(buckets.select("key"), "key"))
-    wanted = keys.select("node").distinct().join(nodes, "node")
+    weights = settle(keys.select("node", "w").distinct())
+    wanted = weights.select("node").join(nodes, "node")
     wanted = settle(wanted.select("node", F.col("of.doc").alias("doc"), F.col("of.th").alias("th")))
     sets = settle(_sets(docs, wanted, width, id_col, text_col).dropDuplicates(["node"]))
 
@@ -181,7 +186,7 @@ def near_duplicates(
     members = keys.withColumn("root", F.col("node"))
     roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     for nth in range(rounds):
-        pick = F.struct("root", F.xxhash64(F.lit(nth), "key", "node")) if nth else F.struct("node")
+        pick = F.struct("root", F.xxhash64(F.lit(nth), "key", "node")) if nth else F.struct(-F.col("w"), "node")
         firsts = members.groupBy("key").agg(
             F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb")), pick).alias("r")
         )
@@ -190,7 +195,7 @@ def near_duplicates(
             .select(F.col("node").alias("a"), "n", "root", "r.b", "r.m", "r.rb")
             .where((F.col("root") != F.col("rb")) & near)
         )
-        roots = _linked(roots, _verified(pairs.select("a", "b").distinct(), sets, percent))
+        roots = _linked(roots, _verified(pairs.select("a", "b").distinct(), sets, percent), None if nth else weights)
         members = _apart(keys, roots)
         if members.isEmpty():
             break
@@ -205,10 +210,10 @@ def near_duplicates(
     return linked.select("doc", "th", "n", F.coalesce("component", "doc").alias("component"))
 
 
-def _linked(roots: DataFrame, edges: DataFrame) -> DataFrame:
+def _linked(roots: DataFrame, edges: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """``roots`` (node, root) after linking what ``edges`` join: edges are contracted to roots first."""
     names = roots.select(F.col("node").alias("from"), F.col("root").alias("to"))
-    found = components(renamed(renamed(edges, "a", names), "b", names))
+    found = components(renamed(renamed(edges, "a", names), "b", names), weights)
     moved = renamed(roots, "root", found.select(F.col("node").alias("from"), F.col("root").alias("to")))
     return settle(moved.union(found))  # ends of contracted edges are roots, so no node comes twice
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jobloom.llm.text import hold
 from jobloom.session import settle
 
 # The format's magic and line ends, and the base-32 alphabet.
@@ -24,8 +25,12 @@ DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
 def sha1_base32(c: Column) -> Column:
-    """Upper-case base-32 SHA-1: every five hex digits are four base-32 digits."""
-    hexed = F.sha1(c)
+    """Upper-case base-32 SHA-1."""
+    return base32(F.sha1(c))
+
+
+def base32(hexed: Column) -> Column:
+    """Forty hex digits in upper-case base 32: every five hex digits are four base-32 digits."""
     parts = [F.lpad(F.conv(F.substring(hexed, 1 + 5 * k, 5), 16, 32), 4, "0") for k in range(8)]
     return F.translate(F.concat(*parts), DIGITS32, BASE32)
 
@@ -85,23 +90,23 @@ def write_archives(
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, mid, piece): the text after every magic, in file order; what precedes the first is the piece
+    """(file, block_start, mid, piece): the text after every magic, in file order; what precedes the first is the piece
     at the file's very start and usually empty."""
     return (
         spark.read.option("lineSep", MAGIC)
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
+            F.col("_metadata.file_block_start").alias("block_start"),
             F.monotonically_increasing_id().alias("mid"),
             F.col("value").alias("piece"),
         )
     )
 
 
-def _header(piece: Column, name: str) -> Column:
-    head = F.substring_index(piece, END, 1)
-    return F.nullif(F.regexp_extract(F.concat(F.lit("\r\n"), head), rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+def _header(top: Column, name: str) -> Column:
+    """A header field of the text before a record's first blank line; null where absent or empty."""
+    return F.nullif(F.regexp_extract(F.concat(F.lit("\r\n"), top), rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
 def reachable(candidates: DataFrame, stretch: int = 64 << 20) -> DataFrame:
@@ -134,27 +139,31 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Records with a length that points past the file, or without one, end their file's chain. Files without magic
     at their start give no records.
     """
-    pieces = _pieces(spark, path)
-    length = F.try_to_number(_header(F.col("piece"), "Content-Length"), F.lit("999999999999")).cast("long")
-    head = F.octet_length(F.substring_index("piece", END, 1)) + F.lit(len(END))
-    body = F.expr("substr(piece, length(substring_index(piece, '\r\n\r\n', 1)) + 5)")
-    block = F.left(body, F.greatest(F.char_length(body) - len(END), F.lit(0)))
-    http_at = F.instr(block, END)
-    payload = F.when(http_at > 0, F.substr(block, http_at + len(END))).otherwise(block)
-    whole = F.octet_length("piece") == head + F.col("length") + len(END)
+    # Each of these is computed once a piece: conditions and later columns would otherwise repeat it.
+    pieces = hold(_pieces(spark, path), "top", F.substring_index("piece", END, 1))
+    pieces = hold(pieces, "length", F.try_to_number(_header(F.col("top"), "Content-Length"), F.lit("999999999999")).cast("long"))
+    pieces = pieces.withColumn("head", F.octet_length("top") + F.lit(len(END)))
+    whole = F.octet_length("piece") == F.col("head") + F.col("length") + len(END)
+    pieces = pieces.withColumn("whole", whole)
+    raw = F.col("piece").cast("binary")
+    block = F.substring(raw, F.col("head") + 1, F.greatest(F.octet_length("piece") - F.col("head") - len(END), F.lit(0)))
+    pieces = hold(pieces, "block", block.cast("string"))
+    pieces = hold(pieces, "http", F.substring_index("block", END, 1))
+    framed = F.octet_length("http") < F.octet_length("block")
+    payload = F.when(framed, F.substring(F.col("block").cast("binary"), F.octet_length("http") + len(END) + 1, F.octet_length("block"))).otherwise(F.col("block").cast("binary"))
+    pieces = hold(pieces, "payload", payload)
+    pieces = hold(pieces, "hexed", F.when(F.col("whole"), F.sha1("payload")))
     rows = settle(
-        pieces.withColumn("length", length)
-        .withColumn("head", head)
-        .select(
-            "file", "block", "mid", "length", "head", F.octet_length("piece").alias("bytes"), whole.alias("whole"),
-            F.lower(_header(F.col("piece"), "WARC-Type")).alias("type"),
-            _header(F.col("piece"), "WARC-Record-ID").alias("record_id"),
-            _header(F.col("piece"), "WARC-Refers-To").alias("refers_to"),
-            _header(F.col("piece"), "WARC-Payload-Digest").alias("stated_digest"),
-            F.when(whole, F.octet_length(payload)).cast("long").alias("payload_bytes"),
-            F.when(whole, sha1_base32(payload)).alias("payload_digest"),
-            F.nullif(F.regexp_extract(F.substring_index(block, END, 1), r"(?i)\r\nContent-Length:[ \t]*(\d+)", 1), F.lit("")).alias("http_length"),
-        )
+        pieces.select(
+            "file", "block_start", "mid", "length", "head", F.octet_length("piece").alias("bytes"), "whole",
+            F.lower(_header(F.col("top"), "WARC-Type")).alias("type"),
+            _header(F.col("top"), "WARC-Record-ID").alias("record_id"),
+            _header(F.col("top"), "WARC-Refers-To").alias("refers_to"),
+            _header(F.col("top"), "WARC-Payload-Digest").alias("stated_digest"),
+            F.when(F.col("whole"), F.octet_length("payload")).cast("long").alias("payload_bytes"),
+            base32(F.col("hexed")).alias("payload_digest"),
+            F.nullif(F.regexp_extract("http", r"(?i)\r\nContent-Length:[ \t]*(\d+)", 1), F.lit("")).alias("http_length"),
+        ).withColumnRenamed("block_start", "block")
     )
     # Offsets: sums inside a block of the file first, then over the file's blocks. Every piece but the first of a
     # file follows a magic.
@@ -194,7 +203,7 @@ def _spanning(spark: SparkSession, path: str, placed: DataFrame, split: DataFram
     run = Window.partitionBy("file").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     mine = both.withColumn("at", F.last("at", True).over(run)).withColumn("next", F.last("next", True).over(run)).where("p < next")
     mine = settle(mine.select("file", "block", "mid", "p", "at"))
-    texts = _pieces(spark, path).join(mine, ["file", "block", "mid"])
+    texts = _pieces(spark, path).withColumnRenamed("block_start", "block").join(mine, ["file", "block", "mid"])
     whole = texts.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("p", "piece"))).alias("ps"))
     text = F.array_join(F.transform("ps", lambda x: x["piece"]), MAGIC)
     whole = whole.select("file", "at", text.alias("piece"))
