@@ -37,6 +37,18 @@ def gram_ids(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def _blocks(sets: list[np.ndarray], slot: np.ndarray, entries: int = 1 << 19) -> Iterator[tuple[int, list[int], np.ndarray]]:
+    """(first text, features a text, features) of runs of texts with about ``entries`` features together."""
+    first, held, total = 0, [], 0
+    for k, ids in enumerate(sets):
+        found = slot[ids]
+        held.append(found[found >= 0])
+        total += len(held[-1])
+        if total >= entries or k == len(sets) - 1:
+            yield first, [len(r) for r in held], np.concatenate(held)
+            first, held, total = k + 1, [], 0
+
+
 def fit(sets: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, decay: float = 1.0, most: int = 60_000, steps: int = 200):
     """(weights by n-gram id, intercept) from present-gram sets and 0/1 labels.
 
@@ -57,19 +69,21 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, decay:
     strength = np.abs(ratio) * np.sqrt(count.sum(0)) * (count.sum(0) >= 3)
     chosen = np.argsort(-strength, kind="stable")[:most]
     chosen = np.sort(chosen[strength[chosen] > 0])
-    slot = np.full(size, -1)
-    slot[chosen] = np.arange(len(chosen))
-    rows = [s[s >= 0] for s in (slot[ids] for ids in sets)]
-    cols = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    slot = np.full(size, -1, np.int32)
+    slot[chosen] = np.arange(len(chosen), dtype=np.int32)
+    blocks = list(_blocks(sets, slot))
     scale = ratio[chosen]
     w, b = np.zeros(len(chosen)), float(np.log(n1 / n0))
     gw2, gb2 = np.full(len(chosen), 1e-6), 1e-6
     for _ in range(steps):
-        z = np.bincount(at, (w * scale)[cols], len(rows)) + b
-        miss = y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        gw = np.bincount(cols, miss[at], len(chosen)) * scale - decay * w
-        gb = miss.sum()
+        ws, gw, gb = w * scale, np.zeros(len(chosen)), 0.0
+        for first, sizes, cols in blocks:
+            at = np.repeat(np.arange(len(sizes)), sizes)
+            z = np.bincount(at, ws[cols], len(sizes)) + b
+            miss = y[first : first + len(sizes)] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            gw += np.bincount(cols, miss[at], len(chosen))
+            gb += miss.sum()
+        gw = gw * scale - decay * w
         gw2 += gw**2
         gb2 += gb**2
         w += 0.1 * gw / np.sqrt(gw2)
@@ -91,7 +105,10 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
 ):
-    """Fit on ``max_docs`` labelled documents at most, in hash order of their ids, none of them held out."""
+    """Fit on ``max_docs`` labelled documents at most, in hash order of their ids, none of them held out.
+
+    The driver holds their n-gram ids once, four bytes each, and works on them in blocks.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")
     )
@@ -104,10 +121,15 @@ def train(
     arrow = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("ids", pa.list_(pa.int32()))])
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(sample, F.col("id") == F.col("_id")).select("_id", "y", "text")
-    got = map_rows(rows, run, "id long, y int, ids array<int>", arrow, 200).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    ids = got["ids"].combine_chunks()
-    flat, ends = ids.flatten().to_numpy(), ids.value_lengths().to_numpy(zero_copy_only=False).cumsum() if len(ids) else np.zeros(0, int)
-    return fit(np.split(flat, ends[:-1]) if len(ids) else [], got["y"].to_numpy())
+    got = map_rows(rows, run, "id long, y int, ids array<int>", arrow, 200).toArrow()
+    sets = []
+    for part in got["ids"].chunks:  # views of the Arrow buffers, no copies
+        ends = part.offsets.to_numpy()
+        flat = part.values.to_numpy()
+        sets += [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
+    y = got["y"].to_numpy()
+    order = np.lexsort((y, got["id"].to_numpy()))
+    return fit([sets[k] for k in order], y[order])
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
