@@ -1,9 +1,13 @@
 """Substring deduplication by hashing text units and keeping each unit's earliest occurrence.
 
-Lines are cut further at sentence and clause marks, so that a passage pasted inside a paragraph still consists of
-whole units, but for its first and last. Normalised units are hashed, grouped over the whole corpus, and each
-digest's earliest ranked occurrence stays. Runs of neighbouring later occurrences that are long enough are removed;
-their offsets refer to the original text.
+Units are whole lines, or at the default level every window of ``size`` words, so that a passage pasted anywhere
+shares units whatever marks, lines or words surround it, and is covered to its first and last word. Units are hashed,
+grouped over the whole corpus, and each digest's earliest ranked occurrence stays. Runs of neighbouring later
+occurrences are removed; their offsets refer to the original text.
+
+There are as many windows as words. Each has an anchor, the least hash of its ``ANCHOR_WORDS``-word shingles, which
+long runs of windows share. A window can only recur where its anchor does, so the far fewer anchors are counted first,
+and only windows whose anchor recurs are hashed into the grouping. This drops no window that recurs.
 """
 
 from __future__ import annotations
@@ -12,46 +16,147 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.text import map_rows, packed, unpacked
-
-UNIT = {
-    "line": re.compile(r"[^\n]+"),
-    "clause": re.compile(r"[^\n.!?;:,]+[.!?;:,]*"),
-}
-UNIT_WORDS = {"line": 1, "clause": 3}
-
-
-def units(text: str, level: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of the units with enough words to tell them apart."""
+from jobloom.llm.text import WordHash, map_rows, packed, scramble, shingle_hashes, unpacked
+from jobloom.session import settle
+
+LINE = re.compile(r"[^\n]+")
+ANCHOR_WORDS = 8
+_BLANK = np.array([chr(c).isspace() for c in range(0x3001)])
+
+
+class _Words(WordHash):
+    """Hash of a word that is no bytes yet."""
+
+    def __missing__(self, word):
+        self[word] = value = super().__missing__(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
+def word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words that ``text.split()`` gives."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = np.ones(len(points) + 2, bool)
+    blank[1:-1] = _BLANK[np.minimum(points, len(_BLANK) - 2)] if len(points) else False
+    blank[1:-1] |= points == len(_BLANK) - 1
+    edge = blank[1:] != blank[:-1]
+    at = np.flatnonzero(edge)
+    return at[::2], at[1::2]
+
+
+def _shingles(text: str, words: WordHash, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, least, place): word hashes, and of every window the least shingle hash and where the first such one begins."""
+    hashes = words.array(text.lower().split())
+    if len(hashes) < size:
+        none = np.empty(0, np.int64)
+        return hashes, none.view(np.uint64), none
+    width = min(ANCHOR_WORDS, size)
+    short = shingle_hashes(hashes, width)
+    count = len(hashes) - size + 1
+    place = np.lib.stride_tricks.sliding_window_view(short, size - width + 1).argmin(1) + np.arange(count)
+    return hashes, short[place], place
+
+
+def windows(text: str, words: WordHash, size: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(nth, start, end, anchor, digest) of the windows of ``size`` words, or of those whose anchor is ``wanted``."""
+    hashes, least, _ = _shingles(text, words, size)
+    nth = np.arange(len(least)) if wanted is None else np.flatnonzero(np.isin(least, wanted))
+    if not len(nth):
+        return nth, nth, nth, nth, nth
+    starts, ends = word_bounds(text)
+    # A hash seeded otherwise than the anchor's, so that both together are 128 bits.
+    digest = shingle_hashes(scramble(hashes), size)[nth]
+    return nth, starts[nth], ends[nth + size - 1], least[nth].view(np.int64), digest.view(np.int64)
+
+
+def units(text: str, level: str, size: int = 25) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of the units: lines, or at the level ``clause`` all windows of ``size`` words."""
+    if level == "clause":
+        _, start, end, anchor, digest = windows(text, _Words(), size)
+        keys = np.stack([anchor, digest], 1).astype(np.int64)
+        return [(s, e, size, k.tobytes()) for s, e, k in zip(start.tolist(), end.tolist(), keys)]
     found = []
-    for m in UNIT[level].finditer(text):
+    for m in LINE.finditer(text):
         raw = m.group()
         words = raw.lower().split()
-        if len(words) >= UNIT_WORDS[level]:
+        if words:
             start = m.start() + len(raw) - len(raw.lstrip())
             found.append((start, m.start() + len(raw.rstrip()), len(words), " ".join(words)))
     return [(s, e, n, hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()) for s, e, n, key in found]
 
 
-def unit_rows(docs: DataFrame, level: str, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, nth, s, e, words, digest), one row per unit."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+
+
+_UNIT = [("doc", pa.int64()), ("th", pa.int64()), ("nth", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("words", pa.int32())]
+
+
+def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, nth, s, e, words, k0, k1), one row per line; k0 and k1 are its digest."""
 
     def run(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
-            for nth, (s, e, n, digest) in enumerate(units(row["text"] or "", level)):
-                yield {"doc": row["doc"], "th": row["th"], "nth": nth, "s": s, "e": e, "words": n, "digest": digest}
-
-    arrow = pa.schema(
-        [("doc", pa.int64()), ("th", pa.int64()), ("nth", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]
-        + [("words", pa.int32()), ("digest", pa.binary())]
+            for nth, (s, e, n, digest) in enumerate(units(row["text"] or "", "line")):
+                k0, k1 = np.frombuffer(digest, np.int64).tolist()
+                yield {"doc": row["doc"], "th": row["th"], "nth": nth, "s": s, "e": e, "words": n, "k0": k0, "k1": k1}
+
+    arrow = pa.schema([*_UNIT, ("k0", pa.int64()), ("k1", pa.int64())])
+    schema = "doc long, th long, nth int, s int, e int, words int, k0 long, k1 long"
+    return map_rows(_texts(docs, id_col, text_col), run, schema, arrow, 20_000)
+
+
+def _anchors(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, anchor), one row for every run of windows that have their anchor at one place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, found = batch.slice(at, 256), []
+                for text in part["text"].to_pylist():
+                    _, least, place = _shingles(text or "", words, size)
+                    found.append(least[np.flatnonzero(np.diff(place, prepend=-1))])
+                count = [len(x) for x in found]
+                rows = pa.array(np.repeat(np.arange(len(found)), count))
+                anchor = pa.array(np.concatenate(found).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part["doc"].take(rows), part["th"].take(rows), anchor], ["doc", "th", "anchor"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc long, th long, anchor long")
+
+
+def window_rows(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, nth, s, e, words, k0, k1), one row for every window whose anchor recurs."""
+    anchors = settle(_anchors(docs, size, id_col, text_col))
+    again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    wanted = (
+        anchors.join(again, "anchor")
+        .groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th"))
+        .agg(F.collect_set("anchor").alias("wanted"))
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    schema = "doc long, th long, nth int, s int, e int, words int, digest binary"
-    return map_rows(rows, run, schema, arrow, 20_000)
+    texts = _texts(docs, id_col, text_col)
+    held = texts.join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).select("doc", "th", "text", "wanted")
+    names = [*(n for n, _ in _UNIT), "k0", "k1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                asked = row["wanted"].flatten().to_numpy().view(np.uint64)
+                nth, s, e, k0, k1 = windows(row["text"][0].as_py() or "", words, size, asked)
+                if len(nth):
+                    zero = pa.array(np.zeros(len(nth), np.int32))
+                    ints = [pa.array(x.astype(np.int32)) for x in (nth, s, e, np.full(len(nth), size))]
+                    yield pa.RecordBatch.from_arrays(
+                        [row["doc"].take(zero), row["th"].take(zero), *ints, pa.array(k0), pa.array(k1)], names
+                    )
+
+    return settle(held.mapInArrow(run, "doc long, th long, nth int, s int, e int, words int, k0 long, k1 long"))
 
 
 def repeated_spans(
@@ -64,35 +169,40 @@ def repeated_spans(
     """(doc, th, start, end, n_units, n_words, kept_in) of every span to remove.
 
     A unit is repeated unless it is the earliest occurrence of its digest by id and offset. Neighbouring repeated
-    units form a span if they have ``min_words`` words together. Offsets are code points of the original text, end
-    exclusive. ``kept_in`` is the smallest id that keeps one of the span's units.
+    units form a span if they have ``min_words`` words together. Units are lines, or at the level ``clause`` windows
+    of ``min_words`` words: so each place where ``min_words`` words or more follow each other as at an earlier place,
+    in whatever case and spacing, is covered whole. ``n_words`` counts each word once. Offsets are code points of the
+    original text, end exclusive. ``kept_in`` is the smallest id that keeps one of the span's units.
 
     Defined cases: null and empty texts have no units; a null id ranks after every id; rows with one id and text
-    are one document, and each loses the same spans; an empty table gives an empty result.
+    are one document, and each loses the same spans; windows overlap, so a text that repeats itself keeps the start
+    of its first round; an empty table gives an empty result.
     """
+    found = line_rows(docs, id_col, text_col) if level == "line" else window_rows(docs, min_words, id_col, text_col)
     rank = F.struct(F.col("doc").isNull().alias("late"), "doc", "s", "th")
     firsts = (
-        unit_rows(docs, level, id_col, text_col)
-        .groupBy("digest")
+        found.groupBy("k0", "k1")
         .agg(F.min(rank).alias("first"), F.max(rank).alias("final"))
         .where(F.col("first") != F.col("final"))
-        .select(F.col("digest").alias("_digest"), F.col("first.doc").alias("d0"), F.col("first.s").alias("s0"), F.col("first.th").alias("t0"))
+        .select("k0", "k1", F.col("first.doc").alias("d0"), F.col("first.s").alias("s0"), F.col("first.th").alias("t0"))
     )
     again = (
-        unit_rows(docs, level, id_col, text_col)
-        .join(firsts, F.col("digest") == F.col("_digest"))
+        found.join(firsts, ["k0", "k1"])
         .where(~(F.col("doc").eqNullSafe(F.col("d0")) & (F.col("s") == F.col("s0")) & (F.col("th") == F.col("t0"))))
         .select("doc", "th", "nth", "s", "e", "words", "d0")
     )
     inside = Window.partitionBy("doc", "th").orderBy("nth")
     runs = again.withColumn("run", F.col("nth") - F.dense_rank().over(inside))
+    n_units = (F.max("nth") - F.min("nth") + 1).cast("long")
+    # Equal rows of one document repeat all its units alike.
+    n_words = F.floor(F.sum("words") * n_units / F.count("*")) if level == "line" else n_units + min_words - 1
     return (
         runs.groupBy("doc", "th", "run")
         .agg(
             F.min("s").alias("start"),
             F.max("e").alias("end"),
-            F.countDistinct("nth").cast("long").alias("n_units"),
-            F.sum("words").cast("long").alias("n_words"),
+            n_units.alias("n_units"),
+            n_words.cast("long").alias("n_words"),
             F.min("d0").alias("kept_in"),
         )
         .where(F.col("n_words") >= min_words)

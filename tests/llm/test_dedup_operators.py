@@ -245,6 +245,59 @@ def test_substring_spans_equal_plain_python(spark, sf_dir):
     assert got == sorted(plain_spans(rows)) and got
 
 
+def word_windows(rows, size=25):
+    """Code points of every word that lies in a window of ``size`` words which an earlier place holds, by brute force."""
+    seen, out = set(), {}
+    for d, t in sorted(r for r in rows if r[1]):
+        at = [(m.start(), m.end()) for m in re.finditer(r"\S+", t)]
+        words = [t[s:e].lower() for s, e in at]
+        for k in range(len(words) - size + 1):
+            window = tuple(words[k : k + size])
+            if window in seen:
+                out.setdefault(d, set()).update(range(at[k][0], at[k + size - 1][1]))
+            seen.add(window)
+    return out
+
+
+def spanned(spans):
+    out = {}
+    for r in spans.collect():
+        out.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    return out
+
+
+def test_substring_finds_whole_passages_wherever_they_stand(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    plain = [word() for _ in range(150)]  # no mark at all
+    clipped = [w + "." if k % 2 else w for k, w in enumerate(word() for _ in range(60))]  # clauses of two words
+    rows, want = [], {}
+    for k, passage in enumerate([plain, clipped, plain[40:90], clipped[5:30], plain[:24]]):
+        for again in (False, True):
+            head, tail = [[word() for _ in range(rng.randint(3, 30))] for _ in range(2)]
+            text = [" ".join(x.upper() if again else x for x in (" ".join(head), (" \n" if again else " ").join(passage), " ".join(tail)))]
+            rows.append((10 * k + again, text[0]))
+            start = len(" ".join(head)) + 1
+            if len(passage) >= 25 and (again or k in (2, 3)):
+                want[10 * k + again] = set(range(start, len(text[0]) - len(" ".join(tail)) - 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.repeated_spans(docs).withColumnRenamed("doc", "doc_id")
+    assert spanned(got) == want
+    assert {r["doc_id"]: r["n_words"] for r in got.collect()} == {1: 150, 11: 60, 20: 50, 21: 50, 30: 25, 31: 25}
+
+
+def test_substring_covers_all_windows_that_recur(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
+    assert spanned(queries.op10_substring_dedup(spark, sf_dir)) == word_windows(rows)
+
+
+def test_substring_counts_words_of_equal_rows_once(spark):
+    passage = " ".join(f"word{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, passage), (2, passage), (2, passage)], "doc_id long, text string")
+    for level in ("clause", "line"):
+        assert [(r["doc"], r["n_words"]) for r in substring_dedup.repeated_spans(docs, level).collect()] == [(2, 30)]
+
+
 def test_substring_cuts_keep_the_rest(spark):
     passage = "Here is a long passage, with commas; and sixteen words or more of text. It goes on, for a good while longer, until it ends at last somewhere."
     docs = spark.createDataFrame([(1, f"Start one. {passage} End one."), (2, f"Begin two. {passage} Finish two."), (3, None)], "doc_id long, text string")
