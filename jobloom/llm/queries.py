@@ -31,7 +31,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex",
-        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_live", "n_example",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_live", "n_example", "n_repos", "n_owners",
     )
 
 

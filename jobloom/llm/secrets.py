@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates are the fixed patterns plus bare tokens that look like keys. Their hashes are aggregated over the corpus
-by distinct repositories and distinct owners. A value under many owners is a copied example; a value of one owner
-is live-looking. Bare tokens become findings only where ownership says live-looking.
+by distinct repositories and distinct owners. A value under many owners, or in many repositories of few owners, is a
+copied example; a value of few repositories and owners is live-looking. Bare tokens become findings only where ownership says live-looking.
 """
 
 from __future__ import annotations
@@ -121,24 +121,27 @@ def scan(
     text_col: str = "text",
     owner_col: str = "source",
     repo_col: str = "doc_id",
+    example_repos: int = 10,
 ) -> DataFrame:
-    """(doc, n_assign, n_access, n_hex, base, spans, n_live, n_example) for every row of ``docs``.
+    """(doc, n_assign, n_access, n_hex, base, spans, n_live, n_example, n_repos, n_owners) for every row of ``docs``.
 
     ``spans`` lists the base findings and the live-looking bare tokens as kind:start:end in code points, by start and
-    then kind. A value is live-looking while fewer than ``example_owners`` distinct owners hold it, an example from
-    there on. ``n_live`` and ``n_example`` count findings by that verdict.
+    then kind; ``n_repos`` and ``n_owners`` list, in the same order, how many distinct repositories and owners hold the
+    value. A value is an example from ``example_owners`` distinct owners or ``example_repos`` distinct repositories
+    on, live-looking below both. ``n_live`` and ``n_example`` count findings by that verdict.
 
     Defined cases: a null text is empty; a null owner or repository is one more owner or repository; a value counts
     once per repository however often it recurs; an empty table gives an empty result.
     """
     keyed = settle(candidates(docs, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id()))
-    known = ownership(keyed).withColumn("live", F.col("n_owners") < example_owners).select("value", "live")
+    live = (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos)
+    known = ownership(keyed).withColumn("live", live)
     each = keyed.where(F.size("found") > 0).select("row", F.explode("found").alias("x"))
-    judged = each.join(known, each["x.value"] == known["value"]).select("row", "x", "live")
+    judged = each.join(known, each["x.value"] == known["value"]).select("row", "x", "live", "n_repos", "n_owners")
     listed = F.filter("xs", lambda x: (x["x"]["k"] < len(BASE)) | x["live"])
     per_row = (
         judged.groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("x.s", "x.k", "x.e", "x", "live"))).alias("xs"))
+        .agg(F.array_sort(F.collect_list(F.struct("x.s", "x.k", "x.e", "x", "live", "n_repos", "n_owners"))).alias("xs"))
         .select("row", listed.alias("xs"))
         .select(
             F.col("row").alias("_row"),
@@ -146,6 +149,8 @@ def scan(
                 F.transform("xs", lambda x: F.concat_ws(":", x["x"]["kind"], x["x"]["s"].cast("string"), x["x"]["e"].cast("string"))),
                 ",",
             ).alias("spans"),
+            F.array_join(F.transform("xs", lambda x: x["n_repos"].cast("string")), ",").alias("n_repos"),
+            F.array_join(F.transform("xs", lambda x: x["n_owners"].cast("string")), ",").alias("n_owners"),
             F.size(F.filter("xs", lambda x: x["live"])).cast("long").alias("n_live"),
             F.size(F.filter("xs", lambda x: ~x["live"])).cast("long").alias("n_example"),
         )
@@ -156,4 +161,6 @@ def scan(
         F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+        F.coalesce("n_repos", F.lit("")).alias("n_repos"),
+        F.coalesce("n_owners", F.lit("")).alias("n_owners"),
     )

@@ -76,6 +76,16 @@ def test_secret_ownership_tells_examples_from_live_values(spark):
     assert got[10]["spans"] == "" and got[10]["n_assign"] == 0
 
 
+def test_secret_copied_through_one_owner_is_an_example(spark):
+    copied, few = "Zx81Kq20Lm73Pw55", "Qa12Ws34Ed56Rf78"
+    rows = [(k, f"see {copied} here", "one") for k in range(10)] + [(k, f"my {few}", "one") for k in range(20, 29)]
+    rows += [(k, "token = abcdefg", "one") for k in range(30, 42)]
+    got = {r["doc"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k]["spans"] == "" and got[k]["n_live"] == 0 for k in range(10))
+    assert all(got[k]["spans"] == "bare:3:19" and got[k]["n_live"] == 1 and got[k]["n_repos"] == "9" for k in range(20, 29))
+    assert all((got[k]["n_example"], got[k]["n_live"], got[k]["n_repos"], got[k]["n_owners"]) == (1, 0, "12", "1") for k in range(30, 42))
+
+
 def _quality(text):
     text = text or ""
     words = WORD.findall(text)
