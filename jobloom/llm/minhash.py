@@ -167,6 +167,11 @@ def near_duplicates(
     row is placed by its own text, also where ids recur; a null id never becomes the id of a component with other ids; an empty table
     gives an empty result.
     """
+    return _placed(docs, width, percent, rounds, id_col, text_col).select("doc", "th", "n", "component")
+
+
+def _placed(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` with the ``root`` of each row's component, which tells components apart where ids recur."""
     rows = settle(sketches(docs, width, id_col, text_col))
     full = rows.where("n > 0")
     nodes = settle(
@@ -205,9 +210,9 @@ def near_duplicates(
 
     at = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("of.doc").alias("doc"))
     smallest = at.groupBy("root").agg(F.min("doc").alias("component"))
-    of_node = at.join(smallest, "root").select(F.col("node").alias("_node"), "component")
+    of_node = at.join(smallest, "root").select(F.col("node").alias("_node"), "root", "component")
     linked = rows.drop("keys").join(of_node, F.col("node") == F.col("_node"), "left")
-    return linked.select("doc", "th", "n", F.coalesce("component", "doc").alias("component"))
+    return linked.select("doc", "th", "n", F.coalesce("component", "doc").alias("component"), "root")
 
 
 def _linked(roots: DataFrame, edges: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -226,8 +231,21 @@ def _apart(keys: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the rows that are near copies of a row with a smaller id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    gone = found.where("component <> doc").select(F.col("doc").alias("_doc")).distinct()
-    rows = packed(docs, _id=F.col(id_col).cast("long")).join(gone, F.col("_id") == F.col("_doc"), "left_anti")
-    return unpacked(rows, docs.columns)
+    """``docs`` with one row of each near-duplicate group: the first by id, null ids last, and then by text hash.
+
+    Of rows equal in id and text the smallest stays. Rows without words are in no group and all stay.
+    """
+    found = settle(_placed(docs, id_col=id_col, text_col=text_col, **how).where(F.col("root").isNotNull()).select("doc", "th", "root"))
+    rank = F.struct(F.col("doc").isNull().alias("late"), "doc", "th")
+    firsts = found.groupBy("root").agg(F.min(rank).alias("first"))
+    places = found.groupBy("doc", "th", "root").agg(F.count("*").alias("times"))
+    placed = places.join(firsts, "root").withColumn("kept", rank.eqNullSafe(F.col("first")))
+    key = [F.col("doc").alias("_doc"), F.col("th").alias("_th")]
+    here = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_th"))
+    rows = packed(docs, _id=F.col(id_col).cast("long"), _at=F.xxhash64(text_col))
+    rest = rows.join(placed.where("not kept").select(*key), here, "left_anti")
+    again = settle(placed.where("kept and times > 1").select(*key))
+    if not again.isEmpty():
+        one = rest.join(again, here, "left_semi").groupBy("_id", "_at").agg(F.min("_row").alias("_row"))
+        rest = rest.join(again, here, "left_anti").select("_row").union(one.select("_row"))
+    return unpacked(rest, docs.columns)

@@ -245,6 +245,18 @@ def test_substring_spans_equal_plain_python(spark, sf_dir):
     assert got == sorted(plain_spans(rows)) and got
 
 
+def test_one_row_of_each_group_stays_where_ids_recur_or_are_null(spark):
+    rng = random.Random(4)
+    base, other, third = ([f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(3))
+    near = base[:-1] + ["changed"]
+    a, copy, b, c = (" ".join(x) for x in (base, near, other, third))
+    rows = [(3, a), (5, copy), (5, b), (None, a), (None, copy), (7, c), (7, c), (None, "alone here"), (None, "alone here"), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in minhash.keep_one_of_each(docs).collect()]
+    want = [(3, a), (5, b), (7, c), (None, "alone here"), (8, ""), (8, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def word_windows(rows, size=25):
     """Code points of every word that lies in a window of ``size`` words which an earlier place holds, by brute force."""
     seen, out = set(), {}
