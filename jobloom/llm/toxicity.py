@@ -2,7 +2,8 @@
 
 An n-gram counts as present or absent in a text. Its naive Bayes log-count ratio between the labels scales the
 feature; logistic regression over the scaled features gives the weights. Both are fitted on a bounded sample of
-labelled documents; scoring is one pass over whole texts with a weight table of constant size.
+labelled documents by Spark jobs, which count the n-grams and sum the gradients; scoring is one pass over whole texts
+with a weight table of constant size.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm.text import map_rows
+from jobloom.session import discard, settle
 
 GRAMS = (3, 4, 5)
 BITS = 20
+FIT_TASKS = 16
 _PRIME = np.uint32(0x01000193)
 
 
@@ -37,59 +40,116 @@ def gram_ids(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def _blocks(sets: list[np.ndarray], slot: np.ndarray, entries: int = 1 << 19) -> Iterator[tuple[int, list[int], np.ndarray]]:
-    """(first text, features a text, features) of runs of texts with about ``entries`` features together."""
-    first, held, total = 0, [], 0
-    for k, ids in enumerate(sets):
-        found = slot[ids]
-        held.append(found[found >= 0])
-        total += len(held[-1])
-        if total >= entries or k == len(sets) - 1:
-            yield first, [len(r) for r in held], np.concatenate(held)
-            first, held, total = k + 1, [], 0
+def _counted(texts: DataFrame) -> DataFrame:
+    """(gram, n0, n1): how many of the (y, text) rows of each label hold the n-gram."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                for y, text in zip(part["y"].to_pylist(), part["text"].to_pylist()):
+                    count[y, np.unique(gram_ids(text))] += 1
+        found = np.flatnonzero(count.any(0))
+        for k in range(0, len(found), 1 << 16):
+            at = found[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(c[at].astype(np.int64)) for c in count)], ["gram", "n0", "n1"])
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, decay: float = 1.0, most: int = 60_000, steps: int = 200):
-    """(weights by n-gram id, intercept) from present-gram sets and 0/1 labels.
+    each = texts.select("y", "text").mapInArrow(run, "gram int, n0 long, n1 long")
+    return each.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    The log-count ratio is taken of smoothed presence counts. The ``most`` n-grams whose counts differ most between
-    the labels, by their ratio and their count, are fitted.
+
+def chosen_grams(texts: DataFrame, n0: int, n1: int, most: int, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(ids in order, log-count ratios) of the ``most`` n-grams whose counts differ most between the labels.
+
+    The log-count ratio is taken of smoothed presence counts. An n-gram ranks by its ratio and its count; it needs
+    three rows.
     """
-    size = 1 << BITS
-    y = labels.astype(np.float64)
-    count = np.zeros((2, size))
-    for ids, label in zip(sets, labels):
-        count[int(label), ids] += 1
-    weights = np.zeros(size, np.float32)
-    if not 0 < y.sum() < len(y):
-        share = (y.sum() + 1) / (len(y) + 2)
-        return weights, float(np.log(share / (1 - share)))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    ratio = np.log((count[1] + smooth) / (n1 + 2 * smooth)) - np.log((count[0] + smooth) / (n0 + 2 * smooth))
-    strength = np.abs(ratio) * np.sqrt(count.sum(0)) * (count.sum(0) >= 3)
-    chosen = np.argsort(-strength, kind="stable")[:most]
-    chosen = np.sort(chosen[strength[chosen] > 0])
-    slot = np.full(size, -1, np.int32)
-    slot[chosen] = np.arange(len(chosen), dtype=np.int32)
-    blocks = list(_blocks(sets, slot))
-    scale = ratio[chosen]
-    w, b = np.zeros(len(chosen)), float(np.log(n1 / n0))
-    gw2, gb2 = np.full(len(chosen), 1e-6), 1e-6
-    for _ in range(steps):
-        ws, gw, gb = w * scale, np.zeros(len(chosen)), 0.0
-        for first, sizes, cols in blocks:
-            at = np.repeat(np.arange(len(sizes)), sizes)
-            z = np.bincount(at, ws[cols], len(sizes)) + b
-            miss = y[first : first + len(sizes)] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            gw += np.bincount(cols, miss[at], len(chosen))
-            gb += miss.sum()
-        gw = gw * scale - decay * w
-        gw2 += gw**2
-        gb2 += gb**2
-        w += 0.1 * gw / np.sqrt(gw2)
-        b += 0.1 * gb / np.sqrt(gb2)
-    weights[chosen] = w * scale
-    return weights, b
+    share = lambda c, n: F.log((F.col(c) + smooth) / F.lit(n + 2 * smooth))
+    both = F.col("n0") + F.col("n1")
+    rated = _counted(texts).where(both >= 3).select("gram", (share("n1", n1) - share("n0", n0)).alias("ratio"), both.alias("both"))
+    rated = rated.withColumn("strength", F.abs("ratio") * F.sqrt("both")).where("strength > 0")
+    best = rated.orderBy(F.desc("strength"), "gram").limit(most).select("gram", "ratio").toArrow()  # `most` rows
+    ids = best["gram"].to_numpy()
+    order = np.argsort(ids)
+    return ids[order], best["ratio"].to_numpy()[order]
+
+
+def _features(texts: DataFrame, grams: np.ndarray) -> DataFrame:
+    """(y, slots): of each text the places of its n-grams in ``grams``, as bytes of unsigned 32-bit numbers."""
+    held = texts.sparkSession.sparkContext.broadcast(grams.astype(np.int32))
+
+    def run(rows: Iterator[dict]) -> Iterator[dict]:
+        slot = np.full(1 << BITS, -1, np.int32)
+        slot[held.value] = np.arange(len(held.value), dtype=np.int32)
+        for row in rows:
+            found = slot[np.unique(gram_ids(row["text"]))]
+            yield {"y": row["y"], "slots": found[found >= 0].astype(np.uint32).tobytes()}
+
+    return map_rows(texts.select("y", "text"), run, "y int, slots binary", pa.schema([("y", pa.int32()), ("slots", pa.binary())]), 200)
+
+
+def _loss(features: DataFrame, scale: np.ndarray, x: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Regularised logistic loss and its gradient at x (weights, intercept): the tasks sum, the driver adds the tasks' sums."""
+    held = features.sparkSession.sparkContext.broadcast((x[:-1] * scale, float(x[-1])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ws, b = held.value
+        grad, loss = np.zeros(len(ws) + 1), 0.0
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                y = part["y"].to_numpy().astype(np.float64)
+                slots = [np.frombuffer(s, np.uint32) for s in part["slots"].to_pylist()]
+                cols = np.concatenate(slots)
+                at = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
+                z = np.bincount(at, ws[cols], len(slots)) + b
+                loss += float((np.logaddexp(0, z) - y * z).sum())
+                miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+                grad[:-1] += np.bincount(cols, miss[at], len(ws))
+                grad[-1] += miss.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad.tobytes()], pa.binary())], ["loss", "grad"])
+
+    parts = features.mapInArrow(run, "loss double, grad binary").collect()  # a row a task, FIT_TASKS at most
+    held.unpersist()
+    grad = np.sum([np.frombuffer(r["grad"], np.float64) for r in parts], axis=0)
+    grad[:-1] = grad[:-1] * scale + decay * x[:-1]
+    return sum(r["loss"] for r in parts) + decay / 2 * float(x[:-1] @ x[:-1]), grad
+
+
+def minimum(loss, x: np.ndarray, steps: int = 30, memory: int = 8, still: float = 1e-3) -> np.ndarray:
+    """Where limited-memory BFGS with halved steps takes ``loss`` (value and gradient) from x, in ``steps`` calls at most.
+
+    It ends early once a step lowers the value by less than ``still`` of itself.
+    """
+    value, grad = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    calls, stride = 1, 1 / max(1.0, float(np.linalg.norm(grad)))
+    while calls < steps:
+        way, held = grad.copy(), []
+        for s, g in reversed(past):
+            held.append(float(s @ way) / float(s @ g))
+            way -= held[-1] * g
+        way *= float(past[-1][0] @ past[-1][1]) / float(past[-1][1] @ past[-1][1]) if past else stride
+        for (s, g), h in zip(past, reversed(held)):
+            way += (h - float(g @ way) / float(s @ g)) * s
+        slope, size = -float(way @ grad), 1.0
+        while True:
+            next_value, next_grad = loss(x - size * way)
+            calls += 1
+            if next_value <= value + 1e-4 * size * slope or calls >= steps:
+                break
+            size /= 2
+        if next_value >= value:
+            break
+        step, bend = -size * way, next_grad - grad
+        if float(step @ bend) > 1e-12:
+            past = [*past, (step, bend)][-memory:]
+        done = value - next_value < still * value
+        x, value, grad = x + step, next_value, next_grad
+        if done:
+            break
+    return x
 
 
 def held_out(c):
@@ -101,35 +161,41 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     max_docs: int = 8000,
+    most: int = 60_000,
+    decay: float = 1.0,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
 ):
-    """Fit on ``max_docs`` labelled documents at most, in hash order of their ids, none of them held out.
+    """(weights by n-gram id, intercept), fitted on half of ``max_docs`` documents a label at most.
 
-    The driver holds their n-gram ids once, four bytes each, and works on them in blocks.
+    They are the first of each label in hash order of their ids, none of them held out; the intercept is then set
+    to the labels' true shares. Presence counts, the choice of ``most`` n-grams and the sums of every gradient are
+    Spark jobs: the driver holds vectors of ``most`` numbers, no texts and no n-grams of texts.
+
+    Defined cases: rows without id, label or text aren't learned from; without both labels all weights are 0.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(
-        F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")
+        F.col(id_col).alias("_id"), (F.col(label_col).cast("int") != 0).cast("int").alias("y")
     )
-    sample = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id", "y").limit(max_docs))
-
-    def run(rows: Iterator[dict]) -> Iterator[dict]:
-        for row in rows:
-            yield {"id": row["_id"], "y": row["y"], "ids": np.unique(gram_ids(row["text"])).astype(np.int32)}
-
-    arrow = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("ids", pa.list_(pa.int32()))])
+    first = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_docs // 2)
+    sample = F.broadcast(first(0).union(first(1)))  # max_docs rows at most
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(sample, F.col("id") == F.col("_id")).select("_id", "y", "text")
-    got = map_rows(rows, run, "id long, y int, ids array<int>", arrow, 200).toArrow()
-    sets = []
-    for part in got["ids"].chunks:  # views of the Arrow buffers, no copies
-        ends = part.offsets.to_numpy()
-        flat = part.values.to_numpy()
-        sets += [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
-    y = got["y"].to_numpy()
-    order = np.lexsort((y, got["id"].to_numpy()))
-    return fit([sets[k] for k in order], y[order])
+    rows = settle(texts.join(sample, F.col("id") == F.col("_id")).select("y", "text"))
+    count = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    n0, n1 = count.get(0, 0), count.get(1, 0)
+    weights = np.zeros(1 << BITS, np.float32)
+    if not n0 or not n1:
+        discard(rows)
+        share = (n1 + 1) / (n0 + n1 + 2)
+        return weights, float(np.log(share / (1 - share)))
+    every = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    grams, scale = chosen_grams(rows, n0, n1, most)
+    features = settle(_features(rows, grams).coalesce(FIT_TASKS))
+    x = minimum(lambda x: _loss(features, scale, x, decay), np.append(np.zeros(len(grams)), np.log(n1 / n0)))
+    discard(rows, features)
+    weights[grams] = x[:-1] * scale
+    return weights, float(x[-1] + np.log(every[1] / every[0]) - np.log(n1 / n0))
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
