@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from jobloom.llm.graph import components, renamed
 from jobloom.llm.text import WordHash, map_rows, packed, scramble, shingle_hashes, unpacked
-from jobloom.session import settle
+from jobloom.session import discard, settle
 
 SUB_KEYS, SUB_ROWS = 12, 2
 BROADCAST_ROWS = 100_000
@@ -125,29 +125,32 @@ def _prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame
     set's rows go to every size class that its partners can have; a shingle that only one set holds joins nothing.
     """
     t = percent / 100
-    tok = sets.join(placed, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    sized = sets.select("node", F.size("shingles").alias("n")).join(placed, "node")
+    ids = settle(sized.select("node", "n", F.xxhash64("root").alias("r"), F.monotonically_increasing_id().alias("id")))
+    tok = sets.join(ids, "node").select("id", F.explode("shingles").alias("s"))
     known = tok.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = (
-        tok.join(known, "s", "left")
-        .groupBy("node")
-        .agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "s"))).alias("all"))
-        .select("node", "root", "n", F.posexplode(F.slice("all", F.lit(1), (F.floor(F.col("n") * (1 - t)) + 2).cast("int"))).alias("i", "x"))
-        .where("x.c > 1")
-        .select("node", "root", "n", "i", "x.s")
+    shared = tok.join(known, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("all"))
+    # A set's own shingles, which no other set holds, come first in the order: only their number counts.
+    ranked = settle(
+        shared.join(ids.select("id", "n", "r"), "id")
+        .select("id", "n", "r", (F.col("n") - F.size("all")).alias("own"), F.floor(F.col("n") * (1 - t)).cast("int").alias("cut"), "all")
+        .select("id", "n", "r", "own", F.posexplode(F.slice("all", F.lit(1), F.greatest(F.col("cut") + 2 - F.col("own"), F.lit(0)))).alias("k", "x"))
+        .select("id", "n", "r", (F.col("own") + F.col("k")).alias("i"), "x.s")
     )
-    ranked = settle(ranked)
     size_class = lambda n: F.floor(F.log(n) / F.lit(math.log(1.05))).cast("int")
-    small = ranked.select(F.col("node").alias("a"), F.col("root").alias("ra"), "n", "i", "s", size_class(F.col("n")).alias("z"))
+    small = ranked.select(F.col("id").alias("a"), F.col("r").alias("ra"), "n", "i", "s", size_class(F.col("n")).alias("z"))
     most = F.least(F.col("n").cast("double"), (F.col("n") - F.col("i")) * ((1 + t) / t) - F.col("n") + 1)
     low = F.greatest(F.lit(1.0), F.col("n") * t)
     large = (
         ranked.where(most >= low)
-        .select(F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("i").alias("j"), "s", F.explode(F.sequence(size_class(low) - 1, size_class(most))).alias("z"))
+        .select(F.col("id").alias("b"), F.col("r").alias("rb"), F.col("n").alias("m"), F.col("i").alias("j"), "s", F.explode(F.sequence(size_class(low) - 1, size_class(most))).alias("z"))
     )
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
     fits = (F.col("ra") != F.col("rb")) & (100 * F.col("n") >= percent * F.col("m")) & (F.col("n") - F.col("i") >= need) & (F.col("m") - F.col("j") >= need)
     once = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
-    return small.join(large, (small["s"] == large["s"]) & (small["z"] == large["z"]) & once & fits).select("a", "b").distinct()
+    found = small.join(large, (small["s"] == large["s"]) & (small["z"] == large["z"]) & once & fits).select("a", "b").distinct()
+    name = lambda end: ids.select(F.col("id").alias(end), F.col("node").alias(f"{end}_node"))
+    return found.join(name("a"), "a").join(name("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
 def near_duplicates(
@@ -207,6 +210,7 @@ def _placed(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2,
     else:
         left = members.select("node", "root").distinct()
         roots = _linked(roots, _verified(_prefix_pairs(sets, settle(left), percent), sets, percent))
+    discard(keys, weights, wanted, sets)
 
     at = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("of.doc").alias("doc"))
     smallest = at.groupBy("root").agg(F.min("doc").alias("component"))
