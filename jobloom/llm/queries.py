@@ -19,7 +19,7 @@ from jobloom.llm import (
     toxicity,
     warc,
 )
-from jobloom.session import settle, shared_dir, table
+from jobloom.session import remove, settle, shared_dir, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +91,7 @@ def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     records = settle(warc.read_archives(spark, path))
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files.getFileSystem(spark._jsc.hadoopConfiguration()).delete(files, True)
+    remove(spark, path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     return records.select(
         page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest",

@@ -1,12 +1,14 @@
 """WARC archives: writing pages, and reading records back by boundary-chain verification.
 
 Writing: of equal payloads the page with the smallest id is a response record, the others are revisit records
-without the payload. Spark's text writer writes the records, each closed by the blank lines that end a record.
+without the payload. Every file begins with a warcinfo record. Spark's text writer writes the records, each closed by
+the blank lines that end a record; the files bear its extension.
 
 Reading: tasks cut the archives at the record magic and emit, for every place where it occurs, the offset of the
 candidate record and of its successor, as its header states the length. Pointer jumping from each file's start then
 keeps the records that the chain of successors reaches. Magic inside a payload starts no reachable record. A payload
-that holds magic spans several pieces; these are put together again.
+that holds magic spans several pieces; these are put together again, and are known by file and content hash, which
+stay the same however a later scan cuts the files.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+ROW_OF_TASK = (1 << 33) - 1
 
 
 def sha1_base32(c: Column) -> Column:
@@ -54,7 +58,7 @@ def with_origin(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     )
 
 
-def record_text(url: Column, page: Column, payload: Column, digest: Column, size: Column, origin: Column) -> Column:
+def record_text(url: Column, page: Column, payload: Column, digest: Column, size: Column, origin: Column, date: str) -> Column:
     """One record without its closing blank lines. The block of a revisit has the HTTP header alone."""
     response = origin.isNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit(END))
@@ -63,21 +67,41 @@ def record_text(url: Column, page: Column, payload: Column, digest: Column, size
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">\r\n"))
     return F.concat(
         F.lit(MAGIC + "WARC-Type: "), F.when(response, F.lit("response")).otherwise(F.lit("revisit")),
-        F.lit("\r\nWARC-Record-ID: "), name(page), F.lit("WARC-Target-URI: "), uri,
+        F.lit("\r\nWARC-Record-ID: "), name(page), F.lit(f"WARC-Date: {date}\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), digest, F.lit("\r\n"),
-        F.when(response, F.lit("")).otherwise(F.concat(F.lit("WARC-Refers-To: "), name(origin))),
+        F.when(response, F.lit("")).otherwise(F.concat(F.lit(f"WARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: "), name(origin))),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
         F.lit(END), block,
     )
 
 
+def info_text(date: str) -> Column:
+    """The warcinfo record that a file begins with, without its closing blank lines; its id is new for every task."""
+    fields = "format: WARC File Format 1.1\r\nsoftware: jobloom\r\n"
+    return F.concat(
+        F.lit(f"{MAGIC}WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:archive-part:"), F.spark_partition_id().cast("string"),
+        F.lit(f">\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(fields)}{END}{fields}"),
+    )
+
+
 def write_archives(
-    pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", min_bytes: int = 0, broadcast_rows: int = 50_000
+    pages: DataFrame,
+    path: str,
+    id_col: str = "page_id",
+    html_col: str = "html",
+    url_col: str = "url",
+    min_bytes: int = 0,
+    broadcast_rows: int = 50_000,
+    date: str = "1970-01-01T00:00:00Z",
 ) -> None:
-    """Write ``pages`` as WARC files under ``path``, a record per row.
+    """Write ``pages`` as WARC files under ``path``, a record per row and a warcinfo record first in each file.
 
     Only the revisits' origins are joined to the pages: broadcast if they are ``broadcast_rows`` at most, else by a
-    shuffle. Rows that share an id share the fate of their payload.
+    shuffle. ``date`` is the time of capture that all records state, as pages bear none.
+
+    Defined cases: a null html is an empty payload, a null url is ``urn:none``; rows that share an id and a payload
+    are records of one name, all of them responses or all revisits; of equal payloads whose ids are all null each is a
+    response; an empty table may give no file or one without pages.
     """
     origins = settle(with_origin(pages, id_col, html_col, min_bytes).where("origin is not null").select("digest", "origin", F.col("page").alias("_page")).distinct())
     if origins.count() <= broadcast_rows:
@@ -86,12 +110,15 @@ def write_archives(
     rows = pages.select(
         F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload"), sha1_base32(payload).alias("d"), F.octet_length(payload).alias("size")
     ).join(origins, F.col("page").eqNullSafe(F.col("_page")) & (F.col("d") == F.col("digest")), "left")
-    rows.select(record_text(*map(F.col, ("url", "page", "payload", "d", "size", "origin"))).alias("value")).write.option("lineSep", END).mode("overwrite").text(path)
+    record = record_text(*map(F.col, ("url", "page", "payload", "d", "size", "origin")), date)
+    first = F.monotonically_increasing_id().bitwiseAND(ROW_OF_TASK) == 0
+    text = F.concat(F.when(first, F.concat(info_text(date), F.lit(END))).otherwise(F.lit("")), record)
+    rows.select(text.alias("value")).write.option("lineSep", END).mode("overwrite").text(path)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """(file, block_start, mid, piece): the text after every magic, in file order; what precedes the first is the piece
-    at the file's very start and usually empty."""
+    at the file's very start and usually empty. ``mid`` holds within one job only."""
     return (
         spark.read.option("lineSep", MAGIC)
         .text(path)
@@ -133,7 +160,7 @@ def reachable(candidates: DataFrame, stretch: int = 64 << 20) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, type, record_id, refers_to, stated_digest, payload_bytes, payload_digest) of every record.
+    """(file, at, type, record_id, refers_to, stated_digest, payload_bytes, payload_digest) of every record but warcinfo.
 
     Digest and length of a response are taken of the payload that was read. A revisit states both in its header.
     Records with a length that points past the file, or without one, end their file's chain. Files without magic
@@ -155,7 +182,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     pieces = hold(pieces, "hexed", F.when(F.col("whole"), F.sha1("payload")))
     rows = settle(
         pieces.select(
-            "file", "block_start", "mid", "length", "head", F.octet_length("piece").alias("bytes"), "whole",
+            "file", "block_start", "mid", "length", "head", F.octet_length("piece").alias("bytes"), "whole", *_content(F.col("piece")),
             F.lower(_header(F.col("top"), "WARC-Type")).alias("type"),
             _header(F.col("top"), "WARC-Record-ID").alias("record_id"),
             _header(F.col("top"), "WARC-Refers-To").alias("refers_to"),
@@ -181,6 +208,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     records = found.join(kept, ["file", "at"]).select(
         "file", "at", "next", "type", "record_id", "refers_to", "stated_digest", "whole", "payload_bytes", "payload_digest", "http_length", "head", "length"
     )
+    records = records.where(~F.col("type").eqNullSafe("warcinfo"))
     done = records.where("whole")
     split = records.where("not whole")
     parts = _spanning(spark, path, placed, split)
@@ -193,18 +221,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _content(piece: Column) -> list[Column]:
+    """(c0, c1): 128 bits of a piece's content, by which another scan finds its text again."""
+    return [F.xxhash64(piece).alias("c0"), F.xxhash64(F.lit(7), piece).alias("c1")]
+
+
 def _spanning(spark: SparkSession, path: str, placed: DataFrame, split: DataFrame) -> DataFrame:
     """(file, at, payload_bytes, payload_digest) of the records whose block holds magic, from their pieces."""
     spans = settle(split.select("file", "at", "next"))
     # A piece belongs to the last reachable record at or before it; only files with such records are looked at.
-    marks = placed.select("file", F.col("at").alias("p"), "block", "mid").join(spans.select("file").distinct(), "file", "left_semi")
+    marks = placed.select("file", F.col("at").alias("p"), "c0", "c1").join(spans.select("file").distinct(), "file", "left_semi")
     owner = spans.withColumn("p", F.col("at")).select("file", "p", "at", "next")
     both = marks.join(owner, ["file", "p"], "left")
     run = Window.partitionBy("file").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     mine = both.withColumn("at", F.last("at", True).over(run)).withColumn("next", F.last("next", True).over(run)).where("p < next")
-    mine = settle(mine.select("file", "block", "mid", "p", "at"))
-    texts = _pieces(spark, path).withColumnRenamed("block_start", "block").join(mine, ["file", "block", "mid"])
-    whole = texts.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("p", "piece"))).alias("ps"))
+    mine = settle(mine.select("file", "p", "at", "c0", "c1"))
+    wanted = mine.select("c0", "c1").distinct()
+    texts = _pieces(spark, path).select(*_content(F.col("piece")), "piece").join(wanted, ["c0", "c1"]).dropDuplicates(["c0", "c1"])
+    whole = mine.join(texts, ["c0", "c1"]).groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("p", "piece"))).alias("ps"))
     text = F.array_join(F.transform("ps", lambda x: x["piece"]), MAGIC)
     whole = whole.select("file", "at", text.alias("piece"))
     body = F.expr("substr(piece, length(substring_index(piece, '\r\n\r\n', 1)) + 5)")

@@ -216,6 +216,68 @@ def test_archives_give_the_pages_back(spark, tmp_path):
     assert len(got) == len(pages)
 
 
+def plain_records(raw):
+    """Headers and blocks of a WARC file by its stated lengths alone."""
+    at, out = 0, []
+    while at < len(raw):
+        stop = raw.index(b"\r\n\r\n", at)
+        version, *lines = raw[at:stop].decode().split("\r\n")
+        assert version == "WARC/1.1"
+        head = dict(x.split(": ", 1) for x in lines)
+        at = stop + 4 + int(head["Content-Length"])
+        assert raw[at : at + 4] == b"\r\n\r\n"
+        out.append((head, raw[stop + 4 : at]))
+        at += 4
+    return out
+
+
+def test_archives_are_read_by_another_reader(spark, sf_dir, tmp_path):
+    warc.write_archives(table(spark, sf_dir, "pages"), str(tmp_path / "w"))
+    pages = {f"<urn:page:{r['page_id']}>": (r["html"] or "").encode() for r in table(spark, sf_dir, "pages").collect()}
+    seen = 0
+    for file in (tmp_path / "w").glob("part-*"):
+        records = plain_records(file.read_bytes())
+        assert [h["WARC-Type"] for h, _ in records].count("warcinfo") == 1 and records[0][0]["WARC-Type"] == "warcinfo"
+        for head, block in records:
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["WARC-Date"]) and head["WARC-Record-ID"] and head["Content-Type"]
+            if head["WARC-Type"] == "warcinfo":
+                continue
+            seen += 1
+            payload = pages[head["WARC-Record-ID"]]
+            assert head["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            if head["WARC-Type"] == "revisit":
+                assert head["WARC-Profile"].endswith("identical-payload-digest") and pages[head["WARC-Refers-To"]] == payload
+            else:
+                assert block.split(b"\r\n\r\n", 1)[1] == payload
+    assert seen == len(pages)
+
+
+def test_archives_survive_other_splits_between_scans(spark, tmp_path, monkeypatch):
+    magic = "x WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    pages = [(k, "http://a", f"{k} {magic} {k}" if k % 3 == 0 else f"page {k} " * (k % 7)) for k in range(60)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2), str(tmp_path / "w"))
+    scan, sizes = warc._pieces, iter(("900", "2k"))
+
+    def other(spark, path):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return scan(spark, path)
+
+    monkeypatch.setattr(warc, "_pieces", other)
+    try:
+        got = {r["record_id"]: r["payload_digest"] for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"<urn:page:{k}>": base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for k, _, t in pages}
+
+
+def test_archives_of_pages_with_one_id_or_none(spark, tmp_path):
+    pages = [(None, "u", "same"), (None, "u", "same"), (1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (2, "u", "b"), (2, None, None)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = Counter((r["record_id"], r["type"], r["payload_bytes"], r["refers_to"]) for r in warc.read_archives(spark, str(tmp_path / "w")).collect())
+    one, two, none = ("<urn:page:%s>" % k for k in (1, 2, "null"))
+    assert got == {(none, "response", 4, None): 2, (one, "response", 1, None): 3, (two, "revisit", 1, one): 1, (two, "response", 0, None): 1}
+
+
 def test_archive_chain_ignores_what_no_record_points_to(spark):
     rows = [("f", 0, 10), ("f", 4, 6), ("f", 6, 10), ("f", 10, 30), ("f", 30, 31), ("g", 5, 9), ("h", 0, 7)]
     got = {tuple(r) for r in warc.reachable(spark.createDataFrame(rows, "file string, at long, next long")).collect()}
