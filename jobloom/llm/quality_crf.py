@@ -2,8 +2,9 @@
 
 Every line gets a few measured features. The field's two labels are content and boilerplate; Viterbi decoding
 labels a text's lines together, and the share of characters in content lines decides whether the text stays.
-The field is trained here, by maximum likelihood, on a bounded sample of labelled documents whose quality label
-stands for each of their lines.
+The field is trained here, by maximum likelihood, on a bounded sample of labelled documents. A document's quality label
+stands for each of its lines; most training sequences join the lines of a good document and of a bad one, so that labels
+change within them and the transitions are learned too.
 """
 
 from __future__ import annotations
@@ -80,24 +81,42 @@ def content_share(text: str, weights: np.ndarray, step: np.ndarray) -> float:
     return float(sizes[labels == CONTENT].sum() / sizes.sum())
 
 
-def fit_field(sequences: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.5, decay: float = 1e-3):
-    """Maximum-likelihood weights (2, features) and transitions (2, 2) by gradient ascent over padded sequences.
+def joined(good: list[np.ndarray], bad: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels) of training sequences: of four pairs one stays apart, the others put bad lines into, before or
+    after good ones. The shorter list is gone through again and again; without one of them the sequences stay pure."""
+    pure = lambda x, y: (x, np.full(len(x), y))
+    if not good or not bad:
+        return [pure(x, CONTENT) for x in good] + [pure(x, BOILERPLATE) for x in bad]
+    out = []
+    for k in range(max(len(good), len(bad))):
+        g, b = pure(good[k % len(good)], CONTENT), pure(bad[k % len(bad)], BOILERPLATE)
+        half = len(g[0]) // 2
+        parts = ([g], [(g[0][:half], g[1][:half]), b, (g[0][half:], g[1][half:])], [b, g], [g, b])[k % 4]
+        out.append(tuple(np.concatenate(x) for x in zip(*parts)))
+        if k % 4 == 0:
+            out.append(b)
+    return out
+
+
+def fit_field(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.5, decay: float = 1e-3):
+    """Maximum-likelihood weights (2, features) and transitions (2, 2) of (features, labels) by line, by gradient ascent.
 
     Sequences longer than 64 lines are trained on in pieces of 64.
     """
-    pieces = [(s[k : k + 64], y) for s, y in zip(sequences, labels) for k in range(0, len(s), 64)]
+    pieces = [(s[k : k + 64], y[k : k + 64]) for s, y in sequences for k in range(0, len(s), 64)]
     if not pieces:
         return np.zeros((2, FEATURES)), np.zeros((2, 2))
     long = max(len(s) for s, _ in pieces)
     x = np.zeros((len(pieces), long, FEATURES))
     mask = np.zeros((len(pieces), long), bool)
-    y = np.array([v for _, v in pieces])
-    for k, (s, _) in enumerate(pieces):
+    truth = np.zeros((len(pieces), long, 2))
+    for k, (s, y) in enumerate(pieces):
         x[k, : len(s)], mask[k, : len(s)] = s, True
-    weight = np.where(y == 1, len(y) / max(2 * (y == 1).sum(), 1), len(y) / max(2 * (y == 0).sum(), 1))
+        truth[k, np.arange(len(s)), y] = 1
+    steps_seen = np.einsum("nta,ntb->ab", truth[:, :-1], truth[:, 1:])
     w, step = np.zeros((2, FEATURES)), np.zeros((2, 2))
     gw2, gs2 = np.full_like(w, 1e-8), np.full_like(step, 1e-8)
-    total = (mask.sum(1) * weight).sum()
+    total = mask.sum()
     for _ in range(steps):
         emit = x @ w.T
         alpha = np.zeros((long, len(pieces), 2))
@@ -112,17 +131,11 @@ def fit_field(sequences: list[np.ndarray], labels: list[int], steps: int = 150,
             beta[t] = np.where(mask[:, t + 1, None], on, beta[t + 1])
         norm = np.logaddexp(alpha[-1, :, 0], alpha[-1, :, 1])
         held = np.exp(alpha + beta - norm[None, :, None]).transpose(1, 0, 2) * mask[:, :, None]
-        truth = np.zeros_like(held)
-        truth[np.arange(len(y)), :, y] = 1
-        truth *= mask[:, :, None]
-        diff = (truth - held) * weight[:, None, None]
-        gw = np.einsum("ntl,ntf->lf", diff, x) / total - decay * w
-        gs = np.zeros_like(step)
+        gw = np.einsum("ntl,ntf->lf", truth - held, x) / total - decay * w
+        gs = steps_seen.copy()
         for t in range(1, long):
             joint = alpha[t - 1, :, :, None] + step[None] + (emit[:, t] + beta[t])[:, None, :] - norm[:, None, None]
-            both = np.zeros_like(joint)
-            both[np.arange(len(y)), y, y] = 1
-            gs += ((both - np.exp(joint)) * (mask[:, t] * weight)[:, None, None]).sum(0)
+            gs -= (np.exp(joint) * mask[:, t, None, None]).sum(0)
         gs = gs / total - decay * step
         gw2 += gw**2
         gs2 += gs**2
@@ -131,10 +144,25 @@ def fit_field(sequences: list[np.ndarray], labels: list[int], steps: int = 150,
     return w, step
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
-    """Fit the field on ``max_docs`` labelled documents at most, taken in hash order of their ids."""
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    max_docs: int = 3000,
+    max_lines: int = 256,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+):
+    """Fit the field on ``max_docs`` labelled documents at most, taken in hash order of their ids.
+
+    A document of more than ``max_lines`` lines gives so many neighbouring ones to the training, from a place that its
+    id's hash sets.
+
+    Defined cases: rows without id, label, text or a line with a word aren't learned from; without any the field is zero
+    and every line counts as boilerplate.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")
+        F.col(id_col).alias("_id"), (F.col(label_col).cast("int") != 0).cast("int").alias("y")
     )
     per = [
         known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_docs // 2) for y in (0, 1)
@@ -144,15 +172,16 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, id_col: str
     def run(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
             found, _ = text_features(row["text"])
-            yield {"id": row["_id"], "y": row["y"], "x": found.astype(np.float32).ravel().tolist()}
+            at = row["h"] % max(len(found) - max_lines + 1, 1)
+            yield {"h": row["h"], "id": row["_id"], "y": row["y"], "x": found[at : at + max_lines].astype(np.float32).ravel().tolist()}
 
-    arrow = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float32()))])
+    arrow = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float32()))])
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(sample, F.col("id") == F.col("_id")).select("_id", "y", "text")
-    got = map_rows(rows, run, "id long, y int, x array<float>", arrow).toPandas().sort_values("id")
-    shaped = [np.asarray(v, np.float64).reshape(-1, FEATURES) for v in got["x"]]
-    kept = [(s, int(y)) for s, y in zip(shaped, got["y"]) if len(s)]
-    return fit_field([s for s, _ in kept], [y for _, y in kept])
+    rows = texts.join(sample, F.col("id") == F.col("_id")).select(F.xxhash64("_id").alias("h"), "_id", "y", "text")
+    got = map_rows(rows, run, "h long, id long, y int, x array<float>", arrow).toPandas().sort_values(["h", "id"])
+    shaped = [(np.asarray(v, np.float64).reshape(-1, FEATURES), int(y)) for v, y in zip(got["x"], got["y"])]
+    good, bad = ([s for s, y in shaped if y == label and len(s)] for label in (CONTENT, BOILERPLATE))
+    return fit_field(joined(good, bad))
 
 
 def judge(

@@ -118,9 +118,27 @@ def test_quality_keeps_good_and_rejects_bad_documents(spark):
     labels = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect()}
     judged = [(labels[r["doc_id"]], r["kept"]) for r in queries.op3_quality_rules(spark, sf).collect() if labels.get(r["doc_id"]) is not None and not r["base_failed"]]
     good, bad = [k for q, k in judged if q == 1], [k for q, k in judged if q == 0]
+    print(len(good), np.mean(good), len(bad), np.mean(bad))
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.2
 
 
+def test_quality_field_tells_lines_of_one_document_apart():
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    prose = lambda: " ".join(word() for _ in range(rng.integers(8, 20))).capitalize() + "."
+    junk = lambda: " | ".join(f"#{word()}" for _ in range(rng.integers(2, 6)))
+    good = [quality_crf.text_features("\n".join(prose() for _ in range(9)))[0] for _ in range(60)]
+    bad = [quality_crf.text_features("\n".join(junk() for _ in range(5)))[0] for _ in range(60)]
+    sequences = quality_crf.joined(good, bad)
+    assert sum(len(set(y.tolist())) == 2 for _, y in sequences) == 45
+    weights, step = quality_crf.fit_field(sequences)
+    lines = [prose(), prose(), junk(), junk(), junk(), prose()]
+    found = quality_crf.viterbi(quality_crf.text_features("\n".join(lines))[0] @ weights.T, step)
+    assert found.tolist() == [1, 1, 0, 0, 0, 1] and step[0, 0] > step[0, 1] and step[1, 1] > step[1, 0]
+    share = quality_crf.content_share("\n".join(lines), weights, step)
+    assert share == pytest.approx(sum(len(lines[k]) for k in (0, 1, 5)) / sum(map(len, lines)))
+
+
 def test_viterbi_equals_exhaustive_search():
     rng = np.random.default_rng(3)
     for n in (1, 2, 7):
