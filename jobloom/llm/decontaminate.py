@@ -87,15 +87,21 @@ def weighted_similarity(window: np.ndarray, item: np.ndarray, weights: dict[int,
 
     A shingle of the item weighs as in ``weights``, or ``one`` if no other item holds it; what it lacks weighs ``other``.
     """
-    ka, ca = np.unique(window, return_counts=True)
-    kb, cb = np.unique(item, return_counts=True)
-    x, y = dict(zip(ka.tolist(), ca.tolist())), dict(zip(kb.tolist(), cb.tolist()))
-    low = high = 0.0
-    for s in sorted(x.keys() | y.keys()):
-        w = weights.get(s, one) if s in y else other
-        low += w * min(x.get(s, 0), y.get(s, 0))
-        high += w * max(x.get(s, 0), y.get(s, 0))
-    return low / high if high else 0.0
+    return _similarity(window, *_bag(item, weights, one), other)
+
+
+def _bag(item: np.ndarray, weights: dict[int, float], one: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles in order, counts, weights) of an item."""
+    keys, count = np.unique(item, return_counts=True)
+    return keys, count, np.array([weights.get(k, one) for k in keys.tolist()])
+
+
+def _similarity(window: np.ndarray, keys: np.ndarray, count: np.ndarray, weight: np.ndarray, other: float) -> float:
+    at = np.minimum(np.searchsorted(keys, window), len(keys) - 1)
+    held = np.bincount(at[keys[at] == window], minlength=len(keys))
+    low = float((weight * np.minimum(held, count)).sum())
+    high = float((weight * np.maximum(held, count)).sum()) + other * (len(window) - int(held.sum()))
+    return low / high
 
 
 def shingle_weight(n_items: int, held_by: int) -> float:
@@ -120,6 +126,7 @@ class Items:
                 self.hashes.append(w)
                 self.shingles.append(shingle_hashes(w, WIDTH))
         of_item = np.array([len(w) for w in self.hashes], np.int64)
+        self.bags = [_bag(s, self.weights, self.one) for s in self.shingles]
         self.sizes, group = np.unique(of_item, return_inverse=True)
         prints = np.concatenate([simhash(w[None, :]) for w in self.hashes]) if self.ids else np.zeros(0, np.uint64)
         self.index = BlockIndex(prints, group)
@@ -142,7 +149,10 @@ class Items:
             maybe = np.flatnonzero(sieve[here & np.uint64((1 << SIEVE_BITS) - 1)])
             at = np.minimum(np.searchsorted(keys, here[maybe]), len(keys) - 1)
             known = keys[at] == here[maybe]
-            if not known.any():
+            # What a text of so many known shingles can reach in the smallest window, were all of them in it.
+            most = (1 - threshold) * weight.max() * known.sum()
+            least = min(int(self.sizes[of_width[0]]), len(words)) - width + 1
+            if not known.any() or most < threshold * self.other * (least - known.sum()) - 1e-9:
                 continue
             # Along the text: weights of shingles that items hold, and numbers of those that none holds.
             inside = np.zeros(len(here) + 1)
@@ -160,16 +170,16 @@ class Items:
     def prints(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """SimHash of windows of ``words``, from running sums of each bit."""
         out = np.zeros(len(starts), np.uint64)
-        for at in range(0, len(words), self.stretch):
+        for at in np.unique(starts // self.stretch) * self.stretch:
             mine = np.flatnonzero((starts >= at) & (starts < at + self.stretch))
-            if not len(mine):
-                continue
-            a = starts[mine] - at
-            b = a + sizes[mine]
-            part = words[at : at + int(b.max())]
-            for bit in range(64):
-                ones = np.concatenate([[0], np.cumsum((part >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
-                out[mine] |= (2 * (ones[b] - ones[a]) > sizes[mine]).astype(np.uint64) << np.uint64(bit)
+            part = words[at : int((starts[mine] + sizes[mine]).max())]
+            bits = (part[:, None] >> np.arange(64, dtype=np.uint64)).astype(np.uint8) & 1
+            ones = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, 0, dtype=np.int32)])
+            for k in range(0, len(mine), self.stretch):
+                these = mine[k : k + self.stretch]
+                a = starts[these] - at
+                more = 2 * (ones[a + sizes[these]] - ones[a]) > sizes[these][:, None]
+                out[these] = np.packbits(more, axis=1, bitorder="little").view("<u8")[:, 0]
         return out
 
     def matches(self, words: np.ndarray, threshold: float) -> dict[int, tuple[float, int, int]]:
@@ -183,7 +193,7 @@ class Items:
         for w, k in sorted(zip(which.tolist(), items.tolist()), key=lambda x: (starts[x[0]], x)):
             start, size = int(starts[w]), int(sizes[w])
             bag = shingle_hashes(words[start : start + size], min(WIDTH, len(self.hashes[k])))
-            score = weighted_similarity(bag, self.shingles[k], self.weights, self.other, self.one)
+            score = _similarity(bag, *self.bags[k], self.other)
             if score >= threshold and score > best.get(k, (0.0,))[0]:
                 best[k] = (score, start, size)
         return best
