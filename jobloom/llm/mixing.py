@@ -83,6 +83,17 @@ def mix_plan(
     Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, last
     in order; rows with the same id and text are cut one after the other; empty tables give empty results.
     """
+    plan = _placed(docs, weights, max_epochs, seed, id_col, text_col, source_col)
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before"))).cast("long")
+    return (
+        plan.withColumn("last", last)
+        .withColumn("taken", (F.col("epochs") * F.col("size") + F.col("last")).cast("long"))
+        .select("doc", "source", "th", "size", "source_size", "target", "epochs", "last", "taken")
+    )
+
+
+def _placed(docs: DataFrame, weights, max_epochs, seed, id_col, text_col, source_col) -> DataFrame:
+    """Every row with the words before it in its source's order, the source's whole passes, and the ``rest`` of its budget."""
     sized = settle(
         docs.select(
             F.col(id_col).alias("doc"),
@@ -111,40 +122,64 @@ def mix_plan(
     )
     budget = F.floor("target").cast("long")
     pass_size = F.greatest(F.col("source_size"), F.lit(1))
-    return (
-        placed.withColumn("epochs", F.floor(budget / pass_size).cast("long"))
-        .withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
-        .withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before"))).cast("long"))
-        .withColumn("taken", (F.col("epochs") * F.col("size") + F.col("last")).cast("long"))
-        .select("doc", "source", "th", "size", "source_size", "target", "epochs", "last", "taken")
-    )
+    return placed.withColumn("epochs", F.floor(budget / pass_size).cast("long")).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (1, 2, 3),
+    max_epochs: int = 3,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The mixed corpus: one row per document and pass, columns of ``docs`` plus epoch, size and taken.
 
-    The document at a source's cut gives its first words in the last pass; its text there is cut after them.
-    Columns of ``docs`` named epoch, size or taken are replaced. Of rows with the same id and text, each takes what
-    the first of them takes.
+    The document at a source's cut gives its first words in the last pass; its text there is cut after them, and a
+    column n_chars counts what is left. Columns of ``docs`` named epoch, size or taken are replaced.
+
+    Defined cases: as in ``mix_plan``; rows equal in id, text and source stand one after the other in the order, and
+    those of them that the cut leaves out are the last by the hash of their other columns.
     """
-    plan = mix_plan(docs, id_col=id_col, text_col=text_col, **how).where(F.col("taken") > 0)
+    plan = _placed(docs, weights, max_epochs, seed, id_col, text_col, source_col)
+    groups = plan.where("size > 0 and (epochs > 0 or before < rest)").groupBy(
+        F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("skey").alias("_source"),
+        F.col("size").alias("_size"), F.col("epochs").alias("_epochs"), F.col("rest").alias("_rest"),
+    ).agg(F.min("before").alias("_before"), F.count("*").alias("_times"))
+    groups = settle(groups)
+    rows = packed(docs, _id=F.col(id_col), _text=F.col(text_col), _at=F.xxhash64(text_col), _skey=source_key(F.col(source_col)))
+    here = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_th")) & (F.col("_skey") == F.col("_source"))
+    # Only in a group of equal rows that the cut goes through do their numbers matter.
+    through = (F.col("_times") > 1) & (F.col("_rest") > F.col("_before")) & (F.col("_rest") < F.col("_before") + F.col("_times") * F.col("_size"))
+    joined = rows.join(groups, here).withColumn("_before", F.when(~through, F.col("_before")))
+    if not groups.where(through).isEmpty():
+        joined = joined.where("_before is not null").unionByName(_numbered(rows.join(groups.where(through), here)))
+    last = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_before")))
+    one = lambda e, n: F.struct(e.cast("long").alias("epoch"), n.cast("long").alias("words"))
+    whole = F.when(F.col("_epochs") > 0, F.sequence(F.lit(1), F.col("_epochs"))).otherwise(F.array().cast("array<bigint>"))
     passes = F.concat(
-        F.transform(
-            F.when(F.col("epochs") > 0, F.sequence(F.lit(1), F.col("epochs"))).otherwise(F.array().cast("array<bigint>")),
-            lambda e: F.struct(e.alias("epoch"), F.col("size").alias("words")),
-        ),
-        F.when(
-            F.col("last") > 0, F.array(F.struct((F.col("epochs") + 1).alias("epoch"), F.col("last").alias("words")))
-        ).otherwise(F.array().cast("array<struct<epoch:bigint,words:bigint>>")),
+        F.transform(whole, lambda e: one(e, F.col("_size"))),
+        F.filter(F.array(one(F.col("_epochs") + 1, last)), lambda p: p["words"] > 0),
     )
-    plan = plan.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("size").alias("_size"), passes.alias("_passes"))
-    plan = plan.dropDuplicates(["_doc", "_th"])
-    rows = packed(docs, _id=F.col(id_col), _text=F.col(text_col), _at=F.xxhash64(text_col))
-    joined = rows.join(plan, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_th")))
-    each = joined.select("_row", "_text", "_size", F.explode("_passes").alias("_pass"))
+    each = joined.select("_row", "_text", "_size", F.explode(passes).alias("_pass"))
     words = F.regexp_extract_all("_text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_pass.words") >= F.col("_size"), F.col("_text")).otherwise(
-        F.array_join(F.slice(words, F.lit(1), F.col("_pass.words").cast("int")), "")
-    )
+    full = F.col("_pass.words") >= F.col("_size")
+    text = F.when(full, F.col("_text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_pass.words").cast("int")), ""))
     new = {text_col: text, "epoch": F.col("_pass.epoch"), "size": F.col("_size"), "taken": F.col("_pass.words")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(full, F.col("_row.n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return unpacked(each, docs.columns, **new)
+
+
+def _numbered(tied: DataFrame) -> DataFrame:
+    """Rows of groups of equal rows, ``_before`` moved on by the rows of the group that come before."""
+    group = ["_doc", "_th", "_source"]
+    held = settle(tied.withColumn("_nth", F.monotonically_increasing_id()))
+    place = F.struct("_source", F.col("_doc").isNull(), "_doc", "_th", F.xxhash64(F.to_json("_row")), "_nth")
+    order = settle(ranked(held.select(*group, "_nth", place.alias("_place")), "_place", "_rank").drop("_place"))
+    firsts = order.groupBy(*(F.col(c).alias(f"{c}0") for c in group)).agg(F.min("_rank").alias("_first"))
+    same = F.col("_doc").eqNullSafe(F.col("_doc0")) & (F.col("_th") == F.col("_th0")) & (F.col("_source") == F.col("_source0"))
+    number = order.join(firsts, same).select(F.col("_nth").alias("_n"), (F.col("_rank") - F.col("_first")).alias("_k"))
+    moved = held.join(number, F.col("_nth") == F.col("_n")).withColumn("_before", F.col("_before") + F.col("_k") * F.col("_size"))
+    return moved.drop("_nth", "_n", "_k")

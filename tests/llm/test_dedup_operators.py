@@ -143,6 +143,25 @@ def test_mixing_caps_small_sources(spark):
     assert sum(r["taken"] for r in mixed) == 403
 
 
+def test_mix_keeps_to_its_budget_where_rows_repeat(spark):
+    ten, four = " ".join("abcdefghij"), "k l m n"
+    rows = [(1, ten, "a", k % 3, len(ten)) for k in range(30)] + [(None, ten, "b", k, len(ten)) for k in range(30)]
+    rows += [(100 + k, f"{four} {k}", "a", 0, 0) for k in range(12)] + [(1, ten, "c", 0, len(ten)), (None, None, "c", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long, n_chars long")
+    plan = mixing.mix_plan(docs).collect()
+    want = Counter()
+    for r in plan:
+        want[r["source"]] += r["taken"]
+    for _ in range(2):
+        got, passes = Counter(), Counter()
+        for r in mixing.mix(docs).collect():
+            assert len(r["text"].split()) == r["taken"] and (r["taken"] == r["size"] or r["n_chars"] == len(r["text"]))
+            got[r["source"]] += r["taken"]
+            passes[r["source"], r["doc_id"], r["extra"], r["epoch"]] += 1
+        assert got == want and 0 <= sum(r["size"] for r in plan) - sum(got.values()) < 3
+    assert max(v for (s, *_), v in passes.items() if s == "b") == 1
+
+
 def test_decontamination_finds_planted_items(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
