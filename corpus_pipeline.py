@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from jobloom.llm import decontaminate, line_dedup, minhash, mixing, toxicity
-from jobloom.session import shared_dir, table
+from jobloom.session import remove, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each stage's rows are written to the shared folder and read again."""
+    """Apply the stages to ``documents``; each stage's rows are written to the shared folder and read again,
+    and deleted once the next stage's are written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -56,5 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{base}/{k}")
+        if k:
+            remove(spark, f"{base}/{k - 1}")
         docs = spark.read.parquet(f"{base}/{k}")
     return docs
