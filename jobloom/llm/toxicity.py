@@ -20,7 +20,7 @@ from jobloom.session import discard, settle
 
 GRAMS = (3, 4, 5)
 BITS = 20
-FIT_TASKS = 16
+FIT_TASKS = 8
 _PRIME = np.uint32(0x01000193)
 
 
@@ -108,16 +108,18 @@ def _loss(features: DataFrame, scale: np.ndarray, x: np.ndarray, decay: float) -
                 miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
                 grad[:-1] += np.bincount(cols, miss[at], len(ws))
                 grad[-1] += miss.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad.tobytes()], pa.binary())], ["loss", "grad"])
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad.astype(np.float32).tobytes()], pa.binary())], ["loss", "grad"])
 
-    parts = features.mapInArrow(run, "loss double, grad binary").collect()  # a row a task, FIT_TASKS at most
-    held.unpersist()
-    grad = np.sum([np.frombuffer(r["grad"], np.float64) for r in parts], axis=0)
+    parts = features.coalesce(FIT_TASKS).mapInArrow(run, "loss double, grad binary").collect()  # a row a task
+    held.destroy()
+    grad = np.zeros(len(x))
+    for r in parts:
+        grad += np.frombuffer(r["grad"], np.float32)
     grad[:-1] = grad[:-1] * scale + decay * x[:-1]
     return sum(r["loss"] for r in parts) + decay / 2 * float(x[:-1] @ x[:-1]), grad
 
 
-def minimum(loss, x: np.ndarray, steps: int = 30, memory: int = 8, still: float = 1e-3) -> np.ndarray:
+def minimum(loss, x: np.ndarray, steps: int = 30, memory: int = 8, still: float = 5e-3) -> np.ndarray:
     """Where limited-memory BFGS with halved steps takes ``loss`` (value and gradient) from x, in ``steps`` calls at most.
 
     It ends early once a step lowers the value by less than ``still`` of itself.
@@ -191,7 +193,7 @@ def train(
         return weights, float(np.log(share / (1 - share)))
     every = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     grams, scale = chosen_grams(rows, n0, n1, most)
-    features = settle(_features(rows, grams).coalesce(FIT_TASKS))
+    features = settle(_features(rows, grams))
     x = minimum(lambda x: _loss(features, scale, x, decay), np.append(np.zeros(len(grams)), np.log(n1 / n0)))
     discard(rows, features)
     weights[grams] = x[:-1] * scale
