@@ -27,6 +27,7 @@ LEGAL_FORMS = [
     "ab", "ag", "aps", "as", "bv", "co", "corp", "corporation", "e", "gbr", "gmbh", "group", "holding", "inc", "kg",
     "limited", "llc", "lp", "ltd", "mbh", "nv", "ohg", "oy", "plc", "sa", "sas", "se", "spa", "srl", "ug", "v",
 ]
+LOCATION_SEPARATORS = (";", ",", "|", " / ", " · ")
 MATCH_KEY_VERSION, PART_SEPARATOR = "v2", "\x1f"
 MINIMUM_TEXT_OVERLAP = 0.85
 MINIMUM_MARKER_LENGTH = 4
@@ -48,17 +49,35 @@ def match_key(company: Column, title: Column) -> Column:
     return F.concat(F.lit(f"{MATCH_KEY_VERSION}:"), F.sha2(joined, 256))
 
 
+def _foldings() -> dict[str, str]:
+    """Characters of which case folding makes ASCII letters and lower-casing doesn't, such as the sharp s."""
+    both = {chr(k): chr(k).casefold() for k in range(0x80, 0x10000)}
+    return {ch: to for ch, to in both.items() if to != ch.lower() and re.search("[a-z]", to)}
+
+
+FOLDINGS = _foldings()
+
+
+def case_folded(c: Column) -> Column:
+    """Case folding as far as ASCII letters come of it; other characters are lower-cased."""
+    for ch, to in FOLDINGS.items():
+        c = F.replace(c, F.lit(ch), F.lit(to))
+    return F.lower(c)
+
+
 def city_names(location: Column) -> Column:
-    """Sorted distinct cities of a location: of each entry the first part that names a place.
+    """Sorted distinct cities of a location, in NFKC and case folded: of each entry the first part that names a place.
 
     Entries are split at semicolons, and at commas too where a part carries its own parentheses.
     """
+    entry, part = "\ue000", "\ue001"  # private-use characters, which NFKC leaves alone
     chunks = F.split(F.coalesce(location, F.lit("")), ";", -1)
     entries = F.flatten(F.transform(chunks, lambda x: F.when(F.contains(x, F.lit("(")), F.split(x, ",", -1)).otherwise(F.array(x))))
-    # Case folding commutes with these cuts: a folded entry is cut where the raw one is.
-    tidy = lambda x: F.trim(F.regexp_replace(F.lower(F.regexp_replace(x, LEADING_ARRANGEMENT, "")), r"\s+", " "))
-    parts = F.transform(entries, lambda e: F.transform(F.split(F.regexp_replace(e, r"\([^)]*\)", " "), ",", -1), lambda s: tidy(F.trim(s))))
-    firsts = F.transform(parts, lambda p: F.get(F.filter(p, lambda s: (s != "") & ~s.isin(NON_PLACES)), F.lit(0)))
+    tidy = lambda x: F.regexp_replace(F.trim(x), LEADING_ARRANGEMENT, "")
+    parts = F.transform(entries, lambda e: F.array_join(F.transform(F.split(F.regexp_replace(e, r"\([^)]*\)", " "), ",", -1), tidy), part))
+    plain = normal_text(F.array_join(parts, entry))
+    folded_parts = F.transform(F.split(plain, entry, -1), lambda e: F.transform(F.split(e, part, -1), lambda s: F.trim(s)))
+    firsts = F.transform(folded_parts, lambda p: F.get(F.filter(p, lambda s: (s != "") & ~s.isin(NON_PLACES)), F.lit(0)))
     return F.array_sort(F.array_distinct(F.array_compact(firsts)))
 
 
@@ -68,13 +87,14 @@ def same_place(a: Column, b: Column) -> Column:
 
 
 def vocabulary(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    """Distinct words in NFKC and case folded; none of a null text."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(normal_text(text), F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Jaccard of two vocabularies; 0 if either is empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Jaccard of two vocabularies without repeats; 0 if either is empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def blocks(text: Column) -> Column:
@@ -83,8 +103,8 @@ def blocks(text: Column) -> Column:
 
 
 def folded(block: Column) -> Column:
-    """ASCII letters and digits in lower case between single spaces, padded so that whole words can be looked up."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(block), "[^0-9a-z]+", " ")), F.lit(" "))
+    """ASCII letters and digits, case folded, between single spaces, padded so that whole words can be looked up."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(case_folded(block), "[^0-9a-z]+", " ")), F.lit(" "))
 
 
 def employer_marker(employer: Column) -> Column:
@@ -96,15 +116,19 @@ def employer_marker(employer: Column) -> Column:
 def fit_location(c: Column, limit: int = 255) -> Column:
     """A location within ``limit`` code points: cut after the last separator that leaves room for the ellipsis."""
     head = F.left(c, F.lit(limit - 2))
-    last = F.length(head) - F.least(*[F.when(F.instr(F.reverse(head), s) > 0, F.instr(F.reverse(head), s)).otherwise(F.lit(limit)) for s in (";", ",", "|", "/", "\n")])
+    before = lambda s: F.when(F.contains(head, F.lit(s)), F.length(head) - F.length(F.substring_index(head, s, -1)) - len(s)).otherwise(0)
+    last = F.greatest(*map(before, LOCATION_SEPARATORS))
     cut = F.when(last > 0, F.rtrim(F.left(head, last))).otherwise(head)
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(cut, F.lit(" …")))
 
 
 # Tags that end a line of text.
-BLOCK_TAGS = "p br div li ul ol tr table section article header footer blockquote nav h1 h2 h3 h4 h5 h6"
+BLOCK_TAGS = [
+    "p", "br", "div", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "blockquote", "nav",
+    "h1", "h2", "h3", "h4", "h5", "h6",
+]
 _HIDDEN = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>")
-_BREAK = re.compile(rf"(?i)</?(?:{BLOCK_TAGS.replace(' ', '|')})(?=[\s/>])[^>]*>")
+_BREAK = re.compile(rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?=[\s/>])[^>]*>")
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,11 +100,14 @@ def polled_boards(boards: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     return of_source.where(wanted).select("slug").orderBy("slug")
 
 
-def taxonomy_reach(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(node, depth): everything below the roots of (parent, child) edges, at its least depth, a level a round."""
+def taxonomy_reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, depth): everything below the roots of (parent, child) edges, at its least depth, a level a round.
+
+    Rounds go on until one finds nothing new; cycles end there too.
+    """
     known = settle(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = known
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         below = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
         frontier = settle(below.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

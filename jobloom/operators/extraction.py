@@ -16,9 +16,12 @@ from jobloom.functions.text import normal_text
 # Token shapes and the words that never name a skill.
 PUNCTUATED = r"[A-Za-z]\w*(?:[./][A-Za-z]\w*)+|[A-Za-z]\w*[+#]+"
 CAPITALISED = r"[A-ZÀ-Þ][\wÀ-ɏ]*"
-STOPWORDS = frozenset(
-    "a an and as at but by for from if in is it of on or our the to we with you your der die das und mit für von im wir du".split()
-)
+# Words that no proposed term starts or ends with.
+STOPWORDS = frozenset([
+    "a", "an", "and", "as", "at", "but", "by", "for", "from", "if", "in", "is", "it", "of", "on", "or", "our",
+    "the", "to", "we", "with", "you", "your", "der", "die", "das", "und", "mit", "für", "von", "im", "wir",
+    "du",
+])
 _SEPARATORS, _OUTER = re.compile(r"[\s_\-\u2010-\u2015]+"), re.compile(r"^[^\w+#]+|[^\w+#]+$")
 MAX_TOKENS, GRAMMATICAL, MEASURABLE = 4, 0.25, 30
 
@@ -74,30 +77,86 @@ def phrases(docs: DataFrame, longest: int) -> DataFrame:
     return docs.select("id", "text").mapInPandas(run, f"id {kind}, words int, first int, start int, end int, surface_form string, form string")
 
 
-def extract_mentions(docs: DataFrame, vocabulary: DataFrame, max_words: int = 6) -> DataFrame:
+# Fixed value: what counts as one token of a text.
+_WORD_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[+#]|[./](?=[^\W_]))*")
+HELD_FORMS = 200_000
+
+
+def extract_mentions(docs: DataFrame, vocabulary: DataFrame, held_forms: int = HELD_FORMS) -> DataFrame:
     """(id, surface_form, form, concept, start, end): phrases of the vocabulary, longest first over the whole text.
 
-    All phrases of n words are taken before any of n - 1, left to right, and a phrase must not overlap one taken
-    before. Phrases meet the vocabulary in a join, so neither texts nor vocabulary need to fit one task. Phrases longer
-    than the vocabulary's longest are not built.
+    All phrases of n tokens are taken before any of n - 1, left to right, and a phrase must not overlap one taken
+    before. A vocabulary of ``held_forms`` forms at most goes to the tasks, which match each text in one pass; a larger
+    one meets the texts' phrases in a join. The vocabulary's longest form bounds the phrases, nothing else does.
     """
-    longest = min(vocabulary.agg(F.max("words")).first()[0] or 0, max_words)
-    each = phrases(docs, longest)
-    hits = each.join(vocabulary.select(F.col("form").alias("_form"), "concept"), F.col("form") == F.col("_form")).drop("_form")
+    forms = vocabulary.select("form", "concept")
+    if forms.count() <= held_forms:
+        return _matched(docs, forms)
+    tokens = F.size(F.regexp_extract_all("form", F.lit(f"(?U){_WORD_TOKEN.pattern}"), F.lit(0)))
+    longest = forms.agg(F.max(tokens)).first()[0] or 0
+    hits = phrases(docs, longest).join(forms.withColumnRenamed("form", "_form"), F.col("form") == F.col("_form")).drop("_form")
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["words", "first"], ascending=[False, True])
-        taken = bytearray(int((rows["first"] + rows["words"]).max()))
-        keep = []
-        for first, words in zip(rows["first"], rows["words"]):
-            free = not any(taken[first : first + words])
-            keep.append(free)
-            if free:
-                taken[first : first + words] = b"\x01" * words
+        keep = _free(list(zip(rows["first"], rows["words"])))
         return rows[keep][["id", "surface_form", "form", "concept", "start", "end"]].sort_values("start")
 
+    return hits.groupBy("id").applyInPandas(take, _mention_schema(docs, vocabulary))
+
+
+def _mention_schema(docs: DataFrame, vocabulary: DataFrame) -> str:
     kind, concept = (x.dataType.simpleString() for x in (docs.schema["id"], vocabulary.schema["concept"]))
-    return hits.groupBy("id").applyInPandas(take, f"id {kind}, surface_form string, form string, concept {concept}, start int, end int")
+    return f"id {kind}, surface_form string, form string, concept {concept}, start int, end int"
+
+
+def _free(runs: list[tuple[int, int]]) -> list[bool]:
+    """Of (first token, tokens) in order of preference, which ones overlap none that was kept before."""
+    taken: set[int] = set()
+    keep = []
+    for first, n in runs:
+        own = range(first, first + n)
+        keep.append(taken.isdisjoint(own))
+        if keep[-1]:
+            taken.update(own)
+    return keep
+
+
+def _matched(docs: DataFrame, forms: DataFrame) -> DataFrame:
+    """Mentions by one pass over each text with the forms held by the task, looked up from their first token."""
+    rows = [(r["form"], r["concept"]) for r in forms.collect()]
+    held = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        concepts = dict(held.value)
+        lengths: dict[str, set[int]] = {}
+        for known in concepts:
+            tokens = _WORD_TOKEN.findall(known)
+            if tokens:
+                lengths.setdefault(tokens[0], set()).add(len(tokens))
+        plain: dict[str, str] = {}
+        for batch in batches:
+            out = []
+            for i, text in zip(batch["id"], batch["text"]):
+                at = [m.span() for m in _WORD_TOKEN.finditer(text or "")]
+                hits = []
+                for k, (start, end) in enumerate(at):
+                    token = text[start:end]
+                    if token not in plain:
+                        if len(plain) > 400_000:
+                            plain.clear()
+                        plain[token] = plain_form(token)
+                    for n in lengths.get(plain[token], ()):
+                        if k + n <= len(at):
+                            surface = text[start : at[k + n - 1][1]]
+                            same = plain_form(surface)
+                            if same in concepts:
+                                hits.append((-n, k, surface, same, concepts[same], start, at[k + n - 1][1]))
+                hits.sort(key=lambda h: h[:2])
+                kept = [h for h, free in zip(hits, _free([(k, -n) for n, k, *_ in hits])) if free]
+                out += [(i, *h[2:]) for h in sorted(kept, key=lambda h: h[1])]
+            yield pd.DataFrame(out, columns=["id", "surface_form", "form", "concept", "start", "end"])
+
+    return docs.select("id", "text").mapInPandas(run, _mention_schema(docs, forms))
 
 
 def plan_skills(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +168,6 @@ def plan_skills(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return skills, loose
 
 
-_WORD_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[+#]|[./](?=[^\W_]))*")
 _TOKENS = re.compile(rf"{PUNCTUATED}|{CAPITALISED}|[\wÀ-ɏ]+")
 _PUNCT, _CAPITAL = re.compile(PUNCTUATED), re.compile(CAPITALISED)
 _WORDS = re.compile(r"[A-Za-zÀ-ɏ][\wÀ-ɏ]*")

@@ -53,18 +53,24 @@ def expire(jobs: DataFrame, now: datetime) -> DataFrame:
 
 
 def retention(jobs: DataFrame, provenance: DataFrame, references: DataFrame, now: datetime, days: int = 30) -> DataFrame:
-    """(id, action): ended jobs untouched for ``days`` without a live account: anonymise if referenced, else purge."""
+    """(id, action): ended jobs untouched for ``days`` without a live account: anonymise if referenced, else purge.
+
+    Jobs with an ``anonymised_at`` are done with; a table without that column has none of them.
+    """
     cutoff = F.lit(now - timedelta(days=days)).cast("timestamp_ntz")
     ended = jobs.where(F.col("status").isin("expired", "removed") & (F.col("updated_at") < cutoff))
+    if "anonymised_at" in jobs.columns:
+        ended = ended.where(F.col("anonymised_at").isNull())
     named = references.select(F.col("job_id").alias("ref")).distinct()
     out = unlisted(ended, provenance).join(named, F.col("id") == F.col("ref"), "left")
     return out.select("id", F.when(F.col("ref").isNotNull(), "anonymise").otherwise("purge").alias("action"))
 
 
-def board_standing(polls: DataFrame) -> DataFrame:
+def board_standing(polls: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
     """(board, polls, consecutive_failures, status) from (board, at, poll_id, failed), in order of time.
 
-    A success starts the count anew and revives; three failures in a row make a board inactive.
+    A success starts the count anew and revives; three failures in a row make a board inactive, but none of the
+    ``pinned`` (board).
     """
     order = Window.partitionBy("board").orderBy("at", "poll_id")
     runs = polls.withColumn("successes", F.sum(F.when(~F.col("failed"), 1).otherwise(0)).over(order))
@@ -72,9 +78,13 @@ def board_standing(polls: DataFrame) -> DataFrame:
     tail = runs.where("failed").groupBy(F.col("board").alias("b"), F.col("successes").alias("s")).agg(F.count("*").alias("n"))
     joined = last.join(tail, (F.col("board") == F.col("b")) & (F.col("run") == F.col("s")), "left")
     failures = F.coalesce("n", F.lit(0)).cast("long")
+    held = F.lit(False)
+    if pinned is not None:
+        joined = joined.join(pinned.select(F.col("board").alias("pin")).distinct(), F.col("board") == F.col("pin"), "left")
+        held = F.col("pin").isNotNull()
     return joined.select(
         "board", "polls", failures.alias("consecutive_failures"),
-        F.when(failures >= FAILURES_TO_INACTIVE, "inactive").otherwise("confirmed").alias("status"),
+        F.when((failures >= FAILURES_TO_INACTIVE) & ~held, "inactive").otherwise("confirmed").alias("status"),
     )
 
 

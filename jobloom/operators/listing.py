@@ -38,6 +38,25 @@ class Cursor:
         return Cursor(datetime.fromisoformat(fields[1]) if fields[1] else None, fields[2])
 
 
+def _following(jobs: DataFrame, after: Cursor | None) -> DataFrame:
+    """The rows after the cursor by date descending, undated last, then id descending."""
+    if after is not None:
+        date, key = F.col("published_at"), F.col("id")
+        last_id = F.lit(after.id).cast(jobs.schema["id"].dataType)
+        if after.published_at is None:
+            jobs = jobs.where(date.isNull() & (key < last_id))
+        else:
+            at = F.lit(after.published_at).cast("timestamp_ntz")
+            jobs = jobs.where(date.isNull() | (date < at) | ((date == at) & (key < last_id)))
+    return jobs.orderBy(F.desc_nulls_last("published_at"), F.desc("id"))
+
+
+def _checked(size: int) -> int:
+    if not 1 <= size <= MAX_PAGE:
+        raise ValueError(f"page size must be within 1 and {MAX_PAGE}")
+    return size
+
+
 def title_contains(jobs: DataFrame, needle: str) -> DataFrame:
     """Literal, case-insensitive substring; no character is a wildcard."""
     return jobs.where(F.contains(F.lower("title"), F.lower(F.lit(needle))))
@@ -50,22 +69,12 @@ def any_of(jobs: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 def page(jobs: DataFrame, size: int = 20, after: Cursor | None = None) -> DataFrame:
     """``size`` rows after the cursor by date descending, undated last, then id descending."""
-    if not 1 <= size <= MAX_PAGE:
-        raise ValueError(f"page size must be within 1 and {MAX_PAGE}")
-    if after is not None:
-        date, key = F.col("published_at"), F.col("id")
-        last_id = F.lit(after.id).cast(jobs.schema["id"].dataType)
-        if after.published_at is None:
-            jobs = jobs.where(date.isNull() & (key < last_id))
-        else:
-            at = F.lit(after.published_at).cast("timestamp_ntz")
-            jobs = jobs.where(date.isNull() | (date < at) | ((date == at) & (key < last_id)))
-    return jobs.orderBy(F.desc_nulls_last("published_at"), F.desc("id")).limit(size)
+    return _following(jobs, after).limit(_checked(size))
 
 
 def page_and_cursor(jobs: DataFrame, size: int = 20, after: Cursor | None = None) -> tuple[list, str | None]:
     """The rows of a page and the token of the next one, if there is one."""
-    rows = page(jobs, size + 1, after).collect() if size < MAX_PAGE else page(jobs, size, after).collect()
+    rows = _following(jobs, after).limit(_checked(size) + 1).collect()  # a row more than the page, at its cap too
     more, rows = len(rows) > size, rows[:size]
     return rows, Cursor(rows[-1]["published_at"], str(rows[-1]["id"])).encode() if more else None
 

@@ -30,7 +30,7 @@ def html_to_text(spark, sf_dir):
 @query()
 def extract_mentions(spark, sf_dir):
     vocabulary = X.load_vocabulary(spark.createDataFrame(FORMS, "surface_form string, concept string"))
-    return X.extract_mentions(_texts(spark, sf_dir), vocabulary, 4)
+    return X.extract_mentions(_texts(spark, sf_dir), vocabulary)
 
 
 @query()

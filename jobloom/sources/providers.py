@@ -7,7 +7,7 @@ there, and how each canonical field reads. Adding a provider is adding an entry.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ c = F.col
 
 
 def _instant(x: Column) -> Column:
-    """An epoch in seconds, as number or digits, or an ISO date; a negative epoch is none."""
+    """An epoch in seconds, as number or digits, or an ISO date; null for anything else and for a negative epoch."""
     text = x.cast("string")
     seconds = text.try_cast("double")
     return F.when(seconds.isNotNull(), F.when(seconds >= 0, F.timestamp_seconds(seconds))).otherwise(text.try_cast("timestamp"))
@@ -45,7 +45,7 @@ class Provider:
     canonical: dict[str, Callable[[], Column]]
     precedence: int = 10
     partial: bool = False
-    kinds: tuple[str, ...] = field(default=())
+    dates: tuple[str, ...] = ()
 
 
 PROVIDERS: dict[str, Provider] = {}
@@ -68,6 +68,7 @@ _add(Provider(
         "employment_type": lambda: employment(F.concat_ws("\n", "job_types")),
         "application_url": lambda: c("url"), "published_at": lambda: _instant(c("created_at")), "source_job_id": lambda: c("slug"),
     },
+    dates=("created_at",),
 ))
 _add(Provider(
     "greenhouse", "jobs",
@@ -80,9 +81,10 @@ _add(Provider(
         "workplace_type": lambda: workplace(_named("workplace type", "workplace", "remote type"), c("location.name")),
         "employment_type": lambda: employment(_named("employment type", "job type", "contract type")),
         "application_url": lambda: c("absolute_url"), "published_at": lambda: _instant(c("first_published")),
-        "expires_at": lambda: _instant(c("application_deadline")), "source_job_id": lambda: F.concat_ws(":", "board", "id"),
+        "expires_at": lambda: _instant(c("application_deadline")), "source_job_id": lambda: F.concat(c("board"), F.lit(":"), c("id")),
     },
     precedence=20,
+    dates=("first_published", "application_deadline"),
 ))
 _add(Provider(
     "polymer", "items",
@@ -93,9 +95,10 @@ _add(Provider(
         "company": lambda: c("organization_name"), "title": lambda: c("title"), "description": lambda: plain_text(c("description")),
         "location": lambda: _place(c("display_location")), "workplace_type": lambda: workplace(c("remoteness_pretty")),
         "employment_type": lambda: employment(c("kind_pretty")), "application_url": lambda: c("job_post_url"),
-        "published_at": lambda: _instant(c("published_at")), "source_job_id": lambda: F.concat_ws(":", "board", "id"),
+        "published_at": lambda: _instant(c("published_at")), "source_job_id": lambda: F.concat(c("board"), F.lit(":"), c("id")),
     },
     precedence=20,
+    dates=("published_at",),
 ))
 _add(Provider(
     "pinpoint", "data",
@@ -111,9 +114,10 @@ _add(Provider(
         "workplace_type": lambda: workplace(c("workplace_type"), c("workplace_type_text")),
         "employment_type": lambda: employment(c("employment_type"), c("employment_type_text")),
         "application_url": lambda: c("url"), "expires_at": lambda: _instant(c("deadline_at")),
-        "source_job_id": lambda: F.concat_ws(":", "board", "id"),
+        "source_job_id": lambda: F.concat(c("board"), F.lit(":"), c("id")),
     },
     precedence=20,
+    dates=("deadline_at",),
 ))
 _add(Provider(
     "jobicy", "jobs",
@@ -125,6 +129,7 @@ _add(Provider(
         "workplace_type": lambda: F.lit("remote"), "employment_type": lambda: employment(c("jobType")),
         "application_url": lambda: c("url"), "published_at": lambda: _instant(c("pubDate")), "source_job_id": lambda: c("id"),
     },
+    dates=("pubDate",),
 ))
 _add(Provider(
     "remotive", "jobs",
@@ -137,6 +142,7 @@ _add(Provider(
         "employment_type": lambda: employment(c("job_type")), "application_url": lambda: c("url"),
         "published_at": lambda: _instant(c("publication_date")), "source_job_id": lambda: c("id"),
     },
+    dates=("publication_date",),
 ))
 _add(Provider(
     "himalayas", "jobs",
@@ -151,6 +157,7 @@ _add(Provider(
         "expires_at": lambda: F.when(_instant(c("expiryDate")) >= F.coalesce(_instant(c("pubDate")), _instant(c("expiryDate"))), _instant(c("expiryDate"))),
         "source_job_id": lambda: c("guid"), "source_url": lambda: c("guid"),
     },
+    dates=("pubDate", "expiryDate"),
 ))
 _add(Provider(
     "adzuna", "results",
@@ -161,9 +168,10 @@ _add(Provider(
         "company": lambda: c("company.display_name"), "title": lambda: c("title"), "description": lambda: plain_text(c("description")),
         "location": lambda: F.nullif(c("location.display_name"), F.lit("")), "workplace_type": lambda: F.lit("unspecified"),
         "employment_type": lambda: employment(c("contract_time"), c("contract_type")), "application_url": lambda: c("redirect_url"),
-        "published_at": lambda: _instant(c("created")), "source_job_id": lambda: F.concat_ws(":", "country", "id"),
+        "published_at": lambda: _instant(c("created")), "source_job_id": lambda: F.concat(c("country"), F.lit(":"), c("id")),
     },
     partial=True,
+    dates=("created",),
 ))
 
 
@@ -216,9 +224,12 @@ def normalise(pages: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """
     provider = PROVIDERS[key]
     found, bad_pages = records(pages, provider)
-    missing = F.array_compact(F.array(*[F.when(F.trim(F.coalesce(c(f), F.lit(""))) == "", F.lit(f"{f}: required")) for f in provider.required]))
-    checked = found.withColumn("_errors", missing)
-    id_of = provider.canonical["source_job_id"]()
+    blank = lambda f: F.trim(F.coalesce(c(f), F.lit(""))) == ""
+    missing = [F.when(blank(f), F.lit(f"{f}: required")) for f in provider.required]
+    unread = [F.when(~blank(f) & _instant(c(f)).isNull(), F.lit(f"{f}: no date")) for f in provider.dates]
+    checked = found.withColumn("_errors", F.array_compact(F.array(*missing, *unread)))
+    own_id = provider.canonical["source_job_id"]()
+    id_of = F.when(F.trim(own_id) != "", own_id)
     bad = checked.where(F.size("_errors") > 0).select(
         F.lit(key).alias("source_key"), F.lit("validate").alias("stage"), F.array_join("_errors", "; ").alias("reason"), id_of.alias("source_job_id")
     )
@@ -266,7 +277,7 @@ def failure_summary(failures: DataFrame) -> DataFrame:
 
 def landed_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row per landed JSON file: its path and body."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
 def xml_records(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
