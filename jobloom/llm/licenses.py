@@ -1,8 +1,12 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-A text is compared as a whole and by its lines. For Dice d between sets of sizes x and y, d <= 2 min(x, y) / (x + y);
-so a unit of size x can only reach threshold t with templates of size between x t / (2 - t) and x (2 - t) / t. The
-template list is small and fixed, and sits in the plan as a literal. Only native functions run here.
+A text is compared as a whole, by its lines, and by passages as long as a template, so that a licence is also found
+that stands over several lines of a longer file or beside other words. For Dice d between sets of sizes x and y,
+d <= 2 min(x, y) / (x + y); so a unit of size x can only reach threshold t with templates of size between x t / (2 - t)
+and x (2 - t) / t, and it holds all but a share (2 - 2 t) / (2 - t) of the template's bigrams. Hence a few words that
+more bigrams than that contain stand in every text with a licence: other texts are passed over unread. Hence too, of a
+template's first bigrams, one more than it may lack, one stands in the passage: passages are laid where such a bigram puts
+them. The template list is small and fixed, and sits in the plan as a literal. Only native functions run here.
 """
 
 from __future__ import annotations
@@ -45,6 +49,34 @@ def bounds(size: int, threshold: float) -> tuple[float, float]:
     return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
 
 
+def may_lack(size: int, threshold: float) -> int:
+    """How many of a template's ``size`` bigrams a unit within the threshold may be without."""
+    return int(size * (2 - 2 * threshold) / (2 - threshold) + 1e-9)
+
+
+def telling_words(templates: dict[str, str], threshold: float) -> list[str]:
+    """Words of which every unit within the threshold of some template holds one at least, long ones first."""
+    out: set[str] = set()
+    for text in templates.values():
+        grams = bigram_set(text)
+        left = [g for g in grams if not out & set(g.split())]
+        while len(grams) - len(left) <= may_lack(len(grams), threshold):
+            words = {w for g in left for w in g.split()}
+            best = max(words, key=lambda w: (len(w) > 4, len(w) * sum(w in g.split() for g in left), w))
+            out.add(best)
+            left = [g for g in left if best not in g.split()]
+    return sorted(out, key=lambda w: (-len(w), w))
+
+
+def openings(text: str, threshold: float) -> list[tuple[str, int]]:
+    """(bigram, word number) of a template's first bigrams, one more of them than a unit may lack."""
+    words = normal_words(text)
+    first: dict[str, int] = {}
+    for k, (a, b) in enumerate(zip(words, words[1:])):
+        first.setdefault(f"{a} {b}", k)
+    return list(first.items())[: may_lack(len(first), threshold) + 1]
+
+
 def scan(
     docs: DataFrame,
     threshold: float = 0.9,
@@ -54,16 +86,66 @@ def scan(
 ) -> DataFrame:
     """(doc, th, unit, line, license, dice): every licence found, for each row of ``docs`` and unit of its text.
 
-    ``unit`` is ``text`` for the whole text (``line`` -1) or ``line`` with its 0-based number. A unit gives its most
-    similar template; of equals, the first by name. A text of one line is compared once, as a whole.
+    ``unit`` is ``text`` for the whole text (``line`` -1), ``line`` with its 0-based number, or ``passage`` with the
+    0-based number of its first word. A text or line gives its most similar template; of equals, the first by name. A
+    text of one line is compared once, as a whole. A passage has as many words as its template, or ends with the text;
+    each template gives the most similar one, of equals the first, unless the text or a line of it gave that template.
 
     Defined cases: null and empty texts and texts of fewer than two words give no row; repeated rows give their
     rows again; an empty table gives an empty result.
     """
+    lowered = F.lower(F.col("text"))
+    told = F.lit(False)
+    for word in telling_words(templates, threshold):
+        told = told | F.contains(lowered, F.lit(word))
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    rows = rows.where(F.col("text").isNotNull() & told)
     sets = {name: bigram_set(text) for name, text in sorted(templates.items())}
+    found = _units(rows, sets, threshold)
+    known = found.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("license").alias("_license"))
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")) & (F.col("license") == F.col("_license"))
+    return found.unionByName(_passages(rows, sets, templates, threshold).join(known, same, "left_anti"))
+
+
+def _start_at(heads: list[tuple[str, int]]):
+    """Where a passage starts that has the bigram at a word number in the same place as the template; else null."""
+
+    def start(gram: Column, at: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for head, k in reversed(heads):
+            out = F.when(gram == head, F.greatest(at - k, F.lit(0))).otherwise(out)
+        return out
+
+    return start
+
+
+def _place_of(name: str, length: int):
+    return lambda at: F.struct(F.lit(name).alias("license"), at.alias("at"), F.lit(length).alias("n"))
+
+
+def _passages(rows: DataFrame, sets: dict[str, list[str]], templates: dict[str, str], threshold: float) -> DataFrame:
+    held = hold(rows.select("doc", "th", F.monotonically_increasing_id().alias("row"), "text"), "words", words_of(F.col("text"))).drop("text")
+    last = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", F.lit(1), last), F.slice("words", F.lit(2), last), lambda a, b: F.concat(a, F.lit(" "), b))
+    held = hold(held, "pairs", pairs)
+    places = []
+    for name in sets:
+        starts = F.array_distinct(F.array_compact(F.transform("pairs", _start_at(openings(templates[name], threshold)))))
+        places.append(F.transform(starts, _place_of(name, len(normal_words(templates[name])))))
+    each = held.select("doc", "th", "row", "words", F.explode(F.concat(*places)).alias("p"))
+    cut = hold(each, "grams", bigrams_of(F.slice("words", F.col("p.at") + 1, F.col("p.n"))))
+    grams = F.create_map(*[x for name, g in sets.items() for x in (F.lit(name), F.array(*map(F.lit, g)))])
+    of_template = F.element_at(grams, F.col("p.license"))
+    dice = 2.0 * F.size(F.array_intersect("grams", of_template)) / (F.size("grams") + F.size(of_template))
+    near = hold(cut, "dice", dice).where(F.col("dice") >= threshold)
+    best = near.groupBy("doc", "th", "row", F.col("p.license").alias("license")).agg(F.max("dice").alias("dice"), F.min_by("p.at", F.struct(-F.col("dice"), "p.at")).alias("line"))
+    return best.select("doc", "th", F.lit("passage").alias("unit"), "line", "license", "dice")
+
+
+def _units(rows: DataFrame, sets: dict[str, list[str]], threshold: float) -> DataFrame:
+    """Licences of whole texts and lines."""
     least = min(bounds(len(s), threshold)[0] for s in sets.values())
     most = max(bounds(len(s), threshold)[1] for s in sets.values())
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     lines = split_lines(F.col("text"))
     several = F.size(lines) > 1
     each = F.when(several, F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("unit_text")))).otherwise(

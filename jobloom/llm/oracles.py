@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from jobloom.llm.license_texts import TEMPLATES
+from jobloom.llm.licenses import openings
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _words(text: str) -> str:
+    return rf"list_filter(string_split(trim(lower(regexp_replace(coalesce({text}, ''), '[^A-Za-z0-9]+', ' ', 'g'))), ' '), lambda w: w <> '')"
+
+
+def _pairs(words: str) -> str:
+    return f"list_transform(list_zip(({words})[1:-2], ({words})[2:]), lambda z: z[1] || ' ' || z[2])"
+
+
 def _bigrams(text: str) -> str:
-    words = (
-        rf"list_filter(string_split(trim(lower(regexp_replace(coalesce({text}, ''), '[^A-Za-z0-9]+', ' ', 'g'))), ' '), lambda w: w <> '')"
-    )
-    return f"list_distinct(list_transform(list_zip(({words})[1:-2], ({words})[2:]), lambda z: z[1] || ' ' || z[2]))"
+    return f"list_distinct({_pairs(_words(text))})"
 
 
 def _quoted(text: str) -> str:
@@ -36,9 +42,24 @@ scored AS (
 ),
 best AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) AS nth FROM scored WHERE dice >= 0.9
-)
-SELECT doc_id, CASE WHEN line < 0 THEN 'text' ELSE 'line' END AS unit, line::INTEGER AS line, license, round(dice, 6) AS dice
-FROM best WHERE nth = 1
+),
+heads(license, gram, place) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(g)}, {n})" for k, v in TEMPLATES.items() for g, n in openings(v, 0.9))}),
+lengths AS (SELECT license, t, len({_words("body")}) AS n FROM templates JOIN sets USING (license)),
+wordy AS (SELECT doc_id, {_words("text")} AS w FROM documents WHERE text IS NOT NULL),
+pairs AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS gram FROM (SELECT doc_id, {_pairs("w")} AS p FROM wordy)),
+starts AS (SELECT DISTINCT doc_id, license, greatest(i - place, 0) AS line FROM pairs JOIN heads USING (gram)),
+cut AS (
+  SELECT doc_id, license, line, t, list_distinct({_pairs("w[line + 1:line + n]")}) AS g FROM starts JOIN lengths USING (license) JOIN wordy USING (doc_id)
+),
+laid AS (SELECT doc_id, license, line, 2.0::DOUBLE * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice FROM cut),
+passages AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, line) AS nth FROM laid WHERE dice >= 0.9
+),
+whole AS (SELECT * FROM best WHERE nth = 1)
+SELECT doc_id, CASE WHEN line < 0 THEN 'text' ELSE 'line' END AS unit, line::INTEGER AS line, license, round(dice, 6) AS dice FROM whole
+UNION ALL
+SELECT doc_id, 'passage' AS unit, line::INTEGER AS line, license, round(dice, 6) AS dice
+FROM passages p WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM whole w WHERE w.doc_id = p.doc_id AND w.license = p.license)
 """
 
 SOURCE_MIX = rf"""

@@ -21,7 +21,7 @@ def test_licences_agree_with_plain_dice(spark):
     mit = TEMPLATES["MIT"]
     texts = [None, "", "one", mit, mit.upper(), "Intro line\n" + " ".join(mit.split()) + "\nend", mit[: len(mit) // 2]]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    got = {(r["doc"], r["line"]): (r["license"], r["dice"]) for r in licenses.scan(docs).collect()}
+    got = {(r["doc"], r["line"]): (r["license"], r["dice"]) for r in licenses.scan(docs).where("unit <> 'passage'").collect()}
     want = {}
     for k, t in enumerate(texts):
         lines = (t or "").split("\n")
@@ -38,6 +38,30 @@ def test_licences_agree_with_plain_dice(spark):
     assert {k for k, _ in got} >= {3, 4, 5}
 
 
+def test_licences_are_found_inside_longer_files(spark):
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    wrapped = lambda t: "\n".join(" * " + " ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
+    changed = TEMPLATES["GPL-3.0"].replace("This program", "Frob").replace("hope that", "hope")
+    texts = [f"{prose(40)}\n{wrapped(t)}\n{prose(300)}" for t in (TEMPLATES["MIT"], TEMPLATES["Apache-2.0"], changed)]
+    texts += [f"{prose(9)} {TEMPLATES['MIT (line)']} {prose(30)}", "Intro\n" + TEMPLATES["MIT (line)"], prose(50) + TEMPLATES["MIT"][:400] + prose(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc"], r["unit"], r["license"]): r["line"] for r in licenses.scan(docs).collect()}
+    assert {k: v for k, v in got.items() if k[1] == "passage"} == {
+        (0, "passage", "MIT"): 40, (1, "passage", "Apache-2.0"): 40, (2, "passage", "GPL-3.0"): got.get((2, "passage", "GPL-3.0")), (3, "passage", "MIT (line)"): 9,
+        (1, "passage", "Apache-2.0 (line)"): 40,  # the notice begins with that sentence
+    }
+    assert set(got) - {k for k in got if k[1] == "passage"} == {(4, "line", "MIT (line)")} and (2, "passage", "GPL-3.0") in got
+
+
+def test_telling_words_are_in_all_that_reaches_the_threshold():
+    words = set(licenses.telling_words(TEMPLATES, 0.9))
+    for text in TEMPLATES.values():
+        grams = licenses.bigram_set(text)
+        assert sum(bool(words & set(g.split())) for g in grams) > licenses.may_lack(len(grams), 0.9)
+    assert len(words) < 40 and min(map(len, words)) > 2
+
+
 def test_licences_stay_native(spark):
     docs = spark.createDataFrame(CASES, SCHEMA)
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
