@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from jobloom.llm.license_texts import TEMPLATES
 from jobloom.llm.line_dedup import split_lines
 from jobloom.llm.text import hold
+from jobloom.session import settle
 
 
 def normal_words(text: str) -> list[str]:
@@ -94,14 +95,13 @@ def scan(
     Defined cases: null and empty texts and texts of fewer than two words give no row; repeated rows give their
     rows again; an empty table gives an empty result.
     """
-    lowered = F.lower(F.col("text"))
     told = F.lit(False)
     for word in telling_words(templates, threshold):
-        told = told | F.contains(lowered, F.lit(word))
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    rows = rows.where(F.col("text").isNotNull() & told)
+        told = told | F.contains("lowered", F.lit(word))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    rows = hold(rows, "lowered", F.lower("text")).where(told).select("doc", F.xxhash64("text").alias("th"), "text")
     sets = {name: bigram_set(text) for name, text in sorted(templates.items())}
-    found = _units(rows, sets, threshold)
+    found = settle(_units(rows, sets, threshold))
     known = found.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("license").alias("_license"))
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")) & (F.col("license") == F.col("_license"))
     return found.unionByName(_passages(rows, sets, templates, threshold).join(known, same, "left_anti"))
