@@ -6,8 +6,9 @@ grouped over the whole corpus, and each digest's earliest ranked occurrence stay
 occurrences are removed; their offsets refer to the original text.
 
 There are as many windows as words. Each has an anchor, the least hash of its ``ANCHOR_WORDS``-word shingles, which
-long runs of windows share. A window can only recur where its anchor does, so the far fewer anchors are counted first,
-and only windows whose anchor recurs are hashed into the grouping. This drops no window that recurs.
+a block of neighbouring windows shares. A window can only recur where its anchor does. So blocks are grouped first, by
+anchor and by a digest of all their words: where a block recurs, all its windows do. Single windows are hashed only in
+the first places of blocks that share their anchor with other blocks. This drops no window that recurs.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.llm.text import WordHash, map_rows, packed, scramble, shingle_hashes, unpacked
-from jobloom.session import settle
+from jobloom.session import discard, settle
 
 LINE = re.compile(r"[^\n]+")
 ANCHOR_WORDS = 8
@@ -110,53 +111,147 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_rows(_texts(docs, id_col, text_col), run, schema, arrow, 20_000)
 
 
-def _anchors(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, anchor), one row for every run of windows that have their anchor at one place."""
+class _Powers:
+    """Powers of an odd number modulo 2^64 and their inverses, for hashes of word runs taken from running sums."""
+
+    base = 0x9E3779B97F4A7C15
+    inverse = pow(base, -1, 2**64)
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def runs(self, hashes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Hash of the ``length`` words from each ``start``, the same wherever these words stand."""
+        if len(self.up) <= len(hashes):
+            raised = np.full((2, 2 * len(hashes)), [[self.base], [self.inverse]], np.uint64)
+            raised[:, 0] = 1
+            self.up, self.down = np.cumprod(raised, 1, np.uint64)
+        # Seeded otherwise than the anchors, so that both together are 128 bits.
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(scramble(hashes) * self.up[: len(hashes)], out=sums[1:])
+        total = (sums[start + length] - sums[start]) * self.down[start]
+        return scramble(total + scramble(length.astype(np.uint64)))
+
+
+def _stacked(part: pa.RecordBatch, found: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
+    """The arrays found for each row of ``part`` as one batch, beside the row's doc and th."""
+    rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+    values = [pa.array(np.concatenate(column)) for column in zip(*found)]
+    return pa.RecordBatch.from_arrays([part["doc"].take(rows), part["th"].take(rows), *values], ["doc", "th", *names])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def window_blocks(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, nth, n, s, e, anchor, digest), one row for every block: ``n`` successive windows, from the ``nth`` on,
+    that have their anchor at one place. ``digest`` stands for all words of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, found = batch.slice(at, 256), []
-                for text in part["text"].to_pylist():
-                    _, least, place = _shingles(text or "", words, size)
-                    found.append(least[np.flatnonzero(np.diff(place, prepend=-1))])
-                count = [len(x) for x in found]
-                rows = pa.array(np.repeat(np.arange(len(found)), count))
-                anchor = pa.array(np.concatenate(found).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part["doc"].take(rows), part["th"].take(rows), anchor], ["doc", "th", "anchor"])
-
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc long, th long, anchor long")
-
-
-def window_rows(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, nth, s, e, words, k0, k1), one row for every window whose anchor recurs."""
-    anchors = settle(_anchors(docs, size, id_col, text_col))
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = (
-        anchors.join(again, "anchor")
-        .groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th"))
-        .agg(F.collect_set("anchor").alias("wanted"))
+        words, powers = _Words(), _Powers()
+        for part in _slices(batches):
+            found = []
+            for text in part["text"].to_pylist():
+                hashes, least, place = _shingles(text or "", words, size)
+                nth = np.flatnonzero(np.diff(place, prepend=-1))
+                n = np.diff(nth, append=len(place))
+                starts, ends = word_bounds(text if len(nth) else "")
+                digest = powers.runs(hashes, nth, n + size - 1)
+                ints = [x.astype(np.int32) for x in (nth, n, starts[nth], ends[nth + n + size - 2])]
+                found.append((*ints, least[nth].view(np.int64), digest.view(np.int64)))
+            yield _stacked(part, found, ["nth", "n", "s", "e", "anchor", "digest"])
+
+    schema = "doc long, th long, nth int, n int, s int, e int, anchor long, digest long"
+    return _texts(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def block_windows(docs: DataFrame, blocks: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, nth, s, e, anchor, digest, mark), one row for every window of ``blocks``; ``mark`` is its own digest."""
+    asked = blocks.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(
+        F.collect_list(F.struct("nth", "n", "anchor", "digest")).alias("asked")
     )
     texts = _texts(docs, id_col, text_col)
-    held = texts.join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).select("doc", "th", "text", "wanted")
-    names = [*(n for n, _ in _UNIT), "k0", "k1"]
+    held = texts.join(asked, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).select("doc", "th", "text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                asked = row["wanted"].flatten().to_numpy().view(np.uint64)
-                nth, s, e, k0, k1 = windows(row["text"][0].as_py() or "", words, size, asked)
-                if len(nth):
-                    zero = pa.array(np.zeros(len(nth), np.int32))
-                    ints = [pa.array(x.astype(np.int32)) for x in (nth, s, e, np.full(len(nth), size))]
-                    yield pa.RecordBatch.from_arrays(
-                        [row["doc"].take(zero), row["th"].take(zero), *ints, pa.array(k0), pa.array(k1)], names
-                    )
-
-    return settle(held.mapInArrow(run, "doc long, th long, nth int, s int, e int, words int, k0 long, k1 long"))
+        words, powers = _Words(), _Powers()
+        for part in _slices(batches):
+            flat = part["asked"].flatten()
+            nth, n, anchor, digest = (flat.field(c).to_numpy() for c in ("nth", "n", "anchor", "digest"))
+            ends_at = np.cumsum(part["asked"].value_lengths().to_numpy())
+            found = []
+            for text, to, count in zip(part["text"].to_pylist(), ends_at, np.diff(ends_at, prepend=0)):
+                own = slice(to - count, to)
+                many = n[own]
+                # Numbers of the windows: each block's first, and those that follow it.
+                at = np.repeat(nth[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                starts, ends = word_bounds(text)
+                mark = powers.runs(words.array(text.lower().split()), at, np.full(len(at), size))
+                ints = [x.astype(np.int32) for x in (at, starts[at], ends[at + size - 1])]
+                found.append((*ints, np.repeat(anchor[own], many), np.repeat(digest[own], many), mark.view(np.int64)))
+            yield _stacked(part, found, ["nth", "s", "e", "anchor", "digest", "mark"])
+
+    return held.mapInArrow(run, "doc long, th long, nth int, s int, e int, anchor long, digest long, mark long")
+
+
+_RANK = ("doc", "th", "nth")
+
+
+def _rank() -> Column:
+    return F.struct(F.col("doc").isNull().alias("late"), *_RANK)
+
+
+def _repeated_windows(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc, th, nth, last, s, e, words, d0) of all windows that an earlier place holds, and the tables it reads.
+
+    A row stands for the windows ``nth`` to ``last``, ``words`` in number; ``d0`` is the smallest id that keeps one.
+    """
+    blocks = settle(window_blocks(docs, size, id_col, text_col))
+    shared = (
+        blocks.groupBy("anchor")
+        .agg(F.count("*").alias("places"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+        .where("places > 1")
+        .select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    )
+    held = settle(blocks.join(shared, "anchor"))
+    discard(blocks)
+    firsts = held.groupBy("anchor", "digest").agg(
+        F.min(_rank()).alias("first"), F.max(_rank()).alias("final"), F.min("n").alias("n"), F.min("mixed").alias("mixed")
+    )
+    # A later place of a block repeats all its windows. Only where blocks with one anchor differ can a first place's
+    # windows recur elsewhere, and there the first places hold the first of every window.
+    unlike = firsts.where("mixed").select("first.doc", "first.th", "first.nth", "n", "anchor", "digest")
+    single = settle(block_windows(docs, unlike, size, id_col, text_col))
+    marks = single.groupBy("anchor", "mark").agg(F.min(_rank()).alias("first"), F.max(_rank()).alias("final"))
+    later = settle(
+        single.join(marks.where(F.col("first") != F.col("final")), ["anchor", "mark"])
+        .where(_rank() != F.col("first"))
+        .select(*_RANK, "s", "e", "anchor", "digest", F.col("first.doc").alias("d0"))
+    )
+    discard(single)
+    inner = later.groupBy("anchor", "digest").agg(F.min("d0").alias("inner"))
+    again = (
+        firsts.where(F.col("first") != F.col("final"))
+        .join(inner, ["anchor", "digest"], "left")
+        .select("anchor", "digest", "first", F.least("first.doc", "inner").alias("d0"))
+    )
+    whole = held.join(again, ["anchor", "digest"]).where(_rank() != F.col("first"))
+    last = (F.col("nth") + F.col("n") - 1).alias("last")
+    found = whole.select(*_RANK, last, "s", "e", F.col("n").alias("words"), "d0").unionByName(
+        later.select(*_RANK, F.col("nth").alias("last"), "s", "e", F.lit(1).alias("words"), "d0")
+    )
+    return found, [held, later]
+
+
+def _repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, nth, last, s, e, words, d0) of all lines that an earlier place holds."""
+    found = line_rows(docs, id_col, text_col)
+    firsts = found.groupBy("k0", "k1").agg(F.min(_rank()).alias("first"), F.max(_rank()).alias("final"))
+    again = found.join(firsts.where(F.col("first") != F.col("final")), ["k0", "k1"]).where(_rank() != F.col("first"))
+    return again.select(*_RANK, F.col("nth").alias("last"), "s", "e", "words", F.col("first.doc").alias("d0"))
 
 
 def repeated_spans(
@@ -168,46 +263,45 @@ def repeated_spans(
 ) -> DataFrame:
     """(doc, th, start, end, n_units, n_words, kept_in) of every span to remove.
 
-    A unit is repeated unless it is the earliest occurrence of its digest by id and offset. Neighbouring repeated
+    A unit is repeated unless it is the earliest occurrence of its digest by id and place in the text. Neighbouring repeated
     units form a span if they have ``min_words`` words together. Units are lines, or at the level ``clause`` windows
     of ``min_words`` words: so each place where ``min_words`` words or more follow each other as at an earlier place,
     in whatever case and spacing, is covered whole. ``n_words`` counts each word once. Offsets are code points of the
     original text, end exclusive. ``kept_in`` is the smallest id that keeps one of the span's units.
 
-    Defined cases: null and empty texts have no units; a null id ranks after every id; rows with one id and text
-    are one document, and each loses the same spans; windows overlap, so a text that repeats itself keeps the start
+    Defined cases: null and empty texts have no units; a null id ranks after every id; texts of one id rank
+    by their hash; rows with one id and text are one document, and each loses the same spans; windows overlap, so a text that repeats itself keeps the start
     of its first round; an empty table gives an empty result.
     """
-    found = line_rows(docs, id_col, text_col) if level == "line" else window_rows(docs, min_words, id_col, text_col)
-    rank = F.struct(F.col("doc").isNull().alias("late"), "doc", "s", "th")
-    firsts = (
-        found.groupBy("k0", "k1")
-        .agg(F.min(rank).alias("first"), F.max(rank).alias("final"))
-        .where(F.col("first") != F.col("final"))
-        .select("k0", "k1", F.col("first.doc").alias("d0"), F.col("first.s").alias("s0"), F.col("first.th").alias("t0"))
-    )
-    again = (
-        found.join(firsts, ["k0", "k1"])
-        .where(~(F.col("doc").eqNullSafe(F.col("d0")) & (F.col("s") == F.col("s0")) & (F.col("th") == F.col("t0"))))
-        .select("doc", "th", "nth", "s", "e", "words", "d0")
-    )
+    if level == "line":
+        again, read, beyond = _repeated_lines(docs, id_col, text_col), [], 0
+    else:
+        again, read = _repeated_windows(docs, min_words, id_col, text_col)
+        beyond = min_words - 1  # the last window's words after its first
     inside = Window.partitionBy("doc", "th").orderBy("nth")
-    runs = again.withColumn("run", F.col("nth") - F.dense_rank().over(inside))
-    n_units = (F.max("nth") - F.min("nth") + 1).cast("long")
-    # Equal rows of one document repeat all its units alike.
-    n_words = F.floor(F.sum("words") * n_units / F.count("*")) if level == "line" else n_units + min_words - 1
-    return (
-        runs.groupBy("doc", "th", "run")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    # Equal rows of one document repeat all its units alike: their words count once.
+    once = F.when(F.lag("nth").over(inside).eqNullSafe(F.col("nth")), 0).otherwise(F.col("words"))
+    opens = F.col("nth") > F.coalesce(F.lag("last").over(inside), F.lit(-2)) + 1
+    spans = (
+        again.select("*", once.alias("once"), opens.cast("int").alias("opens"))
+        .withColumn("run", F.sum("opens").over(so_far))
+        .groupBy("doc", "th", "run")
         .agg(
             F.min("s").alias("start"),
             F.max("e").alias("end"),
-            n_units.alias("n_units"),
-            n_words.cast("long").alias("n_words"),
+            (F.max("last") - F.min("nth") + 1).cast("long").alias("n_units"),
+            (F.sum("once") + beyond).cast("long").alias("n_words"),
             F.min("d0").alias("kept_in"),
         )
         .where(F.col("n_words") >= min_words)
         .drop("run")
     )
+    if not read:
+        return spans
+    spans = settle(spans)
+    discard(*read)
+    return spans
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
