@@ -67,6 +67,15 @@ def any_of(jobs: DataFrame, column: str, values: list[str]) -> DataFrame:
     return jobs.where(F.col(column).isin(values)) if values else jobs
 
 
+def listed_by(jobs: DataFrame, provenance: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """``jobs`` that the source ``key`` lists now. An unknown key is a ValueError: no answer isn't an empty one."""
+    source = sources.where(F.col("key") == key).select("source_id")
+    if source.isEmpty():
+        raise ValueError(f"unknown source: {key}")
+    ids = provenance.where(~F.col("retired")).join(source, "source_id", "left_semi").select(F.col("job_id").alias("id"))
+    return jobs.join(ids, "id", "left_semi")
+
+
 def page(jobs: DataFrame, size: int = 20, after: Cursor | None = None) -> DataFrame:
     """``size`` rows after the cursor by date descending, undated last, then id descending."""
     return _following(jobs, after).limit(_checked(size))
