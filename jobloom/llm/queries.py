@@ -16,6 +16,7 @@ from jobloom.llm import (
     quality_crf,
     secrets,
     substring_dedup,
+    token_counts,
     toxicity,
     warc,
 )
@@ -104,6 +105,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_units", "n_words", "kept_in")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit = F.lit(4096)
+    counted = token_counts.prefix_counts(table(spark, sf_dir, "documents"))
+    told = token_counts.answers(counted, budget=limit, at=limit)
+    over = (F.col("n_tokens") > limit).alias("over_limit")
+    return told.select(F.col("doc").alias("doc_id"), "n_bytes", "n_tokens", over, "cut_chars", "tokens_at")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -117,5 +126,6 @@ QUERIES = {
         op8_toxicity,
         op9_warc_roundtrip,
         op10_substring_dedup,
+        op11_token_counts,
     )
 }
