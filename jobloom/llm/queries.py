@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import (
+    centroids,
     decontaminate,
+    hard_negatives,
     licenses,
     line_dedup,
     minhash,
@@ -113,6 +115,15 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(F.col("doc").alias("doc_id"), "n_bytes", "n_tokens", over, "cut_chars", "tokens_at")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("id") % 50 == 0)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -127,5 +138,7 @@ QUERIES = {
         op9_warc_roundtrip,
         op10_substring_dedup,
         op11_token_counts,
+        op12_hard_negatives,
+        op13_centroid_clusters,
     )
 }
