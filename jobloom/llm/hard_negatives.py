@@ -22,7 +22,8 @@ from jobloom.session import discard, settle
 
 LEVELS = 5  # codes of a row
 PLANES = 7  # bits by which an anchor's rotated components are told when bits are counted
-BLOCK = 1024  # rows, and anchors, that meet in one group
+BLOCK = 4096  # rows that meet in one group,
+ANCHORS = 512  # and anchors
 
 
 @functools.lru_cache(maxsize=4)
@@ -118,14 +119,13 @@ def coded(vectors: DataFrame, label: Column, scale: int) -> DataFrame:
     return rows.mapInArrow(run, "row long, id long, label long, dims int, v array<long>, code binary, aligned array<double>, rest double")
 
 
-def meeting(rows: DataFrame, anchors: DataFrame, block: int, judge: Callable, schema: str) -> DataFrame:
-    """``judge(i, rows, anchors, low, high)`` for each anchor i of each block of anchors with each block of rows.
+def meeting(rows: DataFrame, anchors: DataFrame, block: int, same: bool, judge: Callable, schema: str) -> DataFrame:
+    """``judge(anchor, its vector, rows, low, high)`` for each anchor with the rows of each block, of its label or of all others.
 
-    The anchors are a stated query set. A block holds ``block`` rows on average, dealt by a hash of the row's number, so
+    The anchors are a stated query set. A block holds ``block`` rows on average, or ``ANCHORS`` anchors, dealt by a hash of the row's number, so
     repeated rows and hot labels spread; each pair of blocks is a group of its own.
     """
-    blocks = lambda df: max(1, -(-df.count() // block))
-    n_rows, n_anchors = blocks(rows), blocks(anchors)
+    n_rows, n_anchors = max(1, -(-rows.count() // block)), max(1, -(-anchors.count() // ANCHORS))
     dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     rows = rows.withColumns({"rb": dealt(n_rows, 1), "ab": all_of(n_anchors)})
@@ -135,13 +135,16 @@ def meeting(rows: DataFrame, anchors: DataFrame, block: int, judge: Callable, sc
         out: list[dict] = []
         if left.num_rows and right.num_rows:
             code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint64).reshape(left.num_rows, LEVELS, -1)
-            asked, own = matrix(right.column("v")), matrix(left.column("v"))
-            aligned = np.array(left.column("aligned").to_pylist())
-            low, high = intervals(asked, code, aligned, left.column("rest").to_numpy())
-            mine = {"row": left.column("row").to_numpy(), "label": left.column("label").to_numpy(), "id": ids_of(left.column("id")), "v": own}
-            facts = right.drop_columns(["v", "code"]).to_pylist()
-            for i, anchor in enumerate(facts):
-                out += judge(anchor, asked[i], mine, low[i], high[i])
+            aligned, rest = np.array(left.column("aligned").to_pylist()), left.column("rest").to_numpy()
+            asked, facts = matrix(right.column("v")), right.drop_columns(["v", "code"]).to_pylist()
+            wanted, labels = right.column("label").to_numpy(), left.column("label").to_numpy()
+            held = {"row": left.column("row").to_numpy(), "id": ids_of(left.column("id")), "v": matrix(left.column("v"))}
+            for label in np.unique(wanted):
+                own, mine = np.flatnonzero(wanted == label), np.flatnonzero((labels == label) == same)
+                low, high = intervals(asked[own], code[mine], aligned[mine], rest[mine])
+                part = {k: v[mine] for k, v in held.items()}
+                for k, i in enumerate(own):
+                    out += judge(facts[i], asked[i], part, low[k], high[k])
         return pa.Table.from_pylist(out, schema=arrow)
 
     arrow = pa.schema([(n, pa.int64()) for n in (x.split()[0] for x in schema.split(", "))])
@@ -159,14 +162,14 @@ def positives(rows: DataFrame, anchors: DataFrame, n: int, block: int = BLOCK) -
     """(anchor, anchor_id, other, score, rank): each anchor's ``n`` best other rows of its label."""
 
     def judge(anchor: dict, asked: np.ndarray, rows: dict, low: np.ndarray, high: np.ndarray) -> list[dict]:
-        same = np.flatnonzero((rows["label"] == anchor["label"]) & (rows["row"] != anchor["row"]))
+        same = np.flatnonzero(rows["row"] != anchor["row"])
         same = same[reaching(low[same], high[same], np.ones(len(same), bool), n)]
         found = scores(rows["v"][same], asked)
         top = best(found, rows["id"][same], n)
         out = zip(rows["id"][same][top].tolist(), found[top].tolist(), strict=True)
         return [{"anchor": anchor["row"], "anchor_id": anchor["id"], "other": o, "score": s} for o, s in out]
 
-    return firsts(meeting(rows, anchors, block, judge, "anchor long, anchor_id long, other long, score long"), ["anchor"], n)
+    return firsts(meeting(rows, anchors, block, True, judge, "anchor long, anchor_id long, other long, score long"), ["anchor"], n)
 
 
 def negatives(rows: DataFrame, anchors: DataFrame, n: int, floor: int, cap: int, block: int = BLOCK) -> DataFrame:
@@ -176,16 +179,15 @@ def negatives(rows: DataFrame, anchors: DataFrame, n: int, floor: int, cap: int,
     """
 
     def judge(anchor: dict, asked: np.ndarray, rows: dict, low: np.ndarray, high: np.ndarray) -> list[dict]:
-        other = np.flatnonzero(rows["label"] != anchor["label"])
-        low, high, wanted = low[other], high[other], anchor["wanted"]
-        able = np.zeros((len(wanted), len(other)), bool)
+        wanted = anchor["wanted"]
+        able = np.zeros((len(wanted), len(low)), bool)
         for k, w in enumerate(wanted):
             least, most = floor * w["score"], cap * w["score"]
             able[k] = (100 * high >= least) & (100 * low <= most)
             able[k] &= reaching(low, high, (100 * low >= least) & (100 * high <= most), n)
         near = able.any(axis=0)
-        able, ids = able[:, near], rows["id"][other[near]]
-        found, out = scores(rows["v"][other[near]], asked), []
+        able, ids = able[:, near], rows["id"][near]
+        found, out = scores(rows["v"][near], asked), []
         for k, w in enumerate(wanted):
             good = np.flatnonzero(able[k] & (100 * found >= floor * w["score"]) & (100 * found <= cap * w["score"]))
             top = good[best(found[good], ids[good], n)]
@@ -194,7 +196,7 @@ def negatives(rows: DataFrame, anchors: DataFrame, n: int, floor: int, cap: int,
         return out
 
     schema = "anchor long, anchor_id long, nth long, positive long, positive_score long, other long, score long"
-    return firsts(meeting(rows, anchors, block, judge, schema), ["anchor", "nth"], n)
+    return firsts(meeting(rows, anchors, block, False, judge, schema), ["anchor", "nth"], n)
 
 
 def mine(
