@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from jobloom.operators import persist as P
 from jobloom.operators import profiles
+from jobloom.plans.identity import one_by_one
 from jobloom.plans.registry import query
 from jobloom.session import table
 from jobloom.sources import bindings as B
@@ -57,6 +58,45 @@ def run_tally(spark, sf_dir):
     return P.run_tally(_outcomes(spark, sf_dir), "status")
 
 
+_TOLD = f"""{B.with_tables("jobs").replace("WITH", "WITH RECURSIVE", 1)}, held AS (SELECT * FROM jobs WHERE id % 3 <> 0), told AS (
+  SELECT l_orderkey * 10 + l_linenumber AS record_id, round(l_extendedprice * 100)::BIGINT AS arrival, l_quantity > 25 AS wins,
+    CASE WHEN l_suppkey % 9 <> 0 AND l_linenumber <> 6 THEN l_orderkey END AS job_id, CASE WHEN l_linenumber % 3 <> 0 THEN l_returnflag END AS location,
+    (['onsite', 'hybrid', 'remote', 'unspecified'])[l_partkey % 4 + 1] AS workplace_type FROM lineitem),
+live AS (SELECT * FROM told WHERE job_id IS NOT NULL), {one_by_one(FIELDS)}"""
+
+
+def _run(spark, sf_dir):
+    """The lines of an order as records about its job, in the order of their prices; a third of the jobs isn't stored yet."""
+    records = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("arrival"),
+        F.when(F.col("l_suppkey") % 9 != 0, "ours").otherwise("theirs").alias("source_key"),
+        F.when(F.col("l_linenumber") != 6, F.col("l_orderkey")).alias("job_id"),
+        (F.col("l_quantity") > 25).alias("wins"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.col("l_returnflag")).alias("location"),
+        F.get(F.array(*map(F.lit, ("onsite", "hybrid", "remote", "unspecified"))), (F.col("l_partkey") % 4).cast("int")).alias("workplace_type"),
+    )
+    jobs = B.jobs(spark, sf_dir).where("id % 3 <> 0")
+    return P.fold_run(records, jobs, FIELDS, "ours"), jobs
+
+
+@query(
+    f"""{_TOLD} SELECT record_id, job_id, decision, outcome, false AS failed, location, workplace_type FROM steps WHERE k > 0
+UNION ALL SELECT record_id, NULL, NULL, 'skipped', true, NULL, NULL FROM told WHERE job_id IS NULL"""
+)
+def run_folded(spark, sf_dir):
+    return _run(spark, sf_dir)[0].drop("arrival")
+
+
+@query(
+    f"""{_TOLD} SELECT s.job_id AS id, CASE WHEN coalesce(h.status, 'removed') = 'removed' THEN 'active' ELSE h.status END AS status, s.location, s.workplace_type
+FROM steps s LEFT JOIN held h ON h.id = s.job_id WHERE s.k > 0 QUALIFY row_number() OVER (PARTITION BY s.job_id ORDER BY s.k DESC) = 1"""
+)
+def run_jobs_after(spark, sf_dir):
+    folded, jobs = _run(spark, sf_dir)
+    return P.jobs_after(folded, jobs, FIELDS)
+
+
 @query(
     """SELECT user_id AS run_id, ts AS at, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'running' END AS state
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC,
