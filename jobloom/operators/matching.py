@@ -2,12 +2,94 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobloom.session import settle
+
 MIN_CONCEPTS = 3
 
 
+def best_pairs(
+    job_skills: DataFrame, candidate_skills: DataFrame, weights: DataFrame, norms: DataFrame, limit: int, digits: int | None = None,
+    job_block: int = 16_384, candidate_block: int = 2_048,
+) -> DataFrame:
+    """(candidate_id, job_id, matched, score): every pair that can be among its candidate's ``limit`` best, and few others.
+
+    A pair's score is the sum of ``weights`` (concept, u) over its common concepts, by the norms (job_id, norm) of its job
+    and (candidate_id, own) of its candidate, rounded to ``digits``; higher ones come first, ties by job id. Of jobs with
+    the same concepts only the ``limit`` with the smallest ids can be among the best. Blocks of candidates meet blocks
+    of jobs; a task keeps its jobs as an index from concepts, adds up a candidate's scores over it, and lets only the
+    ``limit`` best of a block go on, so a concept that all share gives no rows of its own.
+    """
+    job_norm, own_norm = norms
+    asked = job_skills.join(weights, "concept").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("concept", "u"))).alias("asks"))
+    alike = Window.partitionBy(F.xxhash64("asks.concept"), F.xxhash64(F.lit(1), "asks.concept")).orderBy("job_id")
+    jobs = settle(asked.withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= limit).drop("nth").join(job_norm, "job_id"))
+    held = candidate_skills.join(weights.select("concept"), "concept").groupBy("candidate_id").agg(F.collect_list("concept").alias("held"))
+    candidates = settle(held.join(own_norm, "candidate_id"))
+    n_jobs, n_candidates = max(1, -(-jobs.count() // job_block)), max(1, -(-candidates.count() // candidate_block))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = jobs.select("job_id", "norm", F.col("asks.concept").alias("asks"), F.col("asks.u").alias("u"), dealt("job_id", n_jobs).alias("jb"), all_of(n_candidates).alias("cb"))
+    right = candidates.select("candidate_id", "own", "held", dealt("candidate_id", n_candidates).alias("cb"), all_of(n_jobs).alias("jb"))
+
+    def run(jobs: pa.Table, candidates: pa.Table) -> pa.Table:
+        found = [(pa.array([], candidates.schema.field("candidate_id").type), pa.array([], jobs.schema.field("job_id").type), [], [])]
+        if jobs.num_rows and candidates.num_rows:
+            jobs, candidates = jobs.sort_by("job_id").combine_chunks(), candidates.combine_chunks()
+            asks = jobs.column("asks").combine_chunks()
+            concepts = asks.flatten().dictionary_encode()
+            codes, u = concepts.indices.to_numpy(), jobs.column("u").combine_chunks().flatten().to_numpy()
+            of = np.repeat(np.arange(jobs.num_rows), asks.value_lengths().to_numpy())
+            order = np.argsort(codes, kind="stable")
+            of, u, ends = of[order], u[order], np.cumsum(np.bincount(codes, minlength=len(concepts.dictionary)))
+            starts, norm = ends - np.bincount(codes, minlength=len(ends)), jobs.column("norm").to_numpy()
+            mine = candidates.column("held").combine_chunks()
+            wanted = pc.index_in(mine.flatten(), value_set=concepts.dictionary).fill_null(-1).to_numpy()
+            bounds = np.concatenate([[0], np.cumsum(mine.value_lengths().to_numpy())])
+            for k, own in enumerate(candidates.column("own").to_numpy()):
+                has = wanted[bounds[k] : bounds[k + 1]]
+                at = [slice(starts[c], ends[c]) for c in has[has >= 0]]
+                if not at:
+                    continue
+                place = np.concatenate([of[x] for x in at])
+                score = np.bincount(place, np.concatenate([u[x] for x in at]), len(norm)) / (norm * own)
+                score = score if digits is None else np.round(score, digits)
+                some = np.unique(place) if len(place) < limit else np.flatnonzero(score >= max(np.partition(score, -limit)[-limit], 1e-300)) if len(score) > limit else np.flatnonzero(score)
+                top = some[np.argsort(-score[some], kind="stable")[:limit]]  # jobs stand in the order of their ids
+                matched = np.bincount(place, minlength=len(norm))[top]
+                found.append((candidates.column("candidate_id").take(pa.array(np.full(len(top), k))), jobs.column("job_id").take(pa.array(top)), matched, score[top]))
+        ids, others, matched, score = zip(*found, strict=True)
+        flat = lambda xs: pa.chunked_array([c for x in xs for c in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])])
+        columns = [flat(ids), flat(others), pa.array(np.concatenate(matched).astype(np.int64)), pa.array(np.concatenate(score).astype(np.float64))]
+        return pa.table(columns, names=["candidate_id", "job_id", "matched", "score"])
+
+    kind = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
+    schema = f"{kind(candidates, 'candidate_id')}, {kind(jobs, 'job_id')}, matched long, score double"
+    return left.groupBy("cb", "jb").cogroup(right.groupBy("cb", "jb")).applyInArrow(run, schema)
+
+
+def coverage_topk(job_skills: DataFrame, candidate_skills: DataFrame, limit: int = 50) -> DataFrame:
+    """``ranked(coverage(...), limit)``, without a row for each pair that shares a concept."""
+    able = candidate_skills.groupBy("candidate_id").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CONCEPTS)
+    required = job_skills.groupBy("job_id").agg(F.count("*").alias("required"))
+    weights = job_skills.select("concept", F.lit(1.0).alias("u")).distinct()
+    norms = required.select("job_id", F.col("required").cast("double").alias("norm")), able.select("candidate_id", F.lit(1.0).alias("own"))
+    return ranked(best_pairs(job_skills, candidate_skills, weights, norms, limit).join(required, "job_id"), limit)
+
+
+def cosine_topk(job_skills: DataFrame, candidate_skills: DataFrame, limit: int = 50, digits: int = 6) -> DataFrame:
+    """``ranked(tfidf_cosine(...), limit)`` by scores rounded to ``digits``, as sums differ in their last bits."""
+    weights = settle(idf(job_skills).select("concept", (F.col("weight") * F.col("weight")).alias("u")))
+    norm = lambda df, key, name: df.join(weights, "concept").groupBy(key).agg(F.sqrt(F.sum("u")).alias(name))
+    norms = norm(job_skills, "job_id", "norm"), norm(candidate_skills, "candidate_id", "own")
+    return ranked(best_pairs(job_skills, candidate_skills, weights, norms, limit, digits), limit)
+
+
 def coverage(job_skills: DataFrame, candidate_skills: DataFrame) -> DataFrame:
     """(candidate_id, job_id, matched, required, score): the share of a job's concepts that a candidate has.
 
@@ -49,8 +131,8 @@ def idf(job_skills: DataFrame) -> DataFrame:
 def tfidf_cosine(job_skills: DataFrame, candidate_skills: DataFrame) -> DataFrame:
     """(candidate_id, job_id, score): cosine of binary term vectors under ``idf``; unseen concepts weigh nothing."""
     weights = idf(job_skills).select("concept", (F.col("weight") * F.col("weight")).alias("w2"))
-    j = job_skills.join(F.broadcast(weights), "concept")
-    c = candidate_skills.join(F.broadcast(weights), "concept")
+    j = job_skills.join(weights, "concept")
+    c = candidate_skills.join(weights, "concept")
     jn = j.groupBy("job_id").agg(F.sum("w2").alias("jn"))
     cn = c.groupBy("candidate_id").agg(F.sum("w2").alias("cn"))
     dot = c.join(job_skills, "concept").groupBy("candidate_id", "job_id").agg(F.sum("w2").alias("dot"))

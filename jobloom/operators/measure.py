@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +43,7 @@ def largest_remainder(sizes: DataFrame, total: int) -> DataFrame:
 def stratified_sample(rows: DataFrame, quotas: DataFrame, seed: str = "sample") -> DataFrame:
     """Each stratum's quota of rows, in the order of a seeded hash of their ids."""
     nth = F.row_number().over(Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col("id").cast("string"))), "id"))
-    return rows.join(F.broadcast(quotas.select("stratum", "quota")), "stratum").withColumn("_nth", nth).where(F.col("_nth") <= F.col("quota")).drop("_nth", "quota")
+    return rows.join(quotas.select("stratum", "quota"), "stratum").withColumn("_nth", nth).where(F.col("_nth") <= F.col("quota")).drop("_nth", "quota")
 
 
 def contexts(mentions: DataFrame, per_form: int = 8, around: int = 60) -> DataFrame:
@@ -52,20 +57,57 @@ def contexts(mentions: DataFrame, per_form: int = 8, around: int = 60) -> DataFr
     return picked.select("surface_form", "employer", "id", text.alias("context"))
 
 
+BUCKET = 256  # characters of a position bucket; any width gives the same result
+
+
+def in_buckets(spans: DataFrame, *more: str) -> DataFrame:
+    """Distinct spans with ``n``, how often each stands there, once for each bucket of positions that they reach into."""
+    last = F.greatest(F.col("end") - 1, F.col("start"))
+    at = F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(last / BUCKET)))
+    return spans.groupBy("posting", "start", "end", *more).agg(F.count("*").alias("n")).withColumn("bucket", at)
+
+
+def touching(spans: DataFrame, others: DataFrame) -> DataFrame:
+    """Those of ``in_buckets``'s spans that overlap one of the others, each once: they meet on posting and bucket."""
+    meet = (F.col("a.posting") == F.col("b.posting")) & (F.col("a.bucket") == F.col("b.bucket"))
+    overlap = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
+    hit = spans.alias("a").join(others.alias("b"), meet & overlap, "left_semi")
+    return hit.select([c for c in spans.columns if c != "bucket"]).distinct()
+
+
 def span_scores(gold: DataFrame, found: DataFrame) -> DataFrame:
     """(posting, gold, hit, found, right): gold spans that a found span overlaps, and found spans that overlap gold.
 
-    Spans meet on their posting; the overlap is what remains to be tested there.
+    Spans (posting, start, end) meet in buckets of positions, so a long posting doesn't compare all with all. Repeated
+    spans count one by one; a span that ends where it starts overlaps what holds that place inside. Null posting: no row.
     """
-    overlaps = (F.col("g.start") < F.col("f.end")) & (F.col("f.start") < F.col("g.end")) & (F.col("g.posting") == F.col("f.posting"))
-    hit = gold.alias("g").join(found.alias("f"), overlaps, "left_semi").groupBy("posting").agg(F.count("*").alias("hit"))
-    right = found.alias("f").join(gold.alias("g"), overlaps, "left_semi").groupBy("posting").agg(F.count("*").alias("right"))
-    n = gold.groupBy("posting").agg(F.count("*").alias("gold"))
-    m = found.groupBy("posting").agg(F.count("*").alias("found"))
-    out = n.join(m, "posting", "full_outer").join(hit, "posting", "left").join(right, "posting", "left")
+    g, f = in_buckets(gold), in_buckets(found)
+    total = lambda df, name: df.groupBy("posting").agg(F.sum("n").alias(name))
+    count = lambda df, name: df.where("posting is not null").groupBy("posting").agg(F.count("*").alias(name))
+    out = count(gold, "gold").join(count(found, "found"), "posting", "full_outer")
+    out = out.join(total(touching(g, f), "hit"), "posting", "left").join(total(touching(f, g), "right"), "posting", "left")
     return out.select("posting", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("gold", "hit", "found", "right")])
 
 
+def gold_tail(gold: DataFrame, *arms: DataFrame) -> DataFrame:
+    """The gold spans (posting, start, end, category) that no arm's spans overlap."""
+    spans = in_buckets(gold, "category")
+    every = arms[0].select("posting", "start", "end")
+    for arm in arms[1:]:
+        every = every.union(arm.select("posting", "start", "end"))
+    found = touching(spans, in_buckets(every))
+    keys = ["posting", "start", "end"]
+    return gold.join(found.select(*keys).distinct(), keys, "left_anti")
+
+
+def short_token_precision(gold: DataFrame, found: DataFrame, longest: int = 3) -> DataFrame:
+    """(short, right, precision) of the found spans whose ``term`` has ``longest`` characters at most; null without any."""
+    short = in_buckets(found.where(F.length("term") <= longest))
+    right = touching(short, in_buckets(gold)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("right"))
+    all_ = found.where(F.length("term") <= longest).agg(F.count("*").alias("short"))
+    return all_.join(right).select("short", "right", (F.col("right") / F.nullif(F.col("short"), F.lit(0))).alias("precision"))
+
+
 def precision_recall(scores: DataFrame) -> DataFrame:
     return scores.agg(
         (F.sum("hit") / F.nullif(F.sum("gold"), F.lit(0))).alias("recall"),
@@ -73,27 +115,69 @@ def precision_recall(scores: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap(scores: DataFrame, numerator: str, denominator: str, rounds: int = 1000, level: float = 0.95, seed: int = 20260823) -> DataFrame:
-    """(estimate, low, high, design_effect) of a ratio, resampling whole postings.
+# The draws of the bootstrap: a polynomial over the round, whose coefficients are a posting's digest, modulo this prime.
+PRIME = 2**31 - 1
 
-    A posting's multiplicity in a round is a Poisson draw from a hash of seed, round and posting, so the rounds are
-    one aggregate over postings and need no shared random state.
-    """
-    draws = scores.select("posting", numerator, denominator, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    u = (F.xxhash64(F.lit(seed), "round", "posting").bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + 0.5) / F.lit(float(1 << 53))
-    weight, tail, mass = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(9):  # Poisson of mean 1 by its distribution function; beyond nine draws the chance is below 1e-6
+
+def poisson_steps(most: int = 10) -> list[int]:
+    """From which draw on a posting counts once, twice, and so on, under a Poisson law of mean 1."""
+    steps, tail, mass = [], 0.0, math.exp(-1)
+    for k in range(most):
         tail += mass
-        weight = weight + F.when(u >= tail, 1).otherwise(0)
+        steps.append(math.ceil(tail * PRIME))
         mass /= k + 1
-    per_round = draws.withColumn("w", weight).groupBy("round").agg(
-        (F.sum(F.col("w") * F.col(numerator)) / F.nullif(F.sum(F.col("w") * F.col(denominator)), F.lit(0))).alias("r")
-    )
-    edge = (1 - level) / 2
-    spread = per_round.agg(F.percentile("r", F.lit(edge)).alias("low"), F.percentile("r", F.lit(1 - edge)).alias("high"), F.var_samp("r").alias("v"))
-    whole = scores.agg((F.sum(numerator) / F.sum(denominator)).alias("estimate"), F.sum(denominator).alias("n"))
-    simple = F.col("estimate") * (1 - F.col("estimate")) / F.col("n")
-    return whole.join(spread).select("estimate", "low", "high", (F.col("v") / F.nullif(simple, F.lit(0.0))).alias("design_effect"))
+    return steps
+
+
+def bootstrap(
+    scores: DataFrame, ratios: dict[str, tuple[str, str]], pairs: list[tuple[str, str]] = (), rounds: int = 10_000, level: float = 0.95, seed: int = 20260823
+) -> DataFrame:
+    """(name, estimate, low, high, design_effect) of each ratio of sums, and of the difference of each pair of ratios.
+
+    Whole postings are resampled: in each round a posting counts as often as a Poisson draw of its own says, the same one
+    for all ratios, so differences are paired. A task adds up its postings as one vector of ``rounds`` sums a column, and
+    only these vectors meet: what is shuffled doesn't depend on the postings. The design effect is the variance that the
+    interval implies by that of independent draws; 1 where the latter is 0, null for differences.
+
+    Defined cases: ``scores`` has one row a posting and whole numbers; nulls count 0, and postings that are null are one.
+    A round whose denominator is 0 is left out for a ratio; no rows give no rounds, and an estimate of null.
+    """
+    columns = sorted({c for r in ratios.values() for c in r})
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("posting").cast("string"), F.lit(""))).cast("binary"))
+    parts = [(F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") % PRIME).alias(f"_{k}") for k in range(3)]
+    told = scores.select(*parts, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in columns])
+    steps = np.array(poisson_steps(), np.int64)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth = np.arange(1, rounds + 1, dtype=np.int64)
+        total = np.zeros((len(columns), rounds), np.int64)
+        for batch in batches:
+            a, b, c, *values = (batch.column(k).to_numpy() for k in range(3 + len(columns)))
+            for k in range(batch.num_rows):
+                draw = (a[k] + b[k] * nth % PRIME + c[k] * (nth * nth % PRIME) % PRIME) % PRIME
+                times = np.searchsorted(steps, draw, side="right")
+                for j, v in enumerate(values):
+                    if v[k]:
+                        total[j] += times * v[k]
+        yield pa.RecordBatch.from_arrays([pa.array(nth), *map(pa.array, total)], names=["round", *columns])
+
+    each = told.mapInArrow(sums, ", ".join(f"{c} long" for c in ("round", *columns)))
+    merged = each.groupBy("round").agg(*[F.sum(c).alias(c) for c in columns])
+    ratio = lambda r: F.col(r[0]) / F.nullif(F.col(r[1]), F.lit(0))
+    facts = lambda values: F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value"), s.alias("size")) for n, v, s in values]))
+    named = [(n, ratio(r), F.col(r[1])) for n, r in ratios.items()]
+    named += [(f"{a} minus {b}", ratio(ratios[a]) - ratio(ratios[b]), F.lit(None).cast("long")) for a, b in pairs]
+    drawn = merged.select(facts(named).alias("x")).select("x.name", "x.value").where("value is not null")
+    whole = told.agg(*[F.sum(c).alias(c) for c in columns]).select(facts(named).alias("x")).select("x.name", F.col("x.value").alias("estimate"), "x.size")
+    edge, by_name = (1 - level) / 2, Window.partitionBy("name")
+    placed = drawn.withColumn("nth", F.row_number().over(by_name.orderBy("value"))).withColumn("of", F.count("*").over(by_name))
+    at = lambda n: F.max(F.when(F.col("nth") == n, F.col("value")))
+    low, high = at(F.floor(F.col("of") * edge) + 1), at(F.greatest(F.floor(F.col("of") * (1 - edge)), F.lit(1)))
+    interval = placed.groupBy("name").agg(low.alias("low"), high.alias("high"))
+    naive = F.col("estimate") * (1 - F.col("estimate")) / F.col("size")
+    spread = F.pow((F.col("high") - F.col("low")) / 3.92, 2)
+    effect = F.when(F.col("size").isNull(), None).when(naive > 0, spread / naive).otherwise(1.0)
+    return whole.join(interval, "name", "left").select("name", "estimate", "low", "high", effect.alias("design_effect"))
 
 
 def form_audit(mentions: DataFrame) -> DataFrame:

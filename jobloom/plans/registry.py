@@ -8,13 +8,13 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a (spark, sf_dir) query under its function's name, with its SQL if SQL can say it."""
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    """Register a (spark, sf_dir) query under ``name`` or its function's, with its SQL if SQL can say it."""
 
     def register(fn: Callable) -> Callable:
-        QUERIES[fn.__name__] = fn
+        QUERIES[name or fn.__name__] = fn
         if sql:
-            ORACLES[fn.__name__] = sql
+            ORACLES[name or fn.__name__] = sql
         return fn
 
     return register

@@ -11,7 +11,7 @@ from jobloom.session import table
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One posting per order: nullable location and date, four workplaces, three states."""
     orders, customer, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
-    place = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    place = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     workplaces = F.array(*map(F.lit, ("onsite", "hybrid", "remote", "unspecified")))
     states = F.create_map(*map(F.lit, ("O", "active", "P", "expired", "F", "removed")))
     return orders.join(place, F.col("o_custkey") == F.col("c_custkey")).select(
