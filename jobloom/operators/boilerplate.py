@@ -63,8 +63,11 @@ def stripped(postings: DataFrame, removable: DataFrame) -> DataFrame:
     Postings that lose nothing keep their description unchanged.
     """
     gone = removable.groupBy("employer").agg(F.collect_set("fold").alias("gone"))
-    kept = F.filter(F.col("all"), lambda b: ~F.array_contains("gone", folded(b)))
-    both = postings.join(gone, "employer", "left").withColumn("all", blocks(F.col("description"))).withColumn("kept", kept)
+    # Blocks are cut and folded once a posting, through explode; later uses read the held arrays.
+    held = postings.select("*", F.explode(F.array(F.transform(blocks(F.col("description")), lambda b: F.struct(b.alias("block"), folded(b).alias("fold"))))).alias("held"))
+    stays = F.filter("held", lambda b: ~F.array_contains("gone", b["fold"]))
+    cut = held.join(gone, "employer", "left").withColumn("stays", F.when(F.col("gone").isNotNull(), F.transform(stays, lambda b: b["block"])))
+    both = cut.select("*", F.explode(F.array("stays")).alias("kept")).withColumn("all", F.col("held"))
     removed = F.when(F.col("gone").isNull() | (F.size("kept") == 0), 0).otherwise(F.size("all") - F.size("kept"))
     return both.select(
         "posting_id",

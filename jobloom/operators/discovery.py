@@ -2,37 +2,59 @@
 
 from __future__ import annotations
 
+import unicodedata
 from datetime import datetime, timedelta
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from jobloom.functions.text import LEGAL_FORMS, folded
+from jobloom.functions.text import normal_text
 from jobloom.session import settle
 
 OUTCOMES = ["confirmed", "unverifiable", "wrong_company", "unreachable", "not_found"]
 RECHECK_DAYS = 90
 
 
+# Legal forms that end a name, and the punctuation that may stand round them.
+LEGAL_SUFFIXES = [
+    "gmbh & co kg", "gmbh", "ag", "se", "ug", "kg", "ohg", "inc", "llc", "ltd", "limited", "plc", "bv", "nv", "sa", "srl", "oy", "ab", "as",
+]
+TRAILING = r"[ \t.,;:-]+$"
+LONGEST_SLUG = 63
+
+
+@F.pandas_udf(StringType())
+def ascii_text(values: pd.Series) -> pd.Series:
+    """Accented letters as their base letters, other characters outside ASCII dropped; null stays null."""
+    return values.map(lambda v: unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode(), na_action="ignore")
+
+
 def core_name(name: Column) -> Column:
-    """Words of a name without the legal forms at its end."""
-    words = F.split(F.trim(folded(name)), " ")
-    legal = F.transform(words, lambda w: w.isin(LEGAL_FORMS))
-    last = F.array_max(F.transform(legal, lambda x, i: F.when(~x, i + 1).otherwise(0)))
-    return F.slice(words, F.lit(1), F.greatest(last, F.lit(0)))
+    """A name in normal text without the legal form at its end; empty for a null or blank one."""
+    plain = F.regexp_replace(F.coalesce(normal_text(name), F.lit("")), TRAILING, "")
+    return F.regexp_replace(F.regexp_replace(plain, f" (?:{'|'.join(LEGAL_SUFFIXES)})$", ""), TRAILING, "")
 
 
 def candidate_slugs(name: Column) -> Column:
-    """Three ordered guesses at a board's address: words joined, words hyphenated, the first word; 63 characters at most."""
-    words = core_name(name)
-    guesses = F.array(F.array_join(words, ""), F.array_join(words, "-"), F.coalesce(F.get(words, F.lit(0)), F.lit("")))
-    return F.array_distinct(F.filter(guesses, lambda g: (g != "") & (F.length(g) <= 63)))
+    """Up to three ordered guesses at a board's address: letters and digits joined, hyphenated, and the first word alone.
+
+    Accents fold to their letters before anything is split; a guess left empty or longer than a host's label is none.
+    """
+    words = F.trim(F.regexp_replace(ascii_text(core_name(name)), r"\s+", " "))
+    hyphenated = F.regexp_replace(words, "[^a-z0-9]+", "-")
+    first = F.regexp_replace(F.substring_index(words, " ", 1), "[^a-z0-9-]+", "")
+    tidy = lambda g: F.regexp_replace(F.regexp_replace(g, "-{2,}", "-"), "^-+|-+$", "")
+    guesses = F.transform(F.array(F.regexp_replace(words, "[^a-z0-9]+", ""), hyphenated, first), tidy)
+    return F.array_distinct(F.filter(guesses, lambda g: (g != "") & (F.length(g) <= LONGEST_SLUG)))
 
 
 def belongs_to(found: Column, expected: Column) -> Column:
-    """Whether two names have the same words before their legal forms."""
-    return core_name(found) == core_name(expected)
+    """Whether two names have the same letters and digits before their legal forms."""
+    letters = lambda n: F.regexp_replace(core_name(n), "[^a-z0-9]+", "")
+    return letters(found) == letters(expected)
 
 
 def discover(companies: DataFrame, boards: DataFrame) -> DataFrame:
@@ -95,7 +117,7 @@ def due_for_discovery(companies: DataFrame, boards: DataFrame, now: datetime, da
 
 def polled_boards(boards: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """Slugs of a source to poll, in order: confirmed, named or pinned ones, none that is blocked."""
-    of_source = boards.join(F.broadcast(sources.where(F.col("key") == key).select("source_id").limit(1)), "source_id", "left_semi")
+    of_source = boards.join(sources.where(F.col("key") == key).select("source_id").limit(1), "source_id", "left_semi")
     wanted = (F.col("status").isin("confirmed", "named") | F.col("pinned")) & (F.col("status") != "blocked")
     return of_source.where(wanted).select("slug").orderBy("slug")
 

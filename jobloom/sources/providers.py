@@ -16,6 +16,7 @@ from jobloom.functions.stated import employment, workplace
 from jobloom.functions.text import fit_location, plain_text
 
 NAME_LIMIT, URL_LIMIT = 255, 2048
+# Fixed value: the line that this provider puts under every description.
 FOOTER = r"\s*Find (?:more [^\n]{1,40} )?Jobs in [^\n]{1,60} on Arbeitnow\z"
 CANONICAL = [
     "company", "title", "description", "location", "workplace_type", "employment_type", "application_url",
@@ -25,11 +26,23 @@ CANONICAL = [
 c = F.col
 
 
-def _instant(x: Column) -> Column:
-    """An epoch in seconds, as number or digits, or an ISO date; null for anything else and for a negative epoch."""
+# From where on an epoch counts milliseconds, and the last second of the year 9999.
+MILLISECONDS_FROM, LAST_SECOND = 2e10, 253402300799
+OFFSET = r"(?i)\d\s*(?:z|[+-]\d{2}(?::?\d{2})?)\s*$"
+
+
+def _instant(x: Column, naive: bool = False) -> Column:
+    """An epoch as number or digits, or an ISO date with an offset, or without one where ``naive`` dates mean UTC.
+
+    Epochs from 2e10 on are milliseconds. Null for anything else, a negative epoch, and one after the year 9999.
+    """
     text = x.cast("string")
-    seconds = text.try_cast("double")
-    return F.when(seconds.isNotNull(), F.when(seconds >= 0, F.timestamp_seconds(seconds))).otherwise(text.try_cast("timestamp"))
+    number = text.try_cast("double")
+    seconds = F.when(number < MILLISECONDS_FROM, number).otherwise(number / 1000)
+    able = (seconds >= 0) & (seconds <= LAST_SECOND)
+    dated = text.try_cast("timestamp")
+    told = dated if naive else F.when(F.rlike(text, F.lit(OFFSET)) & F.contains(text, F.lit(":")), dated)
+    return F.when(number.isNotNull(), F.when(able, F.timestamp_seconds(seconds))).otherwise(told)
 
 
 def _place(x: Column) -> Column:
@@ -46,6 +59,7 @@ class Provider:
     precedence: int = 10
     partial: bool = False
     dates: tuple[str, ...] = ()
+    naive: bool = False  # whether dates without an offset are taken, as UTC
 
 
 PROVIDERS: dict[str, Provider] = {}
@@ -140,9 +154,10 @@ _add(Provider(
         "company": lambda: c("company_name"), "title": lambda: c("title"), "description": lambda: plain_text(c("description")),
         "location": lambda: _place(c("candidate_required_location")), "workplace_type": lambda: F.lit("remote"),
         "employment_type": lambda: employment(c("job_type")), "application_url": lambda: c("url"),
-        "published_at": lambda: _instant(c("publication_date")), "source_job_id": lambda: c("id"),
+        "published_at": lambda: _instant(c("publication_date"), naive=True), "source_job_id": lambda: c("id"),
     },
     dates=("publication_date",),
+    naive=True,
 ))
 _add(Provider(
     "himalayas", "jobs",
@@ -226,7 +241,7 @@ def normalise(pages: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     found, bad_pages = records(pages, provider)
     blank = lambda f: F.trim(F.coalesce(c(f), F.lit(""))) == ""
     missing = [F.when(blank(f), F.lit(f"{f}: required")) for f in provider.required]
-    unread = [F.when(~blank(f) & _instant(c(f)).isNull(), F.lit(f"{f}: no date")) for f in provider.dates]
+    unread = [F.when(~blank(f) & _instant(c(f), provider.naive).isNull(), F.lit(f"{f}: no date")) for f in provider.dates]
     checked = found.withColumn("_errors", F.array_compact(F.array(*missing, *unread)))
     own_id = provider.canonical["source_job_id"]()
     id_of = F.when(F.trim(own_id) != "", own_id)

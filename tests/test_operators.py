@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobloom.functions import text as T
-from jobloom.operators import discovery, extraction, identity, lifecycle, listing, measure, upserts
+from jobloom.operators import boards, discovery, extraction, identity, lifecycle, listing, measure, upserts
 from jobloom.sources import providers
 from jobloom.streaming import runs
 
@@ -67,7 +67,7 @@ PAGES = {
     "greenhouse": {"jobs": [{"id": 7, "title": "T", "company_name": "C", "content": "&lt;p&gt;x&lt;/p&gt;", "absolute_url": "https://a/1", "location": {"name": "Berlin; Remote"}, "metadata": [{"name": "Employment Type", "value": "Full-time"}], "first_published": "2026-01-05T10:00:00+02:00"}]},
     "polymer": {"items": [{"id": 7, "title": "T", "organization_name": "C", "description": "x", "kind_pretty": "Full time", "remoteness_pretty": "Remote", "job_post_url": "https://a/1", "published_at": "2026-01-05T08:00:00.000Z"}]},
     "pinpoint": {"data": [{"id": "7", "title": "T", "description": "x", "key_responsibilities": "<p>y</p>", "workplace_type": "onsite", "employment_type": "full_time", "url": "https://a/1", "location": {"city": "Berlin"}}]},
-    "jobicy": {"jobs": [{"id": 7, "jobTitle": "T", "companyName": "C", "jobDescription": "x", "url": "https://a/1", "jobGeo": "UK,  Ireland", "jobType": ["full-time"], "pubDate": "2026-01-05 08:00:00"}]},
+    "jobicy": {"jobs": [{"id": 7, "jobTitle": "T", "companyName": "C", "jobDescription": "x", "url": "https://a/1", "jobGeo": "UK,  Ireland", "jobType": ["full-time"], "pubDate": "2026-01-05T08:00:00+00:00"}]},
     "remotive": {"jobs": [{"id": 7, "title": "T", "company_name": "C", "job_type": "full_time", "publication_date": "2026-01-05T08:00:00", "candidate_required_location": "Worldwide", "description": "x", "url": "https://a/1"}]},
     "himalayas": {"jobs": [{"guid": "https://a/1", "title": "T", "companyName": "C", "employmentType": "Full Time", "locationRestrictions": ["Germany", "France"], "description": "x", "pubDate": 1767600000, "expiryDate": 1767500000, "applicationLink": "https://a/1"}]},
     "adzuna": {"results": [{"id": "7", "title": "T", "description": "x", "company": {"display_name": "C"}, "location": {"display_name": "Berlin"}, "redirect_url": "https://a/1", "created": "2026-01-05T08:00:00Z", "contract_time": "full_time"}]},
@@ -244,6 +244,13 @@ def test_entitlement_to_retire():
 
 def test_discovery(spark):
     assert values(spark, discovery.candidate_slugs, "Blue River GmbH", "Solo AG") == [["blueriver", "blue-river", "blue"], ["solo"]]
+    names = ["Müller AG", "Café Blau GmbH", "jobbusters®", "A & B GmbH & Co KG.", "Straße 1, Ltd.", "West Group Holding e.V.", "ag", " ", None, "x" * 64, "Ünïcode--Name SE"]
+    assert values(spark, discovery.candidate_slugs, *names) == [
+        ["muller"], ["cafeblau", "cafe-blau", "cafe"], ["jobbusters"], ["ab", "a-b", "a"], ["strasse1", "strasse-1", "strasse"],
+        ["westgroupholdingev", "west-group-holding-e-v", "west"], ["ag"], [], [], [], ["unicodename", "unicode-name"],
+    ]
+    same = spark.createDataFrame([("WPP Media", "wppmedia"), ("Acme Health", "Acme"), ("Acme", "ACME GmbH."), ("Acme Group", "Acme")], "a string, b string")
+    assert [r[0] for r in same.select(discovery.belongs_to(F.col("a"), F.col("b"))).collect()] == [True, False, True, False]
     companies = spark.createDataFrame([("Blue River GmbH",), ("Solo AG",), ("Nobody Here",)], "name string")
     boards = [("blueriver", True, "Other"), ("blue-river", False, None), ("blue", True, "BLUE RIVER"), ("solo", True, None)]
     boards = spark.createDataFrame(boards, "slug string, reachable boolean, stated_company string")
@@ -264,6 +271,36 @@ def test_discovery(spark):
     assert reach.agg(F.max("depth"), F.count("*")).first() == (55, 56)
 
 
+def test_dates_without_offset_and_beyond_all_years_are_refused(spark):
+    given = ["2026-01-05T08:00:00Z", "2026-01-05T10:00:00+02:00", "2026-01-05T08:00:00", "2026-01-05", "1e18", "1767600000000", "1767600000", "-5", "x", None]
+    eight = datetime(2026, 1, 5, 8)
+    assert values(spark, providers._instant, *given) == [eight, eight, None, None, None, eight, eight, None, None, None]
+    assert values(spark, lambda x: providers._instant(x, naive=True), *given[:4]) == [eight, eight, eight, datetime(2026, 1, 5)]
+
+
+def test_polls_stand_alike_in_batch_and_stream(spark, tmp_path):
+    """Pins hold, evidence decides what a success brings back, and counted failures go on from the registry's row."""
+    registry = [
+        ("a", "confirmed", 1, "provider_name", False, 2), ("b", "inactive", 1, "operator", False, 3), ("c", "inactive", None, "operator", True, 3),
+        ("d", "named", 1, "site_title", False, 0), ("e", "candidate", None, None, True, 1), ("f", "inactive", 2, "site_title", False, 9), ("g", "inactive", 2, "site_title", False, 3),
+    ]
+    registry = spark.createDataFrame(registry, "slug string, status string, company_id long, kind string, pinned boolean, failures int")
+    fails = {"a": [1], "b": [0], "c": [1, 0, 1], "d": [1, 1, 1, 0, 1], "e": [1, 1, 1, 1], "f": [0, 1, 1, 1], "g": [1], "unknown": [0]}
+    polls = [(s, DAY + timedelta(k), k, bool(x)) for s, xs in fails.items() for k, x in enumerate(xs)]
+    made = spark.createDataFrame(polls, "slug string, at timestamp, poll_id int, failed boolean")
+    batch = rows(boards.after_polls(made, registry), "slug", "failures", "status")
+    assert batch == [
+        ("a", 3, "inactive"), ("b", 0, "candidate"), ("c", 1, "confirmed"), ("d", 1, "confirmed"), ("e", 5, "candidate"), ("f", 3, "inactive"), ("g", 4, "inactive"),
+    ]
+    source = stream(spark, str(tmp_path / "p"), [(s, at, f) for s, at, _, f in polls if at < DAY + timedelta(2)], "board string, at timestamp, failed boolean")
+    stream(spark, str(tmp_path / "p"), [(s, at, f) for s, at, _, f in polls if at >= DAY + timedelta(1)], "board string, at timestamp, failed boolean")
+    last = {}
+    keep = lambda df, n: last.update({r["board"]: (r["consecutive_failures"], r["status"]) for r in df.collect()})
+    query = runs.board_failures(source, registry).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c"))
+    finished(query.trigger(availableNow=True).start())
+    assert sorted((s, *x) for s, x in last.items()) == batch
+
+
 def stream(spark, path, made, schema):
     spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
