@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from jobloom.functions.text import normal_text
 
@@ -39,8 +39,11 @@ def form(values: pd.Series) -> pd.Series:
 
 
 def load_vocabulary(surface_forms: DataFrame) -> DataFrame:
-    """(form, concept, words): concept is null where a form names several concepts."""
-    named = surface_forms.withColumn("form", form(F.col("surface_form"))).where("form <> ''")
+    """(form, concept, words): concept is null where a form names several concepts. A form without a term raises."""
+    named = surface_forms.withColumn("form", form(F.col("surface_form")))
+    blank = named.where(F.coalesce(F.col("form"), F.lit("")) == "").select("surface_form").first()
+    if blank is not None:
+        raise ValueError(f"surface form without a term: {blank[0]!r}")
     grouped = named.groupBy("form").agg(F.count_distinct("concept").alias("n"), F.min("concept").alias("one"))
     return grouped.select("form", F.when(F.col("n") == 1, F.col("one")).alias("concept"), F.size(F.split("form", " ")).alias("words"))
 
@@ -53,8 +56,38 @@ def resolve_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return joined.select("term", outcome.alias("outcome"), "concept")
 
 
+# Fixed value: what counts as one token of a text.
+_WORD_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[+#]|[./](?=[^\W_]))*")
+HELD_FORMS = 200_000
+
+
+def token_forms(value: str) -> list[str]:
+    """The normal forms of a text's tokens; what lies between them plays no part."""
+    return [plain_form(t) for t in _WORD_TOKEN.findall(value)]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def tokens_of(values: pd.Series) -> pd.Series:
+    return values.map(token_forms, na_action="ignore")
+
+
+def term_entries(vocabulary: DataFrame) -> DataFrame:
+    """(tokens, form, concept) of a vocabulary (form, concept): each form as its tokens, and as these joined by spaces.
+
+    Raises if a form has no token, or if two forms have the same tokens and name different concepts.
+    """
+    cut = vocabulary.select(tokens_of(F.coalesce(F.col("form"), F.lit(""))).alias("tokens"), "concept", F.col("form").alias("given"))
+    entries = cut.groupBy("tokens").agg(
+        F.first("concept").alias("concept"), F.min("given").alias("given"), (F.count_distinct("concept") + F.max(F.col("concept").isNull().cast("int"))).alias("n")
+    )
+    wrong = entries.where((F.size("tokens") == 0) | (F.col("n") > 1)).select("given", "tokens").first()
+    if wrong is not None:
+        raise ValueError(f"surface form without a term: {wrong[0]!r}" if not wrong[1] else f"surface forms conflict as {' '.join(wrong[1])!r}")
+    return entries.select("tokens", F.array_join("tokens", " ").alias("form"), "concept")
+
+
 def phrases(docs: DataFrame, longest: int) -> DataFrame:
-    """(id, words, first, start, end, surface_form, form): every run of 1 to ``longest`` tokens of a text, with offsets in
+    """(id, words, first, start, end, surface_form, tokens): every run of 1 to ``longest`` tokens of a text, with offsets in
     code points, end exclusive."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,46 +95,42 @@ def phrases(docs: DataFrame, longest: int) -> DataFrame:
             rows = []
             for i, text in zip(batch["id"], batch["text"]):
                 at = [m.span() for m in _WORD_TOKEN.finditer(text or "")]
+                own = [plain_form(text[a:b]) for a, b in at]
                 for n in range(1, longest + 1):
                     for k in range(len(at) - n + 1):
                         start, end = at[k][0], at[k + n - 1][1]
-                        surface = text[start:end]
-                        rows.append((i, n, k, start, end, surface, plain_form(surface)))
+                        rows.append((i, n, k, start, end, text[start:end], own[k : k + n]))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             yield pd.DataFrame(rows, columns=names)
 
-    names = ["id", "words", "first", "start", "end", "surface_form", "form"]
+    names = ["id", "words", "first", "start", "end", "surface_form", "tokens"]
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInPandas(run, f"id {kind}, words int, first int, start int, end int, surface_form string, form string")
-
-
-# Fixed value: what counts as one token of a text.
-_WORD_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[+#]|[./](?=[^\W_]))*")
-HELD_FORMS = 200_000
+    return docs.select("id", "text").mapInPandas(run, f"id {kind}, words int, first int, start int, end int, surface_form string, tokens array<string>")
 
 
 def extract_mentions(docs: DataFrame, vocabulary: DataFrame, held_forms: int = HELD_FORMS) -> DataFrame:
     """(id, surface_form, form, concept, start, end): phrases of the vocabulary, longest first over the whole text.
 
-    All phrases of n tokens are taken before any of n - 1, left to right, and a phrase must not overlap one taken
-    before. A vocabulary of ``held_forms`` forms at most goes to the tasks, which match each text in one pass; a larger
-    one meets the texts' phrases in a join. The vocabulary's longest form bounds the phrases, nothing else does.
+    A phrase is its tokens, one after another, whatever stands between them. All phrases of n tokens are taken before any
+    of n - 1, left to right, and a phrase must not overlap one taken before. A vocabulary of ``held_forms`` forms at most
+    goes to the tasks, which match each text in one pass; a larger one meets the texts' phrases in a join. The
+    vocabulary's longest form bounds the phrases, nothing else does. A vocabulary with a form that has no token, or with
+    two that conflict, raises.
     """
-    forms = vocabulary.select("form", "concept")
+    forms = term_entries(vocabulary)
     if forms.count() <= held_forms:
         return _matched(docs, forms)
-    tokens = F.size(F.regexp_extract_all("form", F.lit(f"(?U){_WORD_TOKEN.pattern}"), F.lit(0)))
-    longest = forms.agg(F.max(tokens)).first()[0] or 0
-    hits = phrases(docs, longest).join(forms.withColumnRenamed("form", "_form"), F.col("form") == F.col("_form")).drop("_form")
+    longest = forms.agg(F.max(F.size("tokens"))).first()[0] or 0
+    hits = phrases(docs, longest).join(forms, "tokens")
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["words", "first"], ascending=[False, True])
         keep = _free(list(zip(rows["first"], rows["words"])))
         return rows[keep][["id", "surface_form", "form", "concept", "start", "end"]].sort_values("start")
 
-    return hits.groupBy("id").applyInPandas(take, _mention_schema(docs, vocabulary))
+    return hits.drop("tokens").groupBy("id").applyInPandas(take, _mention_schema(docs, vocabulary))
 
 
 def _mention_schema(docs: DataFrame, vocabulary: DataFrame) -> str:
@@ -123,37 +152,38 @@ def _free(runs: list[tuple[int, int]]) -> list[bool]:
 
 def _matched(docs: DataFrame, forms: DataFrame) -> DataFrame:
     """Mentions by one pass over each text with the forms held by the task, looked up from their first token."""
-    rows = [(r["form"], r["concept"]) for r in forms.collect()]
+    rows = [(tuple(r["tokens"]), r["form"], r["concept"]) for r in forms.collect()]
     held = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        concepts = dict(held.value)
+        entries = {tokens: (name, concept) for tokens, name, concept in held.value}
         lengths: dict[str, set[int]] = {}
-        for known in concepts:
-            tokens = _WORD_TOKEN.findall(known)
-            if tokens:
-                lengths.setdefault(tokens[0], set()).add(len(tokens))
+        for tokens in entries:
+            lengths.setdefault(tokens[0], set()).add(len(tokens))
         plain: dict[str, str] = {}
         for batch in batches:
             out = []
             for i, text in zip(batch["id"], batch["text"]):
                 at = [m.span() for m in _WORD_TOKEN.finditer(text or "")]
-                hits = []
-                for k, (start, end) in enumerate(at):
-                    token = text[start:end]
+                own = []
+                for a, b in at:
+                    token = text[a:b]
                     if token not in plain:
                         if len(plain) > 400_000:
                             plain.clear()
                         plain[token] = plain_form(token)
-                    for n in lengths.get(plain[token], ()):
-                        if k + n <= len(at):
-                            surface = text[start : at[k + n - 1][1]]
-                            same = plain_form(surface)
-                            if same in concepts:
-                                hits.append((-n, k, surface, same, concepts[same], start, at[k + n - 1][1]))
+                    own.append(plain[token])
+                hits = [
+                    (-n, k, entries[key])
+                    for k, token in enumerate(own)
+                    for n in lengths.get(token, ())
+                    if (key := tuple(own[k : k + n])) in entries
+                ]
                 hits.sort(key=lambda h: h[:2])
-                kept = [h for h, free in zip(hits, _free([(k, -n) for n, k, *_ in hits])) if free]
-                out += [(i, *h[2:]) for h in sorted(kept, key=lambda h: h[1])]
+                kept = [h for h, free in zip(hits, _free([(k, -n) for n, k, _ in hits])) if free]
+                for n, k, named in sorted(kept, key=lambda h: h[1]):
+                    start, end = at[k][0], at[k - n - 1][1]
+                    out.append((i, text[start:end], *named, start, end))
             yield pd.DataFrame(out, columns=["id", "surface_form", "form", "concept", "start", "end"])
 
     return docs.select("id", "text").mapInPandas(run, _mention_schema(docs, forms))
@@ -168,38 +198,38 @@ def plan_skills(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return skills, loose
 
 
-_TOKENS = re.compile(rf"{PUNCTUATED}|{CAPITALISED}|[\wÀ-ɏ]+")
-_PUNCT, _CAPITAL = re.compile(PUNCTUATED), re.compile(CAPITALISED)
+# The tokens of a proposal by kind, what is a word where capitals are counted, and what ends a sentence.
+_KINDS = re.compile(rf"(?P<marked>{PUNCTUATED})|(?P<capital>{CAPITALISED})|[\wÀ-ɏ]+")
 _WORDS = re.compile(r"[A-Za-zÀ-ɏ][\wÀ-ɏ]*")
-_ENDS = re.compile(r"[.!?:;\n]\s*$|^\s*$|[)\]]\s*$")
+ENDS, LOOKED_BACK = ".!?:;)]", 40
 
 
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Runs of one to four adjacent named tokens; a sentence's first word alone never counts.
 
-    A capital names something only where capitals are rare; punctuated terms always do.
+    A token is named by its punctuation, or by a capital where capitals are rare, and never if it is a stopword. From the
+    end of the text each token learns how many named ones follow it without a break; a proposal is a token with a
+    reach of that many at most.
     """
-    words = _WORDS.findall(text)
-    dense = len(words) >= MEASURABLE and sum(w[0].isupper() for w in words) > GRAMMATICAL * len(words)
-
-    def named(m: re.Match) -> bool:
-        token = m.group()
-        if token.casefold() in STOPWORDS:
-            return False
-        return bool(_PUNCT.fullmatch(token) or (not dense and _CAPITAL.fullmatch(token)))
-
-    tokens = list(_TOKENS.finditer(text))
-    flags = [named(m) for m in tokens]
+    capitals = [w[0].isupper() for w in _WORDS.findall(text)]
+    kinds = {"marked"} if len(capitals) >= MEASURABLE and sum(capitals) > GRAMMATICAL * len(capitals) else {"marked", "capital"}
+    spans, reach, after = [], [], 0
+    for m in reversed(list(_KINDS.finditer(text))):
+        touches = bool(spans) and not text[m.end() : spans[-1][0]].strip()
+        named = m.lastgroup in kinds and m.group().casefold() not in STOPWORDS
+        after = (1 + after * touches) if named else 0
+        spans.append(m.span())
+        reach.append(after)
+    spans.reverse()
+    reach.reverse()
     found = []
-    for i, first in enumerate(tokens):
-        if not flags[i]:
-            continue
-        alone = not _ENDS.search(text[max(0, first.start() - 40) : first.start()])
-        for j in range(i, min(i + MAX_TOKENS, len(tokens))):
-            if not flags[j] or (j > i and text[tokens[j - 1].end() : tokens[j].start()].strip()):
-                break
-            if j > i or alone:
-                found.append((text[first.start() : tokens[j].end()], first.start(), tokens[j].end()))
+    for k in (k for k, n in enumerate(reach) if n):
+        begin = spans[k][0]
+        before = text[max(0, begin - LOOKED_BACK) : begin]
+        said = before.rstrip()
+        opens = not said or said[-1] in ENDS or "\n" in before[len(said) :]
+        ends = [spans[k + n][1] for n in range(opens, min(reach[k], MAX_TOKENS))]
+        found += [(text[begin:end], begin, end) for end in ends]
     return found
 
 

@@ -27,19 +27,74 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", plain_text(F.col("html")).alias("text"))
 
 
-@query()
+def _placed(token: str, source: str) -> str:
+    """SQL of (id, k, token, start, "end", gap): the tokens of each text of ``source`` with what stands before them."""
+    return f"""SELECT id, k, tok AS token, place AS start, place + length(tok) AS "end", gap FROM (
+  SELECT id, k, tok, gap, (sum(length(gap) + length(tok)) OVER (PARTITION BY id ORDER BY k) - length(tok))::BIGINT AS place FROM (
+    SELECT id, unnest(range(1, len(t) + 1)) AS k, unnest(t) AS tok, unnest(g[1:len(t)]) AS gap
+    FROM (SELECT id, regexp_extract_all(text, '{token}') AS t, regexp_split_to_array(text, '{token}') AS g FROM {source})))"""
+
+
+_RAW = "raw AS (SELECT doc_id AS id, text, source AS employer FROM documents WHERE text IS NOT NULL)"
+_LETTER = r"[\p{L}\p{N}]"
+_TERM = rf"{_LETTER}(?:{_LETTER}|[+#]|[./]{_LETTER})*"
+_LONGEST = max(len(X.token_forms(f)) for f, _ in FORMS)
+
+
+def _mention_sql() -> str:
+    known: dict[str, set] = {}
+    for surface, concept in FORMS:
+        known.setdefault(" ".join(X.token_forms(surface)), set()).add(concept)
+    rows = ", ".join(f"('{f}', {'NULL' if len(c) > 1 else repr(min(c))}, {len(f.split())})" for f, c in sorted(known.items()))
+    runs = " UNION ALL ".join(
+        f"""SELECT id, k, {n} AS n, {" || ' ' || ".join(["form", *[f"lead(form, {j}) OVER w" for j in range(1, n)]])} AS form, start,
+  {f'lead("end", {n - 1}) OVER w' if n > 1 else '"end"'} AS "end" FROM tokens WINDOW w AS (PARTITION BY id ORDER BY k)"""
+        for n in range(1, _LONGEST + 1)
+    )
+    # None of these forms overlaps itself or another of its length, so a length's hits only yield to longer ones.
+    steps, taken = [], []
+    for n in range(_LONGEST, 0, -1):
+        free = "".join(f" AND NOT EXISTS (SELECT 1 FROM t{m} t WHERE t.id = h.id AND h.k < t.k + {m} AND t.k < h.k + {n})" for m in taken)
+        steps.append(f"t{n} AS MATERIALIZED (SELECT * FROM hits h WHERE n = {n}{free})")
+        taken.append(n)
+    every = " UNION ALL ".join(f"SELECT * FROM t{n}" for n in taken)
+    return f"""WITH {_RAW}, tokens AS MATERIALIZED (SELECT *, replace(lower(token), 'ß', 'ss') AS form FROM ({_placed(_TERM, "raw")})),
+known(form, concept, n) AS (VALUES {rows}), hits AS MATERIALIZED (SELECT r.*, concept FROM ({runs}) r JOIN known USING (form, n)), {", ".join(steps)}
+SELECT id, substr(text, start + 1, "end" - start) AS surface_form, form, concept, start::INTEGER AS start, "end"::INTEGER AS "end" FROM ({every}) JOIN raw USING (id)"""
+
+
+@query(_mention_sql())
 def extract_mentions(spark, sf_dir):
     vocabulary = X.load_vocabulary(spark.createDataFrame(FORMS, "surface_form string, concept string"))
     return X.extract_mentions(_texts(spark, sf_dir), vocabulary)
 
 
-@query()
+_ANY = r"[\p{L}\p{N}_]"
+_MARKED = rf"[A-Za-z]{_ANY}*(?:[./][A-Za-z]{_ANY}*)+|[A-Za-z]{_ANY}*[+#]+"
+_CAPITAL = r"[A-ZÀ-Þ][\p{L}\p{N}_À-ɏ]*"
+_PROPOSED = rf"""{_RAW},
+dense AS (SELECT id, len(w) >= 30 AND len(list_filter(w, lambda x: upper(x[1]) = x[1] AND lower(x[1]) <> x[1])) > 0.25::DOUBLE * len(w) AS dense
+  FROM (SELECT id, regexp_extract_all(text, '[A-Za-zÀ-ɏ][\p{{L}}\p{{N}}_À-ɏ]*') AS w FROM raw)),
+tokens AS MATERIALIZED (SELECT t.*, dense, trim(regexp_replace(gap, '\s', ' ', 'g')) = '' AS touches,
+    (regexp_full_match(token, '{_MARKED}') OR (NOT dense AND regexp_full_match(token, '{_CAPITAL}')))
+      AND lower(token) NOT IN ({", ".join(f"'{w}'" for w in sorted(X.STOPWORDS))}) AS named FROM ({_placed(f"{_MARKED}|{_CAPITAL}|" + _ANY + "+", "raw")}) t JOIN dense USING (id)),
+islands AS (SELECT *, sum(CASE WHEN named AND touches THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY k) AS island FROM tokens),
+runs AS (SELECT i.*, count(*) OVER (PARTITION BY id, island ORDER BY k DESC) AS reach, substr(text, greatest(start - 40, 0) + 1, start - greatest(start - 40, 0)) AS before
+  FROM islands i JOIN raw USING (id) WHERE named),
+begun AS (SELECT *, regexp_matches(before, '[.!?:;)\]\n]\s*$') OR regexp_full_match(before, '\s*') AS opens FROM runs),
+proposed AS (SELECT b.id, substr(text, b.start + 1, e."end" - b.start) AS surface_form, b.start::INTEGER AS start, e."end"::INTEGER AS "end"
+  FROM begun b JOIN tokens e ON e.id = b.id AND e.k >= b.k AND e.k < b.k + least(b.reach, 4) AND (e.k > b.k OR NOT b.opens) JOIN raw ON raw.id = b.id)"""
+
+
+@query(f'WITH {_PROPOSED} SELECT id, surface_form, start, "end" FROM proposed')
 def propose_candidates(spark, sf_dir):
-    talk = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return X.propose_candidates(talk)
+    return X.propose_candidates(_texts(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {_PROPOSED} SELECT surface_form, count(DISTINCT employer) AS employers, count(*) AS mentions, count(DISTINCT id) AS postings, min(id) AS example
+FROM proposed JOIN raw USING (id) WHERE employer IS NOT NULL GROUP BY 1 ORDER BY employers DESC, mentions DESC, surface_form LIMIT 50"""
+)
 def review_queue(spark, sf_dir):
     texts = _texts(spark, sf_dir)
     return X.review_queue(X.propose_candidates(texts), texts.select("id", "employer"))

@@ -203,6 +203,53 @@ def test_mentions(spark, held):
     assert rows(unknown, "surface_form") == [("Rust",)]
 
 
+@pytest.mark.parametrize("held", [10**6, 0])
+def test_mentions_reach_over_punctuation(spark, held):
+    vocabulary = spark.createDataFrame([("machine learning", "m"), ("c++", "c"), ("learning", None)], "form string, concept string")
+    text = "Machine, learning and machine (learning), machine / learning; machine  learning, C++."
+    found = extraction.extract_mentions(spark.createDataFrame([(1, text)], "id long, text string"), vocabulary, held)
+    assert sorted((r["start"], r["surface_form"], r["form"], r["concept"]) for r in found.collect()) == [
+        (0, "Machine, learning", "machine learning", "m"), (22, "machine (learning", "machine learning", "m"), (42, "machine / learning", "machine learning", "m"),
+        (62, "machine  learning", "machine learning", "m"), (81, "C++", "c++", "c"),
+    ]
+
+
+@pytest.mark.parametrize("forms", [[("data", "a"), ("Data", "b")], [("data", "a"), ("data", None)], [("data", "a"), ("...", "b")], [("x, y", "a"), ("x y", "b")]])
+def test_vocabularies_that_cannot_be_matched_raise(spark, forms):
+    docs = spark.createDataFrame([(1, "data")], "id long, text string")
+    with pytest.raises(ValueError, match="without a term|conflict"):
+        extraction.extract_mentions(docs, spark.createDataFrame(forms, "form string, concept string")).collect()
+    with pytest.raises(ValueError, match="without a term"):
+        extraction.load_vocabulary(spark.createDataFrame([(" - ", "a")], "surface_form string, concept string"))
+
+
+@pytest.mark.parametrize(
+    ("text", "terms"),
+    [
+        ("We run Amazon Web Services here", ["Amazon", "Amazon Web", "Amazon Web Services", "Web", "Web Services", "Services"]),
+        ("Kubernetes is required", []),
+        ("Done. Apache Kafka is used", ["Apache Kafka", "Kafka"]),
+        ("we like One Two Three Four Five", ["One", "One Two", "One Two Three", "One Two Three Four", "Two", "Two Three", "Two Three Four", "Two Three Four Five", "Three", "Three Four", "Three Four Five", "Four", "Four Five", "Five"]),
+        ("we use Node.js CI/CD C++ C# F# e.g and/or", None),
+        ("the Go, Rust pair", ["Go", "Rust"]),
+        ("use The Go tool\n  Rust", ["Go"]),
+        ("", []),
+    ],
+)
+def test_proposals(text, terms):
+    found = extraction.proposals(text)
+    assert all(text[a:b] == t for t, a, b in found)
+    if terms is None:
+        assert {"Node.js", "CI/CD", "C++", "C#", "F#", "e.g", "and/or"} <= {t for t, _, _ in found}
+    else:
+        assert [t for t, _, _ in found] == terms
+
+
+def test_capitals_propose_nothing_where_they_are_grammar():
+    text = "wir suchen Menschen mit Erfahrung in Technik und Freude an Arbeit " * 5 + "mit node.js"
+    assert [t for t, _, _ in extraction.proposals(text)] == ["node.js"]
+
+
 def test_upserts(spark):
     stored = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id long, name string, note string")
     table, added = upserts.insert_absent(stored, spark.createDataFrame([(2, "z", "z"), (3, "c", None), (3, "c", None)], stored.schema), ["id"])
