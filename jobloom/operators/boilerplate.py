@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,49 @@ def stripped(postings: DataFrame, removable: DataFrame) -> DataFrame:
         F.when(removed > 0, F.array_join("kept", "\n")).otherwise(F.col("description")).alias("description"),
         removed.cast("long").alias("removed"),
     )
+
+
+def rewrites(postings: DataFrame, removable: DataFrame) -> DataFrame:
+    """(posting_id, description, removed_blocks, removed_characters) of the postings that stripping changes.
+
+    A backfill applies these rows by id; applying them twice changes nothing.
+    """
+    done = stripped(postings, removable).where("removed > 0")
+    both = done.alias("d").join(postings.select("posting_id", F.col("description").alias("old")).alias("o"), "posting_id")
+    return both.select(
+        "posting_id", "d.description", F.col("removed").alias("removed_blocks"), (F.length("old") - F.length("d.description")).cast("long").alias("removed_characters")
+    )
+
+
+def backfill_report(postings: DataFrame, changes: DataFrame) -> DataFrame:
+    """(postings_read, postings_changed, blocks_removed, characters_removed), one row."""
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    told = changes.agg(F.count("*").alias("postings_changed"), zero("removed_blocks").alias("blocks_removed"), zero("removed_characters").alias("characters_removed"))
+    return postings.agg(F.count("*").alias("postings_read")).join(told)
+
+
+BEFORE, AFTER = 1, 2
+
+
+def measured(postings: DataFrame, changes: DataFrame, propose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(version, observations, distinct_terms, characters): what is proposed before and after a rewriting.
+
+    ``propose`` gives (id, surface_form, ...) of (id, text). A posting that doesn't change is read once, for both versions;
+    a term's mask says in which it occurs, so the terms of both versions are counted in one shuffle.
+    """
+    new = changes.select("posting_id", F.col("description").alias("new"))
+    both = postings.select("posting_id", "description").join(new, "posting_id", "left")
+    versions = F.when(F.col("new").isNull(), F.array(F.struct(F.lit(BEFORE | AFTER).alias("mask"), F.col("description").alias("text")))).otherwise(
+        F.array(F.struct(F.lit(BEFORE).alias("mask"), F.col("description").alias("text")), F.struct(F.lit(AFTER).alias("mask"), F.col("new").alias("text")))
+    )
+    texts = both.select(F.explode(versions).alias("v")).select(F.col("v.mask").alias("id"), "v.text")
+    has = lambda c, m: F.col(c).bitwiseAND(F.lit(m)) != 0
+    found = propose(texts).select(F.col("id").alias("mask"), F.trim(F.regexp_replace("surface_form", r"\s+", " ")).alias("term"))
+    count = lambda df, m: F.sum(F.when(has("mask", m), F.col("n")).otherwise(0))
+    terms = found.groupBy("term", "mask").agg(F.count("*").alias("n")).groupBy("term").agg(
+        F.bit_or("mask").alias("mask"), *[count(None, m).alias(f"n{m}") for m in (BEFORE, AFTER)]
+    )
+    per = terms.agg(*[x for m in (BEFORE, AFTER) for x in (F.coalesce(F.sum(f"n{m}"), F.lit(0)).alias(f"o{m}"), F.count_if(has("mask", m)).alias(f"d{m}"))])
+    size = texts.agg(*[F.coalesce(F.sum(F.when(has("id", m), F.length("text"))), F.lit(0)).alias(f"c{m}") for m in (BEFORE, AFTER)])
+    row = lambda name, m: F.struct(F.lit(name).alias("version"), F.col(f"o{m}").alias("observations"), F.col(f"d{m}").alias("distinct_terms"), F.col(f"c{m}").alias("characters"))
+    return per.join(size).select(F.explode(F.array(row("before", BEFORE), row("after", AFTER))).alias("x")).select("x.*")

@@ -26,6 +26,37 @@ def manifest(postings: DataFrame) -> DataFrame:
     )
 
 
+def full_manifest(jobs: DataFrame, records: DataFrame, largest: int = 30) -> DataFrame:
+    """(kind, name, value) of a whole corpus: its counts by source, board and employer, its dates, and a digest.
+
+    ``jobs`` has (id, employer, published_at, description), ``records`` (job_id, source_key, source_job_id, board), one row
+    an account of a job; board is null where a source has none. Kinds: ``source`` and ``board`` count accounts, ``employer``
+    counts jobs of the ``largest`` employers (ties by name), ``total`` has jobs, employers, jobs_with_two_sources,
+    without_a_date, earliest, latest and digest. The digest adds up the rows' hashes, so partial sums merge in any order
+    and no list of rows is gathered. An empty corpus has its totals, 0 or null.
+    """
+    counts = records.groupingSets([["source_key"], ["board"]], "source_key", "board").agg(F.grouping("source_key").alias("g"), F.count("*").alias("n"))
+    name = F.when(F.col("g") == 0, F.col("source_key")).otherwise(F.col("board"))
+    by = counts.select(F.when(F.col("g") == 0, "source").otherwise("board").alias("kind"), name.alias("name"), F.col("n").cast("string").alias("value")).where("name is not null")
+    employers = jobs.groupBy("employer").agg(F.count("*").alias("n"))
+    top = employers.orderBy(F.desc("n"), "employer").limit(largest).select(F.lit("employer").alias("kind"), F.col("employer").alias("name"), F.col("n").cast("string").alias("value"))
+    part = lambda c: F.conv(F.substring(F.md5(c.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    of_jobs = part(F.coalesce("description", F.lit("")))
+    of_records = part(F.concat_ws(":", "source_key", F.col("source_job_id").cast("string")))
+    n_sources = records.groupBy("job_id").agg(F.count_distinct("source_key").alias("k"))
+    a = jobs.agg(
+        F.count("*").alias("jobs"), F.count_if(F.col("published_at").isNull()).alias("without_a_date"), F.min("published_at").alias("earliest"),
+        F.max("published_at").alias("latest"), F.coalesce(F.sum(of_jobs), F.lit(0)).alias("d1"),
+    )
+    b = records.agg(F.coalesce(F.sum(of_records), F.lit(0)).alias("d2"))
+    c = n_sources.agg(F.count_if(F.col("k") > 1).alias("jobs_with_two_sources"))
+    d = employers.where("employer is not null").agg(F.count("*").alias("employers"))
+    whole = a.join(b).join(c).join(d).withColumn("digest", (F.col("d1") + F.col("d2")).cast("decimal(38,0)"))
+    names = ("jobs", "employers", "jobs_with_two_sources", "without_a_date", "earliest", "latest", "digest")
+    totals = F.explode(F.array(*[F.struct(F.lit("total").alias("kind"), F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names]))
+    return by.unionByName(top).unionByName(whole.select(totals.alias("x")).select("x.*"))
+
+
 def largest_remainder(sizes: DataFrame, total: int) -> DataFrame:
     """(stratum, size, quota): ``total`` shared in proportion by largest remainders, at least 1 a stratum.
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import plain_text
+from jobloom.operators import boilerplate as P
+from jobloom.operators import cvs as V
 from jobloom.operators import extraction as X
 from jobloom.operators import measure as S
+from jobloom.plans.identity import TEMPLATED, stored_postings
 from jobloom.plans.registry import query
 from jobloom.session import table
+from jobloom.sources import bindings as B
+from jobloom.sources import versions
 
 # A small vocabulary of its own over the test texts: forms, and the concepts they name.
 FORMS = [
@@ -72,8 +77,7 @@ def extract_mentions(spark, sf_dir):
 _ANY = r"[\p{L}\p{N}_]"
 _MARKED = rf"[A-Za-z]{_ANY}*(?:[./][A-Za-z]{_ANY}*)+|[A-Za-z]{_ANY}*[+#]+"
 _CAPITAL = r"[A-ZÀ-Þ][\p{L}\p{N}_À-ɏ]*"
-_PROPOSED = rf"""{_RAW},
-dense AS (SELECT id, len(w) >= 30 AND len(list_filter(w, lambda x: upper(x[1]) = x[1] AND lower(x[1]) <> x[1])) > 0.25::DOUBLE * len(w) AS dense
+_FROM_RAW = rf"""dense AS (SELECT id, len(w) >= 30 AND len(list_filter(w, lambda x: upper(x[1]) = x[1] AND lower(x[1]) <> x[1])) > 0.25::DOUBLE * len(w) AS dense
   FROM (SELECT id, regexp_extract_all(text, '[A-Za-zÀ-ɏ][\p{{L}}\p{{N}}_À-ɏ]*') AS w FROM raw)),
 tokens AS MATERIALIZED (SELECT t.*, dense, trim(regexp_replace(gap, '\s', ' ', 'g')) = '' AS touches,
     (regexp_full_match(token, '{_MARKED}') OR (NOT dense AND regexp_full_match(token, '{_CAPITAL}')))
@@ -86,6 +90,9 @@ proposed AS (SELECT b.id, substr(text, b.start + 1, e."end" - b.start) AS surfac
   FROM begun b JOIN tokens e ON e.id = b.id AND e.k >= b.k AND e.k < b.k + least(b.reach, 4) AND (e.k > b.k OR NOT b.opens) JOIN raw ON raw.id = b.id)"""
 
 
+_PROPOSED = f"{_RAW}, {_FROM_RAW}"
+
+
 @query(f'WITH {_PROPOSED} SELECT id, surface_form, start, "end" FROM proposed')
 def propose_candidates(spark, sf_dir):
     return X.propose_candidates(_texts(spark, sf_dir))
@@ -137,3 +144,116 @@ def stratified_sample_quota(spark, sf_dir):
 def language_mix(spark, sf_dir):
     out = S.language_mix(table(spark, sf_dir, "documents"))
     return out.withColumn("share", F.round("share", 9))
+
+
+_REWRITTEN = f"""{TEMPLATED}, topped AS (SELECT *, max(seen) OVER (PARTITION BY employer) AS most FROM counts),
+gone AS (SELECT employer, fold FROM topped JOIN known USING (employer) WHERE n >= 5 AND (seen >= 0.6::DOUBLE * n OR (most >= 2 AND seen >= 0.9::DOUBLE * most))),
+marked AS (SELECT e.*, g.fold IS NOT NULL AS gone FROM each e LEFT JOIN gone g USING (employer, fold)),
+cut AS (SELECT posting_id, count(*) FILTER (gone) AS removed, string_agg(block, chr(10) ORDER BY pos) FILTER (NOT gone) AS description FROM marked GROUP BY 1),
+changes AS MATERIALIZED (SELECT posting_id, c.description, removed AS removed_blocks, length(t.description) - length(c.description) AS removed_characters
+  FROM cut c JOIN templated t USING (posting_id) WHERE removed > 0 AND c.description IS NOT NULL)"""
+
+
+def _changes(spark, sf_dir):
+    postings = stored_postings(spark, sf_dir)
+    return postings, P.rewrites(postings, P.removable_stored(postings))
+
+
+@query(
+    f"""WITH {_REWRITTEN} SELECT (SELECT count(*) FROM templated) AS postings_read, count(*) AS postings_changed, coalesce(sum(removed_blocks), 0)::BIGINT AS blocks_removed,
+  coalesce(sum(removed_characters), 0)::BIGINT AS characters_removed FROM changes"""
+)
+def backfill_report(spark, sf_dir):
+    return P.backfill_report(*_changes(spark, sf_dir))
+
+
+@query(f"WITH {_REWRITTEN} SELECT posting_id, md5(description) AS digest, removed_blocks, removed_characters FROM changes")
+def backfill_rewrites(spark, sf_dir):
+    """What a backfill would write: each changed posting with its text's digest."""
+    return _changes(spark, sf_dir)[1].select("posting_id", F.md5(F.col("description").cast("binary")).alias("digest"), "removed_blocks", "removed_characters")
+
+
+@query(
+    f"""WITH {_REWRITTEN}, raw AS (SELECT posting_id * 2 AS id, description AS text FROM templated UNION ALL
+  SELECT posting_id * 2 + 1, coalesce(c.description, t.description) FROM templated t LEFT JOIN changes c USING (posting_id)),
+{_FROM_RAW}, terms AS (SELECT id % 2 AS v, trim(regexp_replace(surface_form, '\\s+', ' ', 'g')) AS term FROM proposed)
+SELECT CASE v WHEN 0 THEN 'before' ELSE 'after' END AS version, count(term) AS observations, count(DISTINCT term) AS distinct_terms, any_value(characters)::BIGINT AS characters
+FROM (SELECT id % 2 AS v, sum(length(text)) AS characters FROM raw GROUP BY 1) LEFT JOIN terms USING (v) GROUP BY v"""
+)
+def boilerplate_measured(spark, sf_dir):
+    return P.measured(*_changes(spark, sf_dir), X.propose_candidates)
+
+
+@query(
+    f"""{B.with_tables("jobs", "job_provenance", "job_sources")}, corpus AS (SELECT j.id, c_name AS employer, published_at, title || ' ' || j.id AS description FROM jobs j JOIN customer ON c_custkey = company_id),
+records AS (SELECT job_id, key AS source_key, job_id AS source_job_id, CASE WHEN source_id % 5 = 0 THEN 'board' || job_id % 7 END AS board FROM job_provenance JOIN job_sources USING (source_id)),
+parts AS (SELECT md5(description) AS h FROM corpus UNION ALL SELECT md5(source_key || ':' || source_job_id) FROM records),
+digest AS (SELECT sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT) AS d FROM parts)
+SELECT 'source' AS kind, source_key AS name, count(*)::VARCHAR AS value FROM records GROUP BY 2
+UNION ALL SELECT 'board', board, count(*)::VARCHAR FROM records WHERE board IS NOT NULL GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'employer', employer, count(*)::VARCHAR FROM corpus GROUP BY 2 ORDER BY count(*) DESC, employer LIMIT 30)
+UNION ALL SELECT 'total', unnest(['jobs', 'employers', 'jobs_with_two_sources', 'without_a_date', 'earliest', 'latest', 'digest']), unnest([count(*)::VARCHAR, count(DISTINCT employer)::VARCHAR,
+  (SELECT count(*) FROM (SELECT job_id FROM records GROUP BY 1 HAVING count(DISTINCT source_key) > 1))::VARCHAR, count(*) FILTER (published_at IS NULL)::VARCHAR,
+  min(published_at)::TIMESTAMP::VARCHAR, max(published_at)::TIMESTAMP::VARCHAR, (SELECT d FROM digest)::VARCHAR]) FROM corpus"""
+)
+def corpus_manifest_full(spark, sf_dir):
+    """The whole manifest of the catalogue; every fifth source has boards."""
+    companies = B.companies(spark, sf_dir).select(F.col("id").alias("company_id"), F.col("display_name").alias("employer"))
+    jobs = B.jobs(spark, sf_dir).join(companies, "company_id")
+    corpus = jobs.select("id", "employer", "published_at", F.concat_ws(" ", "title", F.col("id").cast("string")).alias("description"))
+    sources = B.job_sources(spark, sf_dir).select("source_id", F.col("key").alias("source_key"))
+    board = F.when(F.col("source_id") % 5 == 0, F.concat(F.lit("board"), F.col("job_id") % 7))
+    records = B.job_provenance(spark, sf_dir).join(sources, "source_id").select("job_id", "source_key", F.col("job_id").alias("source_job_id"), board.alias("board"))
+    return S.full_manifest(corpus, records)
+
+
+_NEW_PARTS = "SELECT p_partkey, CASE WHEN p_partkey % 97 = 3 THEN upper(p_name) ELSE p_name END AS p_name FROM part WHERE p_partkey % 89 <> 5 UNION ALL SELECT 10000000 + n_nationkey, n_name FROM nation"
+
+
+@query(
+    f"""SELECT p_partkey, CASE WHEN a.p_name IS NULL THEN 'missing' WHEN b.p_name IS NULL THEN 'unexpected' ELSE 'changed' END AS difference
+FROM part a FULL JOIN ({_NEW_PARTS}) b USING (p_partkey) WHERE a.p_name IS DISTINCT FROM b.p_name"""
+)
+def publication_differences(spark, sf_dir):
+    """How a new table of parts differs from the published one, by key."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    name = F.when(F.col("p_partkey") % 97 == 3, F.upper("p_name")).otherwise(F.col("p_name"))
+    more = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 10_000_000).cast("long").alias("p_partkey"), F.col("n_name").alias("p_name"))
+    new = part.where("p_partkey % 89 <> 5").withColumn("p_name", name).unionByName(more)
+    return versions.differences(part, new, ["p_partkey"])
+
+
+_STEPS = "(['processing', 'processed', 'failed', 'pending', 'processing'])[event_id % 5 + 1]"
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS cv_id, {_STEPS} AS wanted, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+walk AS (SELECT DISTINCT cv_id, 0::BIGINT AS k, 'pending'::VARCHAR AS state, 0::BIGINT AS rejects FROM e
+  UNION ALL
+  SELECT e.cv_id, e.k, CASE WHEN ok THEN wanted ELSE state END, rejects + CASE WHEN ok THEN 0 ELSE 1 END
+  FROM (SELECT e.*, w.state, w.rejects, (state, wanted) IN (('pending', 'processing'), ('processing', 'processed'), ('processing', 'failed'), ('failed', 'processing')) AS ok
+    FROM walk w JOIN e ON e.cv_id = w.cv_id AND e.k = w.k + 1) e)
+SELECT cv_id, arg_max(state, k) AS state, max(rejects) AS rejects FROM walk GROUP BY cv_id"""
+)
+def cv_states(spark, sf_dir):
+    """The last legal state of every CV and the steps refused."""
+    steps = F.array(*map(F.lit, ("processing", "processed", "failed", "pending", "processing")))
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("cv_id"), F.col("ts").alias("at"), "event_id", F.get(steps, (F.col("event_id") % 5).cast("int")).alias("state")
+    )
+    return V.states_after(V.steps_taken(events))
+
+
+@query(
+    f"""{B.with_tables("candidate_skills")}, stored AS (SELECT *, CASE WHEN length(concept) % 2 = 0 THEN 'cv' ELSE 'manual' END AS source FROM candidate_skills WHERE candidate_id % 3 <> 1),
+fresh AS (SELECT DISTINCT c.candidate_id + 1 AS candidate_id, concept FROM candidate_skills c WHERE (c.candidate_id + 1) % 2 = 0)
+SELECT * FROM stored WHERE source = 'manual' OR candidate_id % 2 <> 0
+UNION ALL SELECT *, 'cv' FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.source = 'manual' AND s.candidate_id = f.candidate_id AND s.concept = f.concept)"""
+)
+def cv_skills_replaced(spark, sf_dir):
+    """Every second candidate's CV read again, with the skills of the candidate before."""
+    skills = B.candidate_skills(spark, sf_dir)
+    stored = skills.where("candidate_id % 3 <> 1").withColumn("source", F.when(F.length("concept") % 2 == 0, "cv").otherwise("manual"))
+    new = skills.withColumn("candidate_id", F.col("candidate_id") + 1)
+    read = new.where("candidate_id % 2 = 0").select("candidate_id").unionByName(stored.where("candidate_id % 2 = 0").select("candidate_id"))
+    return V.replaced_skills(stored, new, read)
