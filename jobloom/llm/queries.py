@@ -104,7 +104,7 @@ def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
-    return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_units", "n_words", "kept_in")
+    return found.select("level", F.col("doc").alias("doc_id"), "start", "end", "n_units", "n_words", "kept_in")
 
 
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """Substring deduplication by hashing text units and keeping each unit's earliest occurrence.
 
-Units are whole lines, or at the default level every window of ``size`` words, so that a passage pasted anywhere
-shares units whatever marks, lines or words surround it, and is covered to its first and last word. Units are hashed,
-grouped over the whole corpus, and each digest's earliest ranked occurrence stays. Runs of neighbouring later
-occurrences are removed; their offsets refer to the original text.
+Units are lines, and paragraphs of several lines, normalised in case and spacing. Their digests are grouped over the whole
+corpus, each digest's earliest ranked occurrence stays, and the rest go, with offsets in the original text.
 
-There are as many windows as words. Each has an anchor, the least hash of its ``ANCHOR_WORDS``-word shingles, which
+A passage that begins inside a line is no such unit. As an addition, marked by the level ``window``, every window of
+``size`` words is a unit, so that a passage pasted anywhere shares units whatever marks, lines or words surround it, and
+is covered to its first and last word. There are as many windows as words. Each has an anchor, the least hash of its ``ANCHOR_WORDS``-word shingles, which
 a block of neighbouring windows shares. A window can only recur where its anchor does. So blocks are grouped first, by
 anchor and by a digest of all their words: where a block recurs, all its windows do. Single windows are hashed only in
 the first places of blocks that share their anchor with other blocks. This drops no window that recurs.
@@ -13,19 +13,21 @@ the first places of blocks that share their anchor with other blocks. This drops
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.llm.text import WordHash, map_rows, packed, scramble, shingle_hashes, unpacked
 from jobloom.session import discard, settle
 
-LINE = re.compile(r"[^\n]+")
+LINE, PARAGRAPH = re.compile(r"[^\n]+"), re.compile(r"[^\n]+(?:\n[^\S\n]*[^\s][^\n]*)+")
+LEVELS = ("line", "paragraph", "window")
 ANCHOR_WORDS = 8
 _BLANK = np.array([chr(c).isspace() for c in range(0x3001)])
 
@@ -74,40 +76,36 @@ def windows(text: str, words: WordHash, size: int, wanted: np.ndarray | None = N
     return nth, starts[nth], ends[nth + size - 1], least[nth].view(np.int64), digest.view(np.int64)
 
 
-def units(text: str, level: str, size: int = 25) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of the units: lines, or at the level ``clause`` all windows of ``size`` words."""
-    if level == "clause":
-        _, start, end, anchor, digest = windows(text, _Words(), size)
-        keys = np.stack([anchor, digest], 1).astype(np.int64)
-        return [(s, e, size, k.tobytes()) for s, e, k in zip(start.tolist(), end.tolist(), keys)]
-    found = []
-    for m in LINE.finditer(text):
-        raw = m.group()
-        words = raw.lower().split()
-        if words:
-            start = m.start() + len(raw) - len(raw.lstrip())
-            found.append((start, m.start() + len(raw.rstrip()), len(words), " ".join(words)))
-    return [(s, e, n, hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()) for s, e, n, key in found]
+def units(text: str, least: int = 1) -> Iterator[tuple[str, int, int, int, bytes]]:
+    """(level, start, end, words, digest) of the lines, and of the paragraphs of several lines, with ``least`` words or more.
+
+    Blank lines part paragraphs. A unit begins and ends with a word; its digest is that of its words, lower-cased.
+    """
+    for level, shape in (("line", LINE), ("paragraph", PARAGRAPH)):
+        for m in shape.finditer(text):
+            raw = m.group()
+            words = raw.lower().split()
+            if len(words) >= max(least, 1):
+                start = m.start() + len(raw) - len(raw.lstrip())
+                yield level, start, m.start() + len(raw.rstrip()), len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
 
-_UNIT = [("doc", pa.int64()), ("th", pa.int64()), ("nth", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("words", pa.int32())]
-
-
-def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, nth, s, e, words, k0, k1), one row per line; k0 and k1 are its digest."""
+def unit_rows(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, level, s, e, words, k0, k1), one row a line or paragraph; k0 and k1 are its digest."""
 
     def run(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
-            for nth, (s, e, n, digest) in enumerate(units(row["text"] or "", "line")):
+            for level, s, e, n, digest in units(row["text"] or "", least):
                 k0, k1 = np.frombuffer(digest, np.int64).tolist()
-                yield {"doc": row["doc"], "th": row["th"], "nth": nth, "s": s, "e": e, "words": n, "k0": k0, "k1": k1}
+                yield {"doc": row["doc"], "th": row["th"], "level": level, "s": s, "e": e, "words": n, "k0": k0, "k1": k1}
 
-    arrow = pa.schema([*_UNIT, ("k0", pa.int64()), ("k1", pa.int64())])
-    schema = "doc long, th long, nth int, s int, e int, words int, k0 long, k1 long"
+    ints = [("s", pa.int32()), ("e", pa.int32()), ("words", pa.int32())]
+    arrow = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("level", pa.string()), *ints, ("k0", pa.int64()), ("k1", pa.int64())])
+    schema = "doc long, th long, level string, s int, e int, words int, k0 long, k1 long"
     return map_rows(_texts(docs, id_col, text_col), run, schema, arrow, 20_000)
 
 
@@ -210,14 +208,15 @@ def _repeated_windows(docs: DataFrame, size: int, id_col: str, text_col: str) ->
     A row stands for the windows ``nth`` to ``last``, ``words`` in number; ``d0`` is the smallest id that keeps one.
     """
     blocks = settle(window_blocks(docs, size, id_col, text_col))
-    shared = (
+    shared = settle(
         blocks.groupBy("anchor")
         .agg(F.count("*").alias("places"), F.min("digest").alias("low"), F.max("digest").alias("high"))
         .where("places > 1")
         .select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
     )
+    # Both sides are dealt for the join alone, so Spark can split a hot anchor's blocks.
     held = settle(blocks.join(shared, "anchor"))
-    discard(blocks)
+    discard(blocks, shared)
     firsts = held.groupBy("anchor", "digest").agg(
         F.min(_rank()).alias("first"), F.max(_rank()).alias("final"), F.min("n").alias("n"), F.min("mixed").alias("mixed")
     )
@@ -246,74 +245,102 @@ def _repeated_windows(docs: DataFrame, size: int, id_col: str, text_col: str) ->
     return found, [held, later]
 
 
-def _repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, nth, last, s, e, words, d0) of all lines that an earlier place holds."""
-    found = line_rows(docs, id_col, text_col)
-    firsts = found.groupBy("k0", "k1").agg(F.min(_rank()).alias("first"), F.max(_rank()).alias("final"))
-    again = found.join(firsts.where(F.col("first") != F.col("final")), ["k0", "k1"]).where(_rank() != F.col("first"))
-    return again.select(*_RANK, F.col("nth").alias("last"), "s", "e", "words", F.col("first.doc").alias("d0"))
-
-
-def repeated_spans(
-    docs: DataFrame,
-    level: str = "clause",
-    min_words: int = 25,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """(doc, th, start, end, n_units, n_words, kept_in) of every span to remove.
-
-    A unit is repeated unless it is the earliest occurrence of its digest by id and place in the text. Neighbouring repeated
-    units form a span if they have ``min_words`` words together. Units are lines, or at the level ``clause`` windows
-    of ``min_words`` words: so each place where ``min_words`` words or more follow each other as at an earlier place,
-    in whatever case and spacing, is covered whole. ``n_words`` counts each word once. Offsets are code points of the
-    original text, end exclusive. ``kept_in`` is the smallest id that keeps one of the span's units.
+def repeated_units(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(level, doc, th, start, end, n_units, n_words, kept_in) of every line and paragraph of ``min_words`` words or more that
+    isn't the earliest with its digest. A line and a paragraph are no copies of each other.
 
-    Defined cases: null and empty texts have no units; a null id ranks after every id; texts of one id rank
-    by their hash; rows with one id and text are one document, and each loses the same spans; windows overlap, so a text that repeats itself keeps the start
-    of its first round; an empty table gives an empty result.
+    Defined cases are those of ``repeated_spans``.
     """
-    if level == "line":
-        again, read, beyond = _repeated_lines(docs, id_col, text_col), [], 0
-    else:
-        again, read = _repeated_windows(docs, min_words, id_col, text_col)
-        beyond = min_words - 1  # the last window's words after its first
+    found = settle(unit_rows(docs, min_words, id_col, text_col))
+    rank = lambda: F.struct(F.col("doc").isNull().alias("late"), "doc", "th", "s")
+    keys = ["level", "k0", "k1"]
+    firsts = settle(found.groupBy(*keys).agg(F.min(rank()).alias("first"), F.max(rank()).alias("final")).where("first <> final"))
+    again = found.join(firsts, keys).where(rank() != F.col("first"))
+    # Equal rows of one document repeat its units alike.
+    once = again.groupBy("level", "doc", "th", "s", "e").agg(F.max("words").alias("words"), F.min("first.doc").alias("d0"))
+    out = settle(once.select(
+        "level", "doc", "th", F.col("s").alias("start"), F.col("e").alias("end"), F.lit(1).cast("long").alias("n_units"),
+        F.col("words").cast("long").alias("n_words"), F.col("d0").alias("kept_in"),
+    ))
+    discard(found, firsts)
+    return out
+
+
+def repeated_windows(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(level, doc, th, start, end, n_units, n_words, kept_in) of every place where ``min_words`` words or more follow each other
+    as at an earlier place, in whatever case and spacing, covered whole; ``n_words`` counts each word once.
+
+    Defined cases are those of ``repeated_spans``.
+    """
+    again, read = _repeated_windows(docs, min_words, id_col, text_col)
+    # Equal rows of one document repeat all its units alike, so they go on as one.
+    each = again.groupBy("doc", "th", "nth").agg(
+        F.max("last").alias("last"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("words").alias("words"), F.min("d0").alias("d0")
+    )
     inside = Window.partitionBy("doc", "th").orderBy("nth")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    # Equal rows of one document repeat all its units alike: their words count once.
-    once = F.when(F.lag("nth").over(inside).eqNullSafe(F.col("nth")), 0).otherwise(F.col("words"))
     opens = F.col("nth") > F.coalesce(F.lag("last").over(inside), F.lit(-2)) + 1
     spans = (
-        again.select("*", once.alias("once"), opens.cast("int").alias("opens"))
-        .withColumn("run", F.sum("opens").over(so_far))
+        each.withColumn("opens", opens.cast("int"))
+        .withColumn("run", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("doc", "th", "run")
         .agg(
             F.min("s").alias("start"),
             F.max("e").alias("end"),
             (F.max("last") - F.min("nth") + 1).cast("long").alias("n_units"),
-            (F.sum("once") + beyond).cast("long").alias("n_words"),
+            (F.sum("words") + min_words - 1).cast("long").alias("n_words"),  # the last window has words after its first
             F.min("d0").alias("kept_in"),
         )
-        .where(F.col("n_words") >= min_words)
-        .drop("run")
+        .select(F.lit("window").alias("level"), "doc", "th", "start", "end", "n_units", "n_words", "kept_in")
     )
-    if not read:
-        return spans
     spans = settle(spans)
     discard(*read)
     return spans
 
 
+def repeated_spans(
+    docs: DataFrame,
+    levels: tuple[str, ...] = LEVELS,
+    min_words: int = 25,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(level, doc, th, start, end, n_units, n_words, kept_in) of every span to remove, at each of ``levels``.
+
+    A unit is repeated unless it is the earliest occurrence of its digest by id and place in the text. At the levels
+    ``line`` and ``paragraph`` each repeated unit of ``min_words`` words or more is a span; at the level ``window`` runs of
+    repeated windows are. Spans of different levels overlap; ``remove_spans`` takes their union. Offsets are code points of
+    the original text, end exclusive. ``kept_in`` is the smallest id that keeps one of the span's units.
+
+    Defined cases: null and empty texts have no units; a null id ranks after every id; texts of one id rank
+    by their hash; rows with one id and text are one document, and each loses the same spans; windows overlap, so a text that
+    repeats itself keeps the start of its first round; an empty table gives an empty result.
+    """
+    parts = []
+    if set(levels) & {"line", "paragraph"}:
+        parts.append(repeated_units(docs, min_words, id_col, text_col).where(F.col("level").isin(*levels)))
+    if "window" in levels:
+        parts.append(repeated_windows(docs, min_words, id_col, text_col))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans cut out of their texts."""
+    """``docs`` with the spans cut out of their texts; spans may overlap.
+
+    Defined cases: a null text stays null, a row without spans as it is; a null id matches spans of null ids with that text.
+    """
     cuts = spans.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cuts")
     )
     rows = packed(docs, _id=F.col(id_col).cast("long"), _text=F.col(text_col), _at=F.xxhash64(text_col))
     joined = rows.join(cuts, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_th")), "left")
     text = F.col("_text")
-    from_ = lambda i: F.coalesce(F.get("_cuts", i - 1)["end"], F.lit(0))
-    parts = F.transform("_cuts", lambda c, i: F.substr(text, from_(i) + 1, F.greatest(c["start"] - from_(i), F.lit(0))))
-    tail = F.substr(text, F.element_at("_cuts", -1)["end"] + 1)
-    cut = F.concat(F.array_join(parts, ""), tail)
+    # What stays before each cut: from the furthest end of the cuts before it.
+    kept = F.aggregate(
+        "_cuts",
+        F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
+        lambda s, c: F.struct(
+            F.concat(s["text"], F.substr(text, s["at"] + 1, F.greatest(c["start"] - s["at"], F.lit(0)))).alias("text"), F.greatest(s["at"], c["end"]).alias("at")
+        ),
+    )
+    cut = F.concat(kept["text"], F.substr(text, kept["at"] + 1))
     return unpacked(joined, docs.columns, **{text_col: F.when(F.col("_cuts").isNull(), text).otherwise(cut)})

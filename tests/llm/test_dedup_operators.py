@@ -329,26 +329,58 @@ def test_archive_chain_ignores_what_no_record_points_to(spark):
 
 
 def plain_spans(rows, least=25):
-    seen, out = {}, []
-    for d, t in sorted(r for r in rows if r[1]):
-        for s, e, n, digest in substring_dedup.units(t, "clause"):
-            seen.setdefault(digest, (d, s))
-    for d, t in sorted(r for r in rows if r[1]):
+    """(level, doc, start, end, words, kept_in) by brute force: lines, paragraphs, and runs of windows of ``least`` words."""
+    rows, out = sorted(r for r in rows if r[1]), []
+    shapes = {"line": r"[^\n]+", "paragraph": r"(?:[^\n]*\S[^\n]*(?:\n|\Z)){2,}"}
+    for level, shape in shapes.items():
+        first = {}
+        for d, t in rows:
+            for m in re.finditer(shape, t):
+                words = m.group().lower().split()
+                if len(words) >= least:
+                    s = m.start() + len(m.group()) - len(m.group().lstrip())
+                    keeper = first.setdefault(tuple(words), d)
+                    if first.get((tuple(words), "at"), (d, s)) != (d, s):
+                        out.append((level, d, s, m.start() + len(m.group().rstrip()), len(words), keeper))
+                    first.setdefault((tuple(words), "at"), (d, s))
+    seen = {}
+    for d, t in rows:
+        at = [(m.start(), m.end()) for m in re.finditer(r"\S+", t)]
+        words = [t[s:e].lower() for s, e in at]
         run = []
-        for u in [*substring_dedup.units(t, "clause"), None]:
-            if u and seen[u[3]] != (d, u[0]):
-                run.append(u)
+        for k in range(len(words) - least + 2):
+            window = tuple(words[k : k + least])
+            if len(window) == least and seen.setdefault(window, (d, k)) != (d, k):
+                run.append((k, seen[window][0]))
                 continue
-            if run and sum(x[2] for x in run) >= least:
-                out.append((d, run[0][0], run[-1][1]))
+            if run:
+                out.append(("window", d, at[run[0][0]][0], at[run[-1][0] + least - 1][1], len(run) + least - 1, min(x for _, x in run)))
             run = []
-    return out
+    return sorted(out)
 
 
 def test_substring_spans_equal_plain_python(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
-    got = sorted((r["doc_id"], r["start"], r["end"]) for r in queries.op10_substring_dedup(spark, sf_dir).collect())
-    assert got == sorted(plain_spans(rows)) and got
+    got = queries.op10_substring_dedup(spark, sf_dir).collect()
+    assert sorted((r["level"], r["doc_id"], r["start"], r["end"], r["n_words"], r["kept_in"]) for r in got) == plain_spans(rows)
+    assert {r["level"] for r in got} >= {"line", "window"} and all(r["n_units"] == 1 for r in got if r["level"] != "window")
+
+
+def test_lines_and_paragraphs_keep_their_earliest_place(spark):
+    line = lambda k, n=26: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [
+        (3, f"{line(0)}\n\n  {line(1)}\n{line(2, 9)}\n \nend"), (4, f"intro\n{line(0).upper()} \n\n{line(1)}\n\t{line(2, 9)}"), (5, f"{line(2, 9)}\n{line(1)}\n\n{line(0)}"),
+        (5, f"{line(2, 9)}\n{line(1)}\n\n{line(0)}"), (None, line(0)), (None, line(0)), (None, None), (6, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_dedup.repeated_spans(docs, ("line", "paragraph")).collect()
+    assert sorted(((r["level"], r["doc"], r["n_words"], r["kept_in"]) for r in got), key=str) == sorted(
+        [("line", 4, 26, 3), ("line", 4, 26, 3), ("line", 5, 26, 3), ("line", 5, 26, 3), ("line", None, 26, 3), ("paragraph", 4, 35, 3)], key=str
+    )
+    only = substring_dedup.repeated_spans(docs, ("paragraph",)).collect()
+    assert [(r["doc"], rows[1][1][r["start"] : r["end"]]) for r in only] == [(4, f"{line(1)}\n\t{line(2, 9)}")]
+    left = {(r["doc_id"], r["text"]) for r in substring_dedup.remove_spans(docs, substring_dedup.repeated_spans(docs)).collect()}
+    assert left == {(3, rows[0][1]), (4, "intro\n"), (5, f"{line(2, 9)}\n\n\n"), (None, ""), (None, None), (6, "")}
 
 
 def test_one_row_of_each_group_stays_where_ids_recur_or_are_null(spark):
@@ -399,7 +431,7 @@ def test_substring_finds_whole_passages_wherever_they_stand(spark):
             if len(passage) >= 25 and (again or k in (2, 3)):
                 want[10 * k + again] = set(range(start, len(text[0]) - len(" ".join(tail)) - 1))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = substring_dedup.repeated_spans(docs).withColumnRenamed("doc", "doc_id")
+    got = substring_dedup.repeated_spans(docs, ("window",)).withColumnRenamed("doc", "doc_id")
     assert spanned(got) == want
     assert {r["doc_id"]: r["n_words"] for r in got.collect()} == {1: 150, 11: 60, 20: 50, 21: 50, 30: 25, 31: 25}
 
@@ -412,8 +444,8 @@ def test_substring_covers_all_windows_that_recur(spark, sf_dir):
 def test_substring_counts_words_of_equal_rows_once(spark):
     passage = " ".join(f"word{k}" for k in range(30))
     docs = spark.createDataFrame([(1, passage), (2, passage), (2, passage)], "doc_id long, text string")
-    for level in ("clause", "line"):
-        assert [(r["doc"], r["n_words"]) for r in substring_dedup.repeated_spans(docs, level).collect()] == [(2, 30)]
+    for level in ("window", "line"):
+        assert [(r["doc"], r["n_words"]) for r in substring_dedup.repeated_spans(docs, (level,)).collect()] == [(2, 30)]
 
 
 def test_substring_cuts_keep_the_rest(spark):
