@@ -161,3 +161,34 @@ def after_polls(polls: DataFrame, boards: DataFrame) -> DataFrame:
     woke = (F.col("successes") > 0) & ((F.col("status") == "inactive") | F.coalesce(F.col("first") < F.col("successes"), F.lit(False)))
     status = F.when(F.col("last") == F.col("successes"), "inactive").when(woke, earned(F.col("kind"), F.col("company_id"), F.col("pinned"))).otherwise(F.col("status"))
     return per.select("slug", "polls", F.col("failures").cast("long").alias("failures"), status.alias("status"))
+
+
+# What an operator decides about a board, as (status, pinned, evidence, failures start anew); None stays.
+DECISIONS = {"pin": ("confirmed", True, "operator", True), "block": ("blocked", False, "operator", False), "unblock": ("candidate", None, None, False)}
+
+
+def decided(boards: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``boards`` (slug, status, company_id, kind, pinned, failures) after an operator's ``decisions`` (slug, at, decision).
+
+    Pinning confirms a board over whatever discovery decided and clears its failures; blocking refuses it and takes a pin
+    away; both make the row if there is none. Unblocking lets discovery decide again, and does nothing without a row. Of
+    several decisions on a slug each field has the last one that sets it. Unknown decisions are ignored.
+    """
+    known = decisions.where(F.col("decision").isin(*DECISIONS)).select("slug", "at", "decision")
+    makes = F.min(F.when(F.col("decision") != "unblock", F.col("at")))
+    begun = known.groupBy(F.col("slug").alias("_slug")).agg(makes.alias("made"))
+    old = boards.select("slug", *[F.col(c).alias(f"old_{c}") for c in ("status", "company_id", "kind", "pinned", "failures")])
+    met = known.join(begun, F.col("slug") == F.col("_slug")).join(old, "slug", "left")
+    # Before a row is made, there is nothing to unblock.
+    met = met.where(F.col("old_status").isNotNull() | (F.col("at") >= F.col("made")))
+    pick = lambda n: F.create_map(*[F.lit(x) for k, v in DECISIONS.items() for x in (k, v[n])])[F.col("decision")]
+    last = lambda v: F.max_by(v, F.when(v.isNotNull(), F.col("at")))
+    after = met.groupBy("slug").agg(
+        last(pick(0)).alias("status"), last(pick(1)).alias("pinned"), last(pick(2)).alias("kind"), F.max(pick(3)).alias("anew"), F.first("old_company_id").alias("company_id"),
+        F.first("old_kind").alias("old_kind"), F.first("old_pinned").alias("old_pinned"), F.first("old_failures").alias("old_failures"),
+    )
+    rows = after.select(
+        "slug", "status", "company_id", F.coalesce("kind", "old_kind").alias("kind"), F.coalesce("pinned", "old_pinned", F.lit(False)).alias("pinned"),
+        F.when(F.col("anew"), 0).otherwise(F.coalesce("old_failures", F.lit(0))).alias("failures"),
+    )
+    return boards.select(*rows.columns).join(rows.select("slug"), "slug", "left_anti").unionByName(rows)

@@ -121,3 +121,24 @@ def board_poll_standing(spark, sf_dir):
         ((F.col("event_type") == "error") | (F.col("event_id") % 3 == 0)).alias("failed"),
     )
     return R.after_polls(polls, _boards(spark, sf_dir))
+
+
+_DECIDED = "(['pin', 'block', 'unblock', 'other'])[event_id % 4 + 1]"
+
+
+@query(
+    f"""WITH RECURSIVE {_BOARDS}, queue AS MATERIALIZED (SELECT 's' || (user_id % 130) AS slug, {_DECIDED} AS decision, row_number() OVER (PARTITION BY user_id % 130 ORDER BY event_id) AS k FROM events WHERE event_id % 7 = 0),
+steps AS (SELECT slug, 0::BIGINT AS k, status, company_id, kind, pinned, failures FROM (SELECT slug FROM boards UNION SELECT slug FROM queue) LEFT JOIN boards USING (slug)
+  UNION ALL
+  SELECT s.slug, q.k, CASE decision WHEN 'pin' THEN 'confirmed' WHEN 'block' THEN 'blocked' WHEN 'unblock' THEN CASE WHEN s.status IS NOT NULL THEN 'candidate' END ELSE s.status END,
+    s.company_id, CASE WHEN decision IN ('pin', 'block') THEN 'operator' ELSE s.kind END, CASE decision WHEN 'pin' THEN true WHEN 'block' THEN false ELSE s.pinned END,
+    CASE WHEN decision = 'pin' THEN 0 WHEN decision = 'block' THEN coalesce(s.failures, 0) ELSE s.failures END
+  FROM steps s JOIN queue q ON q.slug = s.slug AND q.k = s.k + 1)
+SELECT slug, status, company_id, kind, pinned, failures::INTEGER AS failures FROM steps WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY slug ORDER BY k DESC) = 1"""
+)
+def board_decisions(spark, sf_dir):
+    """The registry after an operator pinned, blocked and unblocked boards."""
+    names = F.array(*map(F.lit, ("pin", "block", "unblock", "other")))
+    events = table(spark, sf_dir, "events").where("event_id % 7 = 0")
+    decisions = events.select(F.concat(F.lit("s"), F.col("user_id") % 130).alias("slug"), F.col("event_id").alias("at"), F.get(names, (F.col("event_id") % 4).cast("int")).alias("decision"))
+    return R.decided(_boards(spark, sf_dir), decisions)

@@ -123,3 +123,44 @@ ORDER BY NOT starts_with(lower(p_name), 'ring'), lower(p_name), p_partkey LIMIT
 )
 def concept_search(spark, sf_dir):
     return profiles.search_concepts(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")), "RING")
+
+
+_PLACES, _KINDS = ("remote", "nowhere", "onsite", None), ("full-time", "contract", "other")
+
+
+@query(
+    """WITH p AS (SELECT c_custkey AS candidate_id, CASE WHEN c_custkey % 9 <> 0 THEN CASE WHEN c_custkey % 8 = 0 THEN ' ' ELSE c_name END END AS name, CASE WHEN c_nationkey % 5 <> 1 THEN c_mktsegment END AS place,
+  list_filter([(['remote', 'nowhere', 'onsite', NULL])[c_custkey % 4 + 1], 'elsewhere'], lambda x: x IS NOT NULL) AS workplaces, [(['full-time', 'contract', 'other'])[c_custkey % 3 + 1]] AS employments FROM customer)
+SELECT candidate_id FROM p WHERE trim(name) <> '' AND trim(place) <> '' AND list_has_any(workplaces, ['remote', 'hybrid', 'onsite'])
+  AND list_has_any(employments, ['full-time', 'part-time', 'contract', 'internship', 'temporary'])"""
+)
+def profiles_complete(spark, sf_dir):
+    key = F.col("c_custkey")
+    pick = lambda xs, at: F.get(F.array(*map(F.lit, xs)), at.cast("int"))
+    people = table(spark, sf_dir, "customer").select(
+        key.alias("candidate_id"), F.when(key % 9 != 0, F.when(key % 8 == 0, " ").otherwise(F.col("c_name"))).alias("name"), F.when(F.col("c_nationkey") % 5 != 1, F.col("c_mktsegment")).alias("place"),
+        F.array_compact(F.array(pick(_PLACES, key % 4), F.lit("elsewhere"))).alias("workplaces"), F.array(pick(_KINDS, key % 3)).alias("employments"),
+    )
+    return people.where(profiles.complete(*map(F.col, ("name", "place", "workplaces", "employments")))).select("candidate_id")
+
+
+@query(
+    f"""{B.with_tables("candidate_skills")}, terms AS (SELECT p_partkey AS request_id, p_partkey * 3 % 200 AS candidate_id, CASE WHEN p_partkey % 6 = 0 THEN 'zz' ELSE p_name END AS term FROM part),
+forms AS (SELECT p_name AS term, count(DISTINCT p_name) AS n, any_value(p_name) AS concept, bool_or(length(p_name) % 5 = 0) AS twice FROM part GROUP BY 1),
+people AS (SELECT c_custkey AS candidate_id FROM customer WHERE c_custkey % 4 <> 0), stored AS (SELECT * FROM candidate_skills WHERE candidate_id % 2 = 0),
+judged AS (SELECT request_id, t.candidate_id, CASE WHEN p.candidate_id IS NULL THEN 'no_profile' WHEN f.term IS NULL THEN 'unmapped' WHEN twice THEN 'ambiguous' WHEN length(f.concept) % 7 = 0 THEN 'unavailable' END AS refusal, f.concept
+  FROM terms t LEFT JOIN forms f ON f.term = t.term LEFT JOIN people p ON p.candidate_id = t.candidate_id)
+SELECT request_id, candidate_id, CASE WHEN refusal IS NULL THEN concept END AS concept, coalesce(refusal, CASE WHEN EXISTS (SELECT 1 FROM stored s WHERE s.candidate_id = j.candidate_id AND s.concept = j.concept)
+  OR row_number() OVER (PARTITION BY candidate_id, concept, refusal IS NULL ORDER BY request_id) > 1 THEN 'present' ELSE 'added' END) AS outcome FROM judged j"""
+)
+def profile_skills_added(spark, sf_dir):
+    """Terms that candidates add to their profiles, with some unknown, some ambiguous and some whose concept isn't stored."""
+    part = table(spark, sf_dir, "part")
+    number, name = F.col("p_partkey"), F.col("p_name")
+    requests = part.select(number.alias("request_id"), (number * 3 % 200).alias("candidate_id"), F.when(number % 6 == 0, "zz").otherwise(name).alias("term"))
+    twice = F.length(name) % 5 == 0
+    forms = part.select(name.alias("term"), F.when(twice, "AMBIGUOUS").otherwise("RESOLVED").alias("outcome"), F.when(~twice, name).alias("concept")).distinct()
+    concepts = part.where(F.length(name) % 7 != 0).select(name.alias("concept"))
+    people = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("candidate_id"))
+    stored = B.candidate_skills(spark, sf_dir).where("candidate_id % 2 = 0")
+    return profiles.added_skills(stored, requests, forms, concepts, people)[0]
