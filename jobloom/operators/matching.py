@@ -157,3 +157,11 @@ def ndcg(ranking: DataFrame, grades: DataFrame, k: int = 5) -> DataFrame:
         F.max(F.when((F.col("at") == 1) & (F.col("grade") > 0), 1.0).otherwise(0.0)).alias("precision_at_1"),
     )
     return out.withColumn("ndcg", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0))
+
+
+def explanation_summary(top: DataFrame) -> DataFrame:
+    """(explanations_shown, mean_skills, share_naming_a_match) of ranked pairs (matched, required, score): those with a score
+    above 0 are shown. Without any, the mean and the share are 0."""
+    shown = top.where("score > 0")
+    told = shown.agg(F.count("*").alias("explanations_shown"), F.avg("required").alias("m"), F.avg((F.col("matched") > 0).cast("int")).alias("s"))
+    return told.select("explanations_shown", F.coalesce("m", F.lit(0.0)).alias("mean_skills"), F.coalesce("s", F.lit(0.0)).alias("share_naming_a_match"))

@@ -187,3 +187,12 @@ def bootstrap_interval(spark, sf_dir):
     two = measure.span_scores(gold, _spans(spark, sf_dir, *OTHER)).select("posting", F.col("hit").alias("two"))
     out = measure.bootstrap(one.join(two, "posting"), {"found": ("one", "gold"), "other": ("two", "gold")}, [("found", "other")], ROUNDS)
     return out.select("name", *[F.round(c, 9).alias(c) for c in ("estimate", "low", "high")], F.round("design_effect", 6).alias("design_effect"))
+
+
+@query(
+    f"""{_SIDES} SELECT count(*) AS explanations_shown, round(avg(required), 6) AS mean_skills, round(avg((matched > 0)::INT), 6) AS share_naming_a_match
+FROM top WHERE rank <= 5 AND score > 0"""
+)
+def explanation_summary(spark, sf_dir):
+    out = M.explanation_summary(M.coverage_topk(*_sides(spark, sf_dir), 5))
+    return out.select("explanations_shown", *[F.round(c, 6).alias(c) for c in ("mean_skills", "share_naming_a_match")])

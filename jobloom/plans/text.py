@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import plain_text
+from jobloom.functions.sites import careers_site_name, linked_subdomains
+from jobloom.functions.text import normal_text, plain_text
 from jobloom.operators import boilerplate as P
 from jobloom.operators import cvs as V
 from jobloom.operators import extraction as X
@@ -257,3 +258,61 @@ def cv_skills_replaced(spark, sf_dir):
     new = skills.withColumn("candidate_id", F.col("candidate_id") + 1)
     read = new.where("candidate_id % 2 = 0").select("candidate_id").unionByName(stored.where("candidate_id % 2 = 0").select("candidate_id"))
     return V.replaced_skills(stored, new, read)
+
+
+@query(
+    f"""WITH gold AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+')[1:3] AS labels FROM documents WHERE text IS NOT NULL),
+hits AS (SELECT count(*) AS g, count(*) FILTER (list_has_any(list_transform(labels, lambda x: lower(x)), [{", ".join(f"'{f}'" for f, _ in FORMS)}])) AS r FROM gold)
+SELECT g AS gold_mentions, r AS resolved_mentions, round(r / g, 9) AS rate FROM hits"""
+)
+def gold_resolution(spark, sf_dir):
+    """The first three words of every text as the labels of a mention."""
+    labels = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 3)
+    gold = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("mention"), labels.alias("labels"))
+    vocabulary = X.load_vocabulary(spark.createDataFrame(FORMS, "surface_form string, concept string"))
+    return X.gold_resolution(gold, vocabulary).withColumn("rate", F.round("rate", 9))
+
+
+@query(
+    """WITH concepts AS (SELECT p_partkey % 1500 AS concept FROM part), forms AS (SELECT p_partkey AS entry, CASE WHEN p_partkey % 50 = 0 THEN ' - ' ELSE p_name || ' ' || p_partkey % 700 END AS surface_form,
+  CASE WHEN p_partkey % 60 = 1 THEN [] WHEN p_partkey % 45 = 2 THEN [p_partkey, p_partkey] ELSE [p_partkey % 1500, p_partkey % 1500 + 7] END AS concepts FROM part),
+named AS (SELECT *, lower(surface_form) AS form FROM forms)
+SELECT 'concept_repeated' AS problem, concept::VARCHAR AS value FROM concepts GROUP BY concept HAVING count(*) > 1
+UNION ALL SELECT 'form_blank', entry::VARCHAR FROM named WHERE surface_form = ' - '
+UNION ALL SELECT 'form_repeated', form FROM named WHERE surface_form <> ' - ' GROUP BY form HAVING count(*) > 1
+UNION ALL SELECT 'entry_repeats_concept', entry::VARCHAR FROM named WHERE len(concepts) > len(list_distinct(concepts))
+UNION ALL SELECT 'entry_without_concept', entry::VARCHAR FROM named WHERE len(concepts) = 0
+UNION ALL SELECT 'unknown_concept', c::VARCHAR FROM (SELECT DISTINCT unnest(concepts) AS c FROM named) WHERE c NOT IN (SELECT concept FROM concepts)"""
+)
+def alias_problems(spark, sf_dir):
+    """Parts as an alias table with every kind of fault."""
+    part, n = table(spark, sf_dir, "part"), F.col("p_partkey")
+    none = F.array().cast("array<bigint>")
+    ids = F.when(n % 60 == 1, none).when(n % 45 == 2, F.array(n, n)).otherwise(F.array(n % 1500, n % 1500 + 7))
+    surface = F.when(n % 50 == 0, " - ").otherwise(F.concat_ws(" ", "p_name", (n % 700).cast("string")))
+    return X.alias_problems(part.select((n % 1500).alias("concept")), part.select(n.alias("entry"), surface.alias("surface_form"), ids.alias("concepts")))
+
+
+@query(r"""SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages WHERE regexp_matches(html, '<title[^>]*>\s*[^<\s]', 'i')""")
+def site_titles(spark, sf_dir):
+    """The title of every page that has one."""
+    return table(spark, sf_dir, "pages").select("page_id", careers_site_name(F.col("html")).alias("title")).where("title is not null")
+
+
+@query(
+    """WITH links AS (SELECT page_id, regexp_extract_all('<a HREF="' || url || '">' || html, '(?i)(?:href|src)\\s*=\\s*["'']https?://([a-z0-9-]+)\\.example\\.com(?:[/"''?#]|$)', 1) AS found FROM pages WHERE html IS NOT NULL)
+SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(found, lambda x: lower(x)), lambda x: x <> 'www' AND x <> ''))), ' ') AS tenants FROM links WHERE len(found) > 0"""
+)
+def linked_tenants(spark, sf_dir):
+    """The subdomains of one host that a page links to, with a link to the page itself in front."""
+    page = F.concat(F.lit('<a HREF="'), "url", F.lit('">'), "html")
+    found = table(spark, sf_dir, "pages").select("page_id", linked_subdomains(page, "example.com").alias("found")).where(F.size("found") > 0)
+    return found.select("page_id", F.array_join(F.array_sort("found"), " ").alias("tenants"))
+
+
+@query("SELECT lower(trim(source)) AS employer, count(*) AS postings FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def employer_postings(spark, sf_dir):
+    """Stored postings by the employer's normal name, however it is written."""
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    written = F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.concat(F.lit(" "), "source", F.lit("  ")))
+    return docs.groupBy(normal_text(written).alias("employer")).agg(F.count("*").alias("postings"))

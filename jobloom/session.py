@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,8 +29,8 @@ def build_session(app: str = "jobloom", master: str | None = None, **extra: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, a
-    temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``, and without that name raises: its machines share no folder of their own
+    choice. On one machine, as in tests, a temporary folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name the folder that the cluster's machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="jobloom-"))
     return spark.sparkContext.getCheckpointDir()
 
