@@ -14,7 +14,6 @@ the first places of blocks that share their anchor with other blocks. This drops
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 from jobloom.llm.text import WordHash, map_rows, packed, scramble, shingle_hashes, unpacked
 from jobloom.session import discard, settle
 
-LINE, PARAGRAPH = re.compile(r"[^\n]+"), re.compile(r"[^\n]+(?:\n[^\S\n]*[^\s][^\n]*)+")
 LEVELS = ("line", "paragraph", "window")
 ANCHOR_WORDS = 8
 _BLANK = np.array([chr(c).isspace() for c in range(0x3001)])
@@ -81,13 +79,23 @@ def units(text: str, least: int = 1) -> Iterator[tuple[str, int, int, int, bytes
 
     Blank lines part paragraphs. A unit begins and ends with a word; its digest is that of its words, lower-cased.
     """
-    for level, shape in (("line", LINE), ("paragraph", PARAGRAPH)):
-        for m in shape.finditer(text):
-            raw = m.group()
-            words = raw.lower().split()
-            if len(words) >= max(least, 1):
-                start = m.start() + len(raw) - len(raw.lstrip())
-                yield level, start, m.start() + len(raw.rstrip()), len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+    least, at, lines = max(least, 1), 0, []
+
+    def unit(level: str, parts: list) -> Iterator[tuple[str, int, int, int, bytes]]:
+        words = [w for *_, own in parts for w in own]
+        if len(words) >= least:
+            yield level, parts[0][0], parts[-1][1], len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+
+    for raw in [*text.split("\n"), ""]:
+        words = raw.lower().split()
+        if words:
+            lines.append((at + len(raw) - len(raw.lstrip()), at + len(raw.rstrip()), words))
+            yield from unit("line", lines[-1:])
+        else:
+            if len(lines) > 1:
+                yield from unit("paragraph", lines)
+            lines = []
+        at += len(raw) + 1
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
