@@ -153,10 +153,62 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM firsts
 """
 
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+HARD_NEGATIVES = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 3
+"""
+
+
+def centroid_clusters(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """One table of centroids and one of assigned rows for each round."""
+    tables = [
+        f"kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v"
+        f" FROM embeddings WHERE len(embedding) = {dims} AND {_FINITE})",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS j, v"
+        f" FROM (SELECT v, sha256('{seed}:' || vec_id) AS h FROM kept ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        tables.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, k.v, j,"
+            " list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d"
+            f" FROM kept k, c{r} c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, j) = 1)"
+        )
+        tables.append(
+            f"c{r + 1} AS MATERIALIZED (SELECT j, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN ("
+            "SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM ("
+            "SELECT j, i, sum(x)::BIGINT AS s, count(*) AS n"
+            f" FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY j, i) GROUP BY j) m USING (j))"
+        )
+    return (
+        f"WITH {', '.join(tables[:-1])} SELECT vec_id, j AS cluster, d AS distance, sum(d) OVER (PARTITION BY j)::BIGINT AS cluster_inertia,"
+        f" sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (j)"
+    )
+
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": LICENSE_SCAN,
     "op4_source_mix": SOURCE_MIX,
     "op5_minhash_dedup": MINHASH_DEDUP,
     "op6_line_dedup": LINE_DEDUP,
     "op9_warc_roundtrip": WARC_ROUNDTRIP,
+    "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_centroid_clusters": centroid_clusters(),
 }

@@ -19,7 +19,7 @@ from test_dedup_operators import plain_components, plain_lines
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     got = QUERIES[name](spark, sf_dir)
     columns = sorted(got.columns)
