@@ -14,6 +14,8 @@ from pyspark.sql.types import StringType
 # Titles of careers sites, the most specific first; what a title element and a link to a host look like.
 TITLES = [r"^jobs at (.+?)\s*\|.*careers$", r"^careers at (.+)$", r"^(.+?)\s+careers$", r"^(.+?)\s+jobs$"]
 TITLE_ELEMENT = r"(?is)<title[^>]*>(.*?)</title>"
+# Names and endings of hosts that never are public.
+LOCAL_HOST = r"(?:^|\.)localhost$|\.(?:local|internal)$"
 LINK = r"(?i)(?:href|src)\s*=\s*[\"']https?://([a-z0-9-]+)\.{host}(?:[/\"'?#]|$)"
 
 
@@ -55,3 +57,17 @@ def document_text(values: pd.Series) -> pd.Series:
 
 def email_key(address: Column) -> Column:
     return F.lower(F.trim(address))
+
+
+def is_public_url(url: Column) -> Column:
+    """Whether a URL by itself may name a page of the public internet: http or https on its own port, no user info, and a
+    host's name that is neither local nor an address.
+
+    In doubt it is refused: names of digits and dots alone are addresses. What a name resolves to isn't looked up. Null is
+    no such URL.
+    """
+    plain = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+    place = F.regexp_extract(plain, r"(?i)^https?://([^/?#]*)", 1)
+    host = F.lower(F.regexp_replace(F.regexp_replace(place, ":(?:80|443)?$", ""), r"\.$", ""))
+    named = F.rlike(host, F.lit(r"^[^\s:@\[\]%\\]+$")) & ~F.rlike(host, F.lit(r"^[0-9.]+$|^0x[0-9a-f.x]*$")) & ~F.rlike(host, F.lit(LOCAL_HOST))
+    return F.coalesce(named, F.lit(False))

@@ -5,12 +5,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The states of a CV and the steps that are allowed.
 INITIAL = "pending"
 ALLOWED = {("pending", "processing"), ("processing", "processed"), ("processing", "failed"), ("failed", "processing")}
+# What an upload may be.
+MEDIA_TYPE, MAGIC, MOST_BYTES, LONGEST_NAME = "application/pdf", b"%PDF-", 5 * 1024 * 1024, 255
+
+
+def upload_refusal(filename: Column, media_type: Column, size: Column, head: Column, most: int = MOST_BYTES) -> Column:
+    """Why an upload is refused, or null: its name, then its size, its declared type and its first bytes.
+
+    A name has 1 to 255 characters, a stem and the ending pdf in either case, no slash, no control or format character, and
+    no blank at either end. Defined cases: a null name, type or head is refused as that, and a null size as an empty file.
+    """
+    safe = F.length(filename).between(1, LONGEST_NAME) & ~F.rlike(filename, F.lit(r"(?U)[/\\\p{C}]|^\s|\s\z")) & F.rlike(filename, F.lit(r"(?is)\A.+\.pdf\z"))
+    return (
+        F.when(~F.coalesce(safe, F.lit(False)), "invalid_filename")
+        .when(F.coalesce(size, F.lit(0)) < 1, "empty_file")
+        .when(size > most, "file_too_large")
+        .when(~media_type.eqNullSafe(MEDIA_TYPE), "unsupported_media_type")
+        .when(~F.substring(head, 1, len(MAGIC)).eqNullSafe(F.lit(MAGIC)), "unsupported_content")
+    )
+
+
+def superseded(cvs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``cvs`` (owner_id, cv_id, created_at) that a ``kept`` (owner_id, cv_id) of the same owner replaces.
+
+    Older ones by time, then id, go; a newer one always stays, as does the kept one. Defined cases: a kept CV that isn't
+    stored, or is another owner's, replaces nothing; of several kept ones each replaces; null times replace nothing.
+    """
+    marks = kept.select("owner_id", "cv_id").distinct().join(cvs, ["owner_id", "cv_id"])
+    # One mark an owner: whatever is older than some kept row is older than the newest of them.
+    newest = marks.groupBy("owner_id").agg(F.max(F.struct("created_at", "cv_id")).alias("mark"))
+    held = cvs.join(newest, "owner_id").join(kept.select("owner_id", "cv_id").distinct(), ["owner_id", "cv_id"], "left_anti")
+    at, top = F.col("created_at"), F.col("mark.created_at")
+    return held.where((at < top) | ((at == top) & (F.col("cv_id") < F.col("mark.cv_id")))).select(*cvs.columns)
 
 
 def steps_taken(events: DataFrame) -> DataFrame:

@@ -11,12 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from jobloom.functions.text import normal_text
+from jobloom.functions.text import hosts, normal_text
 from jobloom.session import settle
 
 OUTCOMES = ["confirmed", "unverifiable", "wrong_company", "unreachable", "not_found"]
 RECHECK_DAYS = 90
 
+# Hosts that postings name but that are never an employer's own, with all below them.
+PLATFORM_HOSTS = (
+    "greenhouse.io", "polymer.co", "pinpointhq.com", "arbeitnow.com", "lever.co", "ashbyhq.com", "workable.com", "recruitee.com", "personio.de", "smartrecruiters.com",
+    "linkedin.com", "twitter.com", "x.com", "facebook.com", "instagram.com", "youtube.com", "glassdoor.com", "indeed.com", "google.com", "googleapis.com", "gstatic.com",
+    "amazonaws.com", "cloudfront.net", "notion.site", "github.com", "wikipedia.org", "w3.org", "schema.org",
+)
 
 # Legal forms that end a name, and the punctuation that may stand round them.
 LEGAL_SUFFIXES = [
@@ -97,14 +103,60 @@ def top_host(votes: DataFrame, least: int = 2) -> DataFrame:
     return best.where((F.col("n") == 1) & (F.col("votes") >= least)).select("company", "host", "votes")
 
 
-def due_for_website(companies: DataFrame, job_counts: DataFrame, now: datetime, budget: int) -> DataFrame:
-    """Companies without a website that weren't checked for 90 days: most jobs first, then by name, ``budget`` of them."""
+def without_website(companies: DataFrame, now: datetime) -> DataFrame:
+    """Companies without a website that weren't checked for 90 days."""
     cutoff = F.lit(now - timedelta(days=RECHECK_DAYS)).cast("timestamp_ntz")
-    due = companies.where(F.col("website_url").isNull() & (F.col("website_checked_at").isNull() | (F.col("website_checked_at") < cutoff)))
-    counted = due.join(job_counts, "company_id", "left").withColumn("job_count", F.coalesce("job_count", F.lit(0)))
+    return companies.where(F.col("website_url").isNull() & (F.col("website_checked_at").isNull() | (F.col("website_checked_at") < cutoff)))
+
+
+def due_for_website(companies: DataFrame, job_counts: DataFrame, now: datetime, budget: int) -> DataFrame:
+    """Companies whose website is to be looked for: most jobs first, then by name, ``budget`` of them."""
+    counted = without_website(companies, now).join(job_counts, "company_id", "left").withColumn("job_count", F.coalesce("job_count", F.lit(0)))
     return counted.orderBy(F.desc("job_count"), "display_name", "company_id").limit(budget)
 
 
+def resolve_websites(
+    companies: DataFrame, job_counts: DataFrame, payloads: DataFrame, entities: DataFrame, now: datetime, budget: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """(companies after the run, its one-row summary): ``budget`` due companies, each by its postings, else by public entities.
+
+    ``companies`` has (company_id, display_name, website_url, website_source, website_checked_at), ``payloads`` (company_id,
+    payload) the text of stored postings, and ``entities`` (company_id, label, business, website) what a search for a
+    company's name gave. The host that most postings name is the website, if two or more do and no other as many. Of the
+    entities, a business whose label is the company's name and that states a website counts, if it is the only one. Every
+    company looked at is marked as checked then. The summary has seeded (all due), processed, postings, wikidata, unresolved
+    and stopped_at_budget.
+
+    Defined cases: null payloads name nothing; null labels, a null ``business`` and blank websites don't count; repeated
+    entities are several; empty tables give a summary of zeros. Only the looked-at companies' payloads are searched.
+    """
+    due = settle(due_for_website(companies, job_counts, now, budget).select("company_id", "display_name"))
+    ids = due.select("company_id")
+    named = payloads.join(ids, "company_id", "left_semi").select(F.col("company_id").alias("company"), hosts(F.col("payload"), PLATFORM_HOSTS).alias("hosts"))
+    voted = top_host(host_votes(named)).select(F.col("company").alias("company_id"), F.concat(F.lit("https://"), "host", F.lit("/")).alias("by_postings"))
+    stated = entities.where(F.col("business") & (F.trim("website") != "")).join(due, "company_id")
+    alike = stated.where(belongs_to(F.col("label"), F.col("display_name")) & F.col("label").isNotNull())
+    only = alike.groupBy("company_id").agg(F.count("*").alias("n"), F.min("website").alias("by_entity")).where("n = 1").drop("n")
+    found = settle(
+        ids.join(voted, "company_id", "left").join(only, "company_id", "left").select(
+            "company_id", F.coalesce("by_postings", "by_entity").alias("found"),
+            F.when(F.col("by_postings").isNotNull(), "postings").when(F.col("by_entity").isNotNull(), "wikidata").alias("how"), F.lit(True).alias("looked_at"),
+        )
+    )
+    checked = F.when(F.col("looked_at"), F.lit(now).cast("timestamp_ntz")).otherwise(F.col("website_checked_at"))
+    after = companies.join(found, "company_id", "left").select(
+        "company_id", "display_name", F.coalesce("website_url", "found").alias("website_url"), F.coalesce("how", "website_source").alias("website_source"),
+        checked.alias("website_checked_at"),
+    )
+    n, how = F.count_if, F.col("how")
+    seen = found.select(F.lit(True).alias("seen"), "how").unionByName(without_website(companies, now).select(F.lit(False).alias("seen"), F.lit(None).cast("string").alias("how")))
+    tally = seen.agg(
+        n(~F.col("seen")).alias("seeded"), n("seen").alias("processed"), n(how == "postings").alias("postings"), n(how == "wikidata").alias("wikidata"),
+        n(F.col("seen") & how.isNull()).alias("unresolved"),
+    )
+    return after, tally.withColumn("stopped_at_budget", F.col("seeded") > F.col("processed"))
+
+
 def due_for_discovery(companies: DataFrame, boards: DataFrame, now: datetime, days: dict[str, int]) -> DataFrame:
     """Companies to look for again: no board yet, or no settled one and every board past its status's recheck time."""
     age = F.create_map(*[F.lit(x) for kv in days.items() for x in kv])

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FAILURES_TO_INACTIVE = 3
+# What an anonymised job and its accounts still say.
+ANONYMISED_TEXT, ANONYMISED_KEY = "Posting no longer available", "_anonymised_at"
 
 
 def may_reconcile(run: dict, aged: bool = False) -> bool:
@@ -66,6 +68,28 @@ def retention(jobs: DataFrame, provenance: DataFrame, references: DataFrame, now
     return out.select("id", F.when(F.col("ref").isNotNull(), "anonymise").otherwise("purge").alias("action"))
 
 
+def retained(jobs: DataFrame, provenance: DataFrame, actions: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """(jobs, provenance) after the ``actions`` (id, action) of ``retention``: purged jobs and their accounts are gone.
+
+    An anonymised job keeps its id, company, title, dates and status; its description says that it is gone, location and
+    ``application_url`` are emptied, ``anonymised_at`` is set, and its accounts' ``raw_payload`` holds that time only.
+    Defined cases: jobs without an action stay; a table without one of these columns gets none but ``anonymised_at``.
+    """
+    at = F.lit(now).cast("timestamp_ntz")
+    acts = actions.select(F.col("id").alias("_id"), "action").distinct()
+    met = jobs.join(acts, F.col("id") == F.col("_id"), "left").where(F.coalesce(F.col("action") != "purge", F.lit(True)))
+    hidden = F.coalesce(F.col("action") == "anonymise", F.lit(False))
+    if "anonymised_at" not in jobs.columns:
+        met = met.withColumn("anonymised_at", F.lit(None).cast("timestamp_ntz"))
+    says = {"description": F.lit(ANONYMISED_TEXT), "location": F.lit(None), "application_url": F.lit(""), "anonymised_at": at}
+    after = met.withColumns({c: F.when(hidden, v).otherwise(F.col(c)) for c, v in says.items() if c in met.columns})
+    accounts = provenance.join(acts, F.col("job_id") == F.col("_id"), "left").where(F.coalesce(F.col("action") != "purge", F.lit(True)))
+    if "raw_payload" in provenance.columns:
+        mark = F.to_json(F.struct(F.lit(now.isoformat()).alias(ANONYMISED_KEY)))
+        accounts = accounts.withColumn("raw_payload", F.when(hidden, mark).otherwise(F.col("raw_payload")))
+    return after.drop("_id", "action"), accounts.drop("_id", "action")
+
+
 def board_standing(polls: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
     """(board, polls, consecutive_failures, status) from (board, at, poll_id, failed), in order of time.
 

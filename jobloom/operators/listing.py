@@ -96,6 +96,28 @@ def with_sources(jobs: DataFrame, provenance: DataFrame, sources: DataFrame) ->
     return jobs.join(lists, jobs["id"] == lists["job_id"], "left").drop("job_id")
 
 
+# What a reader sees of a job in a list, and once it is open.
+ON_CARD = ("id", "company", "title", "excerpt", "location", "workplace_type", "employment_type", "application_url", "published_at", "sources")
+ON_PAGE = ("id", "company", "title", "description", "location", "workplace_type", "employment_type", "application_url", "published_at", "expires_at", "status", "sources")
+
+
+def shown(jobs: DataFrame, companies: DataFrame, provenance: DataFrame, sources: DataFrame, whole: bool = False) -> DataFrame:
+    """``jobs`` as a reader sees them: the company nested, an excerpt (or the ``whole`` posting), and the sources' attributions.
+
+    ``companies`` has (id, display_name, website_url), ``provenance`` (job_id, source_id, source_url), ``sources`` (source_id,
+    key, display_name). Attributions are structs of key, display_name and url, in that order; neither a provider's own ids
+    nor the times of ingestion are shown. Defined cases: a job of an unknown company has a null one; one without accounts
+    has an empty list; repeated accounts are told once.
+    """
+    firm = companies.select(F.col("id").alias("_firm"), F.struct("id", "display_name", "website_url").alias("company"))
+    told = provenance.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi").join(sources, "source_id")
+    told = told.select(F.col("job_id").alias("_job"), F.struct("key", "display_name", F.col("source_url").alias("url")).alias("told"))
+    lists = told.groupBy("_job").agg(F.array_sort(F.collect_set("told")).alias("_sources"))
+    met = jobs.join(firm, F.col("company_id") == F.col("_firm"), "left").join(lists, F.col("id") == F.col("_job"), "left")
+    met = met.withColumn("sources", F.coalesce("_sources", F.array().cast(lists.schema["_sources"].dataType)))
+    return met.select(*ON_PAGE) if whole else met.withColumn("excerpt", excerpt(F.col("description"))).select(*ON_CARD)
+
+
 def latest_per(df: DataFrame, key: str, *order) -> DataFrame:
     """The first row of each key in ``order``."""
     nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
@@ -104,7 +126,7 @@ def latest_per(df: DataFrame, key: str, *order) -> DataFrame:
 
 def excerpt(text, limit: int = 200):
     """Non-blank lines joined by spaces, cut at the last space within ``limit`` code points and closed by an ellipsis."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     flat = F.array_join(lines, " ")
     head = F.left(flat, F.lit(limit))
     back = F.instr(F.reverse(head), " ")
