@@ -228,6 +228,7 @@ def contaminated(
     benchmark: DataFrame,
     threshold: float = 0.8,
     block_chars: int = 4_000_000,
+    block_items: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -237,7 +238,8 @@ def contaminated(
 
     An item is held if some item-sized window has weighted five-word-shingle similarity ``threshold`` or more with
     it; the best window is given. Weights are inverse item frequencies over all items. Words are runs of word
-    characters of the lower-cased text. ``block_chars`` is about what a task holds of the items' texts at once.
+    characters of the lower-cased text. ``block_chars`` and ``block_items`` are about what a task holds of the items at
+    once: characters of their texts, and their number, as an item's place in the index takes some 7 kB however short it is.
 
     Defined cases: null or empty documents hold nothing; items without words are held by nothing; items of fewer
     than five words are one shingle; repeated rows are matched each for itself; empty tables give empty results.
@@ -246,7 +248,7 @@ def contaminated(
         F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")
     )
     total = items.agg(F.count("*").alias("n"), F.sum(F.char_length("text").cast("long")).alias("chars")).first()
-    n_blocks = -(-(total["chars"] or 0) // block_chars)
+    n_blocks = max(-(-(total["chars"] or 0) // block_chars), -(-total["n"] // block_items))
     items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(n_blocks, 1))))
     shingles = _shingle_rows(items)
     repeated = shingles.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")

@@ -175,8 +175,9 @@ def test_decontamination_finds_planted_items(spark):
     bench = spark.createDataFrame(items + [(90, ""), (91, None)], "item_id long, text string")
     found = decontaminate.contaminated(docs, bench)
     assert {(r["doc"], r["item"]) for r in found.collect()} == {(k, k) for k in range(5)} | {(10, 4)}
-    some = decontaminate.contaminated(docs, bench, block_chars=300)  # several passes find the same
-    assert {tuple(r) for r in some.collect()} == {tuple(r) for r in found.collect()}
+    for bound in ({"block_chars": 300}, {"block_items": 2}):  # several passes find the same
+        some = decontaminate.contaminated(docs, bench, **bound)
+        assert {tuple(r) for r in some.collect()} == {tuple(r) for r in found.collect()}
     assert {r["doc_id"] for r in decontaminate.without_contaminated(docs, bench).collect()} == {11, 12, 13, 14}
 
 
