@@ -87,6 +87,35 @@ def test_secret_base_columns(spark, sf_dir):
         assert set(base) <= set(row["spans"].split(",")) | {""}
 
 
+def test_secret_verdicts_equal_a_plain_count_over_the_whole_table(spark, sf_dir):
+    """Owners and repositories of every value counted one by one; bare tokens looked for without the operator's sweep."""
+    docs = [(r["doc_id"], r["source"], r["text"] or "") for r in table(spark, sf_dir, "documents").collect()]
+    # Values copied within one owner, over several, and held by one alone, as the table may hold none.
+    docs += [(3 * 10**6 + k, f"o{k % 4}", "token = abcdefg") for k in range(4)] + [(4 * 10**6, "o1", "secret: hijklmnop")]
+    docs += [(10**6 + k, "one owner", f"key {'Zx81Kq20Lm73Pw55'}") for k in range(10)] + [(2 * 10**6 + k, f"o{k}", "see Qa12Ws34Ed56Rf78 and Qa12Ws34Ed56Rf78") for k in range(2)]
+    found, owners, repos = {}, {}, {}
+    for doc, owner, text in docs:
+        base = secrets.base_spans(text)
+        bare = [(m.start(), m.end(), 3, "bare", m.group()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text) if all(m.end() <= s or m.start() >= e for s, e, *_ in base)]
+        bare = [b for b in bare if re.search("[0-9]", b[4]) and re.search("[A-Za-z]", b[4]) and len(set(b[4])) >= 8]
+        found[doc] = sorted(base + bare, key=lambda x: (x[0], x[2], x[1]))
+        for *_, value in found[doc]:
+            owners.setdefault(value, set()).add(owner)
+            repos.setdefault(value, set()).add(doc)
+    rows = secrets.scan(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()
+    assert len(rows) == len(docs)
+    verdicts = set()
+    for r in rows:
+        live = [len(owners[v]) < 3 and len(repos[v]) < 10 for *_, v in found[r["doc"]]]
+        kept = [x for x, is_live in zip(found[r["doc"]], live) if x[3] != "bare" or is_live]
+        alive = [len(owners[x[4]]) < 3 and len(repos[x[4]]) < 10 for x in kept]
+        assert r["spans"] == ",".join(f"{kind}:{s}:{e}" for s, e, _, kind, _ in kept)
+        assert r["n_repos"] == ",".join(str(len(repos[x[4]])) for x in kept) and r["n_owners"] == ",".join(str(len(owners[x[4]])) for x in kept)
+        assert (r["n_live"], r["n_example"]) == (sum(alive), len(kept) - sum(alive))
+        verdicts |= {(x[3], a) for x, a in zip(kept, alive)}
+    assert ("bare", True) in verdicts and len({a for _, a in verdicts}) == 2
+
+
 def test_secret_ownership_tells_examples_from_live_values(spark):
     copied, own = "Zx81Kq20Lm73Pw55", "Qa12Ws34Ed56Rf78"
     rows = [(k, f"see {copied} here", f"owner{k}") for k in range(4)] + [(9, f"my {own} and {own}", "owner9"), (10, None, None)]
