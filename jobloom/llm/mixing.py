@@ -78,7 +78,8 @@ def mix_plan(
 
     ``epochs`` whole passes over the source take every document, ``last`` words of this document belong to the
     final, partial pass; ``taken`` = epochs * size + last, never above ``max_epochs`` * size. Budgets are the whole
-    words of each target. Keys are ``md5`` of seed and id, so reruns agree.
+    words of each target. Keys are ``md5`` of seed and id, or of the text where the id is
+    null, so reruns agree.
 
     Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, last
     in order; rows with the same id and text are cut one after the other; empty tables give empty results.
@@ -94,6 +95,8 @@ def mix_plan(
 
 def _placed(docs: DataFrame, weights, max_epochs, seed, id_col, text_col, source_col) -> DataFrame:
     """Every row with the words before it in its source's order, the source's whole passes, and the ``rest`` of its budget."""
+    # Rows without an id are told apart, and so spread over the ranges, by their texts.
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     sized = settle(
         docs.select(
             F.col(id_col).alias("doc"),
@@ -101,7 +104,7 @@ def _placed(docs: DataFrame, weights, max_epochs, seed, id_col, text_col, source
             source_key(F.col(source_col)).alias("skey"),
             count_words(F.col(text_col)).alias("size"),
             F.xxhash64(text_col).alias("th"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"),
+            F.md5(F.concat(F.lit(f"{seed}:"), key)).alias("key"),
         )
     )
     largest = sized.groupBy("skey").count().agg(F.max("count")).first()[0] or 0

@@ -65,7 +65,7 @@ FROM passages p WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM whole w WHERE w.doc_
 SOURCE_MIX = rf"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
-    coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key
+    coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS key
   FROM documents
 ),
 sources AS (SELECT skey, sum(size)::BIGINT AS source_size FROM sized GROUP BY skey),

@@ -143,6 +143,15 @@ def test_mixing_caps_small_sources(spark):
     assert sum(r["taken"] for r in mixed) == 403
 
 
+def test_rows_without_an_id_spread_over_the_ranges(spark):
+    rows = [(None, f"a b {k}", "s") for k in range(400)] + [(k, "a b", None) for k in range(5)]
+    placed = mixing._placed(spark.createDataFrame(rows, "doc_id long, text string, source string"), (1, 2, 3), 3, "mix", "doc_id", "text", "source")
+    per = Counter(r["range"] for r in placed.where("source = 's'").collect())
+    assert len(per) == 16 and max(per.values()) < 60
+    ends = sorted((r["before"], r["before"] + r["size"]) for r in placed.where("source = 's'").collect())
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_mix_keeps_to_its_budget_where_rows_repeat(spark):
     ten, four = " ".join("abcdefghij"), "k l m n"
     rows = [(1, ten, "a", k % 3, len(ten)) for k in range(30)] + [(None, ten, "b", k, len(ten)) for k in range(30)]
@@ -202,7 +211,7 @@ def test_decontamination_equals_all_windows(spark, sf_dir):
             n = min(len(item), len(doc))
             for at in range(len(doc) - n + 1):
                 window = decontaminate.shingle_hashes(doc[at : at + n], decontaminate.WIDTH)
-                if np.isin(bags[k], window).mean() >= 0.5 and decontaminate.weighted_similarity(window, bags[k], weights, other, 0.0) >= 0.8:
+                if np.isin(bags[k], window).any() and decontaminate.weighted_similarity(window, bags[k], weights, other, 0.0) >= 0.8:
                     want.add((r["doc_id"], k))
                     break
     got = {(r["doc_id"], r["item_id"]) for r in queries.op7_benchmark_decontamination(spark, sf_dir).collect()}
