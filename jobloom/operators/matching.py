@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,32 +17,84 @@ MIN_CONCEPTS = 3
 
 def best_pairs(
     job_skills: DataFrame, candidate_skills: DataFrame, weights: DataFrame, norms: DataFrame, limit: int, digits: int | None = None,
-    job_block: int = 16_384, candidate_block: int = 2_048,
+    first_jobs: int = 4_096, job_block: int = 65_536, candidate_block: int = 4_096,
 ) -> DataFrame:
     """(candidate_id, job_id, matched, score): every pair that can be among its candidate's ``limit`` best, and few others.
 
     A pair's score is the sum of ``weights`` (concept, u) over its common concepts, by the norms (job_id, norm) of its job
-    and (candidate_id, own) of its candidate, rounded to ``digits``; higher ones come first, ties by job id. Of jobs with
-    the same concepts only the ``limit`` with the smallest ids can be among the best. Blocks of candidates meet blocks
-    of jobs; a task keeps its jobs as an index from concepts, adds up a candidate's scores over it, and lets only the
-    ``limit`` best of a block go on, so a concept that all share gives no rows of its own.
+    and (candidate_id, own) of its candidate, which hang on their concepts only, rounded to ``digits``; higher ones come
+    first, ties by job id. Without ``digits`` the weights are whole numbers, so that sums are exact.
+
+    Jobs with the same concepts stand for one another, as do candidates; only these kinds are compared. No pair scores more
+    than its common weight can be, so kinds of jobs are gone through from the greatest such bound in rounds that grow
+    fourfold from ``first_jobs``, and a candidate leaves once no kind that is left can change its best. In a round blocks of
+    candidates meet blocks of jobs; a task keeps its jobs as an index from concepts, adds up a candidate's scores over it,
+    and lets only what can be among the ``limit`` best so far go on.
     """
     job_norm, own_norm = norms
-    asked = job_skills.join(weights, "concept").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("concept", "u"))).alias("asks"))
-    alike = Window.partitionBy(F.xxhash64("asks.concept"), F.xxhash64(F.lit(1), "asks.concept")).orderBy("job_id")
-    jobs = settle(asked.withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= limit).drop("nth").join(job_norm, "job_id"))
-    held = candidate_skills.join(weights.select("concept"), "concept").groupBy("candidate_id").agg(F.collect_list("concept").alias("held"))
-    candidates = settle(held.join(own_norm, "candidate_id"))
+    spark = job_skills.sparkSession
+    coded = settle(weights.withColumn("code", F.monotonically_increasing_id()))
+    asked = job_skills.join(coded, "concept").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("code", "u"))).alias("asks"), F.sum("u").alias("most"))
+    same = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2")]
+    asked = asked.join(job_norm, "job_id").select("job_id", "asks", "norm", "most", *same("asks.code"))
+    alike = Window.partitionBy("h1", "h2").orderBy("job_id")
+    asked = asked.withColumn("nth", F.row_number().over(alike)).withColumn("kind", F.first("job_id").over(alike)).where(F.col("nth") <= limit)
+    asked = settle(asked.select("job_id", "kind", "norm", "most", F.when(F.col("nth") == 1, F.col("asks")).alias("asks")))
+    jobs = settle(asked.where("asks is not null").select("kind", "norm", "most", F.col("asks.code").alias("asks"), F.col("asks.u").alias("u"), (F.col("most") / F.col("norm")).alias("bound")))
+    held = candidate_skills.join(coded, "concept").groupBy("candidate_id").agg(F.array_sort(F.collect_list("code")).alias("held"), F.sum("u").alias("has"))
+    held = held.join(own_norm, "candidate_id").withColumns({"h1": same("held")[0], "h2": same("held")[1]})
+    person = F.first("candidate_id").over(Window.partitionBy("h1", "h2").orderBy("candidate_id"))
+    held = settle(held.withColumn("person", person).select("candidate_id", "person", "own", "has", F.when(F.col("person") == F.col("candidate_id"), F.col("held")).alias("held")))
+    members = held.select("candidate_id", "person")
+    empty = f"person {held.schema['person'].dataType.simpleString()}, kind {jobs.schema['kind'].dataType.simpleString()}, matched long, score double"
+    open_ = held.where("held is not null").select("person", "own", "has", "held", F.lit(0.0).alias("floor"))
+    done, found, rest, size = [], spark.createDataFrame([], empty), jobs, first_jobs
+    while True:
+        last = rest.count() <= 2 * size
+        now = rest if last else rest.orderBy(F.desc("bound"), "kind").limit(size)
+        now = settle(now)
+        met = settle(_ranked_kinds(_met(now, open_, limit, digits, job_block, candidate_block).unionByName(found), limit))
+        if last:
+            done.append(met)
+            break
+        rest = settle(rest.join(now.select("kind"), "kind", "left_anti"))
+        bounds = rest.agg(F.max("bound").alias("top"), F.min("norm").alias("least"), F.min("kind").alias("next")).first()
+        slack = 0.0 if digits is None else 0.5 * 10.0**-digits + 1e-9
+        most = F.least(F.lit(bounds["top"]), F.col("has") / F.lit(bounds["least"])) / F.col("own") * (1.0 if digits is None else 1 + 1e-9) + slack
+        best = met.groupBy("person").agg(F.count("*").alias("n"), F.min("score").alias("floor"), F.max_by("kind", "rank").alias("last"))
+        # Of equal scores the smaller job counts, so what is left must score more unless all its jobs come later.
+        settled = (F.col("n") >= limit) & ((F.col("floor") > most) | ((F.col("floor") >= most) & (F.col("last") < F.lit(bounds["next"]))))
+        left = open_.drop("floor").join(best, "person", "left")
+        left = left.where(~F.coalesce(settled, F.lit(False))).select("person", "own", "has", "held", F.when(F.col("n") >= limit, F.col("floor")).otherwise(0.0).alias("floor"))
+        open_ = settle(left)
+        done.append(met.join(open_.select("person"), "person", "left_anti"))
+        if open_.isEmpty():
+            break
+        found, size = met.join(open_.select("person"), "person", "left_semi").drop("rank"), 4 * size
+    kinds = functools.reduce(DataFrame.unionByName, [d.drop("rank") for d in done])
+    each = kinds.join(asked.select("kind", "job_id"), "kind")
+    nth = F.row_number().over(Window.partitionBy("person").orderBy(F.desc("score"), "job_id"))
+    each = each.withColumn("nth", nth).where(F.col("nth") <= limit)
+    return each.join(members, "person").select("candidate_id", "job_id", "matched", "score")
+
+
+def _ranked_kinds(scores: DataFrame, limit: int) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("person").orderBy(F.desc("score"), "kind"))
+    return scores.withColumn("rank", nth).where(F.col("rank") <= limit)
+
+
+def _met(jobs: DataFrame, candidates: DataFrame, limit: int, digits: int | None, job_block: int, candidate_block: int) -> DataFrame:
+    """(person, kind, matched, score): of each block of ``jobs`` the ``limit`` best of every candidate that reach its ``floor``."""
     n_jobs, n_candidates = max(1, -(-jobs.count() // job_block)), max(1, -(-candidates.count() // candidate_block))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = jobs.select("job_id", "norm", F.col("asks.concept").alias("asks"), F.col("asks.u").alias("u"), dealt("job_id", n_jobs).alias("jb"), all_of(n_candidates).alias("cb"))
-    right = candidates.select("candidate_id", "own", "held", dealt("candidate_id", n_candidates).alias("cb"), all_of(n_jobs).alias("jb"))
+    left = jobs.select("kind", "norm", "asks", "u", dealt("kind", n_jobs).alias("jb"), all_of(n_candidates).alias("cb"))
+    right = candidates.select("person", "own", "held", "floor", dealt("person", n_candidates).alias("cb"), all_of(n_jobs).alias("jb"))
 
     def run(jobs: pa.Table, candidates: pa.Table) -> pa.Table:
-        found = [(pa.array([], candidates.schema.field("candidate_id").type), pa.array([], jobs.schema.field("job_id").type), [], [])]
+        found = [(pa.array([], candidates.schema.field("person").type), pa.array([], jobs.schema.field("kind").type), [], [])]
         if jobs.num_rows and candidates.num_rows:
-            jobs, candidates = jobs.sort_by("job_id").combine_chunks(), candidates.combine_chunks()
+            jobs, candidates = jobs.sort_by("kind").combine_chunks(), candidates.combine_chunks()
             asks = jobs.column("asks").combine_chunks()
             concepts = asks.flatten().dictionary_encode()
             codes, u = concepts.indices.to_numpy(), jobs.column("u").combine_chunks().flatten().to_numpy()
@@ -51,6 +105,7 @@ def best_pairs(
             mine = candidates.column("held").combine_chunks()
             wanted = pc.index_in(mine.flatten(), value_set=concepts.dictionary).fill_null(-1).to_numpy()
             bounds = np.concatenate([[0], np.cumsum(mine.value_lengths().to_numpy())])
+            floors = candidates.column("floor").to_numpy()
             for k, own in enumerate(candidates.column("own").to_numpy()):
                 has = wanted[bounds[k] : bounds[k + 1]]
                 at = [slice(starts[c], ends[c]) for c in has[has >= 0]]
@@ -59,17 +114,23 @@ def best_pairs(
                 place = np.concatenate([of[x] for x in at])
                 score = np.bincount(place, np.concatenate([u[x] for x in at]), len(norm)) / (norm * own)
                 score = score if digits is None else np.round(score, digits)
-                some = np.unique(place) if len(place) < limit else np.flatnonzero(score >= max(np.partition(score, -limit)[-limit], 1e-300)) if len(score) > limit else np.flatnonzero(score)
+                if len(place) < limit:
+                    some = np.unique(place)
+                    some = some[score[some] >= floors[k]]
+                else:
+                    least = np.partition(score, -limit)[-limit] if len(score) > limit else 0.0
+                    some = np.flatnonzero(score >= max(least, floors[k], 1e-300))
                 top = some[np.argsort(-score[some], kind="stable")[:limit]]  # jobs stand in the order of their ids
-                matched = np.bincount(place, minlength=len(norm))[top]
-                found.append((candidates.column("candidate_id").take(pa.array(np.full(len(top), k))), jobs.column("job_id").take(pa.array(top)), matched, score[top]))
+                if len(top):
+                    matched = np.bincount(place, minlength=len(norm))[top]
+                    found.append((candidates.column("person").take(pa.array(np.full(len(top), k))), jobs.column("kind").take(pa.array(top)), matched, score[top]))
         ids, others, matched, score = zip(*found, strict=True)
         flat = lambda xs: pa.chunked_array([c for x in xs for c in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])])
         columns = [flat(ids), flat(others), pa.array(np.concatenate(matched).astype(np.int64)), pa.array(np.concatenate(score).astype(np.float64))]
-        return pa.table(columns, names=["candidate_id", "job_id", "matched", "score"])
+        return pa.table(columns, names=["person", "kind", "matched", "score"])
 
     kind = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
-    schema = f"{kind(candidates, 'candidate_id')}, {kind(jobs, 'job_id')}, matched long, score double"
+    schema = f"{kind(candidates, 'person')}, {kind(jobs, 'kind')}, matched long, score double"
     return left.groupBy("cb", "jb").cogroup(right.groupBy("cb", "jb")).applyInArrow(run, schema)
 
 

@@ -11,14 +11,11 @@ from jobloom.plans.registry import query
 from jobloom.session import settle, table
 from jobloom.sources import bindings as B
 
-def _skills(spark, sf_dir):
-    active = A.active_jobs(B.jobs(spark, sf_dir)).select(F.col("id").alias("job_id"))
-    return B.job_skills(spark, sf_dir).join(active, "job_id", "left_semi")
-
-
 def _sides(spark, sf_dir):
     """What active jobs ask for and all candidates have, as tables: both are read several times."""
-    return settle(_skills(spark, sf_dir)), settle(B.candidate_skills(spark, sf_dir))
+    every = settle(B.job_skills(spark, sf_dir))
+    active = A.active_jobs(B.jobs(spark, sf_dir)).select(F.col("id").alias("job_id"))
+    return settle(every.join(active, "job_id", "left_semi")), settle(B.candidate_skills(spark, sf_dir, every))
 
 
 _SIDES = f"""{B.with_tables('jobs', 'job_skills', 'candidate_skills')},

@@ -66,10 +66,10 @@ def job_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candidate_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (candidate_id, concept): what a customer's own orders name."""
+def candidate_skills(spark: SparkSession, sf_dir: str, skills: DataFrame | None = None) -> DataFrame:
+    """Distinct (candidate_id, concept): what a customer's own orders name; ``skills`` are ``job_skills``, if at hand."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("candidate_id"))
-    skills = job_skills(spark, sf_dir)
+    skills = job_skills(spark, sf_dir) if skills is None else skills
     return orders.join(skills, F.col("o_orderkey") == F.col("job_id")).select("candidate_id", "concept").distinct()
 
 

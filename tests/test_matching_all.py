@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from jobloom.operators import measure
+from jobloom.operators import matching, measure
 from jobloom.plans.catalogue import QUERIES
 from jobloom.sources import bindings as B
 
@@ -88,3 +88,27 @@ def test_intervals_hold_the_estimates(spark):
     assert out["one"]["high"] - out["one"]["low"] == pytest.approx(3.92 * error, rel=0.12)
     nothing = measure.bootstrap(scores.limit(0), both, rounds=10).collect()
     assert {(r["estimate"], r["low"]) for r in nothing} == {(None, None)}
+
+
+@pytest.mark.parametrize("digits", [None, 6])
+def test_only_the_best_pairs_leave_the_blocks(spark, digits):
+    rng = random.Random(11)
+    asks = {j: set(rng.sample("abcdefghij", rng.choice([1, 2, 2, 3, 5]))) for j in range(1, 90)}
+    has = {c: set(rng.sample("abcdefghijk", rng.choice([1, 3, 6]))) for c in range(1, 30)}
+    has |= {c + 100: own for c, own in has.items()}
+    rows = lambda of, key: spark.createDataFrame([(k, x) for k, own in of.items() for x in own], f"{key} long, concept string")
+    u = {x: 1.0 if digits is None else 1.0 + k / 7 for k, x in enumerate("abcdefghij")}
+    total = lambda own: sum(u.get(x, 0.0) for x in own)
+    norm = {j: total(own) if digits is None else math.sqrt(total(own)) for j, own in asks.items()}
+    own_norm = {c: 1.0 if digits is None else math.sqrt(total(own)) for c, own in has.items()}
+    norms = spark.createDataFrame(list(norm.items()), "job_id long, norm double"), spark.createDataFrame(list(own_norm.items()), "candidate_id long, own double")
+    weights = spark.createDataFrame(list(u.items()), "concept string, u double")
+    blocks = {"job_block": 7, "candidate_block": 5}
+    for more in ({}, {"first_jobs": 3}):
+        found = matching.best_pairs(rows(asks, "job_id"), rows(has, "candidate_id"), weights, norms, 4, digits, **blocks, **more).collect()
+        got = defaultdict(list)
+        for r in found:
+            got[r["candidate_id"]].append((-round(r["score"], 6), r["job_id"], r["matched"]))
+        for c, own in has.items():
+            scored = sorted((-round(total(own & x) / norm[j] / own_norm[c], 6), j, len(own & x)) for j, x in asks.items() if own & x)
+            assert sorted(got[c]) == scored[:4]
