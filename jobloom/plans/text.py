@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobloom.functions.sites import careers_site_name, linked_subdomains
+from jobloom.functions.sites import linked_subdomains, markup_title
 from jobloom.functions.text import normal_text, plain_text
 from jobloom.operators import boilerplate as P
 from jobloom.operators import cvs as V
@@ -296,7 +296,7 @@ def alias_problems(spark, sf_dir):
 @query(r"""SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages WHERE regexp_matches(html, '<title[^>]*>\s*[^<\s]', 'i')""")
 def site_titles(spark, sf_dir):
     """The title of every page that has one."""
-    return table(spark, sf_dir, "pages").select("page_id", careers_site_name(F.col("html")).alias("title")).where("title is not null")
+    return table(spark, sf_dir, "pages").select("page_id", markup_title(F.col("html")).alias("title")).where("title is not null")
 
 
 @query(

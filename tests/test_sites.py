@@ -61,3 +61,8 @@ def test_explanations_are_summed_up(spark):
 
 def test_forms_keep_symbols_that_are_no_punctuation():
     assert [extraction.plain_form(x) for x in ("(C#)", "§5 Law", "data‐Base_x", "'.NET'", "...", " - ")] == ["c#", "§5 law", "data base x", "net", "", ""]
+
+
+def test_a_page_title_keeps_references_that_markup_does_not_need(spark):
+    pages = ["<TITLE x='1'> a &amp;&lt;b&gt; &quot;c&quot; &amp;amp </TITLE>", "<title> d&amp</title>", "<title> </title>", "none", None]
+    assert values(spark, sites.markup_title, *pages) == ['a &<b> &quot;c&quot; &amp', "d&amp", None, None, None]
