@@ -85,7 +85,7 @@ def _run(spark, sf_dir):
 UNION ALL SELECT record_id, NULL, NULL, 'skipped', true, NULL, NULL FROM told WHERE job_id IS NULL"""
 )
 def run_folded(spark, sf_dir):
-    return _run(spark, sf_dir)[0].drop("arrival")
+    return _run(spark, sf_dir)[0].drop("arrival", "nth")
 
 
 @query(
