@@ -5,9 +5,11 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -308,20 +310,39 @@ def review_queue(candidates: DataFrame, owners: DataFrame, limit: int = 50) -> D
     )
 
 
-def ngram_frequencies(docs: DataFrame, longest: int = 3, least: int = 3, share: float = 0.25) -> DataFrame:
+# What a word of an n-gram is, and how many terms a task holds before it passes their counts on.
+_ASCII_WORD, HELD_TERMS = re.compile("[a-z0-9]+"), 300_000
+
+
+def _counted_terms(batches: Iterator[pa.RecordBatch], longest: int, held: int) -> Iterator[pa.RecordBatch]:
+    """(term, n) of lower-cased texts: of the n-grams that don't start or end on a stopword, how many texts have them. A term
+    comes again whenever ``held`` were passed on."""
+    told = lambda: pa.RecordBatch.from_pydict({"term": pa.array(counts, pa.string()), "n": pa.array(counts.values(), pa.int64())})
+    counts: Counter[str] = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            words = _ASCII_WORD.findall(text or "")
+            ends = [None if w in STOPWORDS else w for w in words]
+            runs, seen = ends, set(ends)
+            for n in range(1, longest):
+                runs = [r and f"{r} {w}" for r, w in zip(runs, words[n:])]
+                seen.update([r for r, last in zip(runs, ends[n:]) if last])
+            seen.discard(None)
+            counts.update(seen)
+            if len(counts) >= held:
+                yield told()
+                counts = Counter()
+    yield told()
+
+
+def ngram_frequencies(docs: DataFrame, longest: int = 3, least: int = 3, share: float = 0.25, held: int = HELD_TERMS) -> DataFrame:
     """(term, df): n-grams of 1 to ``longest`` ASCII tokens, not starting or ending on a stopword, in at least
-    ``least`` documents and at most ``share`` of them."""
-    stops = sorted(w for w in STOPWORDS if w.isascii())
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    cut = docs.select("id", F.explode(F.array(words)).alias("w"))
+    ``least`` documents and at most ``share`` of them.
 
-    def grams(n: int):
-        shifted = [F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - n + 1, F.lit(0))).alias(f"k{k}") for k in range(n)]
-        ends = lambda z: ~z["k0"].isin(stops) & ~z[f"k{n - 1}"].isin(stops)
-        return F.transform(F.filter(F.arrays_zip(*shifted), ends), lambda z: F.concat_ws(" ", *[z[f"k{k}"] for k in range(n)]))
-
-    per_n = [grams(n) for n in range(1, longest + 1)]
+    A task counts its texts' terms and passes the counts on, ``held`` terms at a time.
+    """
     total = docs.count()
-    terms = cut.select("id", F.explode(F.array_distinct(F.concat(*per_n))).alias("term"))
-    counts = terms.groupBy("term").agg(F.count("*").alias("df"))
+    found = docs.select(F.lower("text").alias("text")).mapInArrow(lambda batches: _counted_terms(batches, longest, held), "term string, n long")
+    # Dealt out by term first: adding up once more before the shuffle would find few equal terms.
+    counts = found.repartition("term").groupBy("term").agg(F.sum("n").alias("df"))
     return counts.where((F.col("df") >= least) & (F.col("df") <= F.lit(share * total)))
