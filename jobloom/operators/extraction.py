@@ -239,9 +239,12 @@ def plan_skills(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return skills, loose
 
 
-# The tokens of a proposal by kind, what is a word where capitals are counted, and what ends a sentence.
-_KINDS = re.compile(rf"(?P<marked>{PUNCTUATED})|(?P<capital>{CAPITALISED})|[\wÀ-ɏ]+")
-_WORDS = re.compile(r"[A-Za-zÀ-ɏ][\wÀ-ɏ]*")
+# The next token that punctuation or a capital may name, past all others, or the text's end, and the same where
+# capitals name nothing; the first letters of words where capitals are counted; and what ends a sentence.
+_OTHERS = rf"(?:{{0}}[\wÀ-ɏ]*+(?![./+#])|(?!{{1}}{PUNCTUATED})[\wÀ-ɏ]+|[^\wÀ-ɏ]+)*+(?:({PUNCTUATED})|{{2}}\Z)"
+_NAMES = re.compile(_OTHERS.format("[a-zß-ɏ_0-9]", "[A-ZÀ-Þ]|", f"({CAPITALISED})|"))
+_MARKS = re.compile(_OTHERS.format(r"[\wÀ-ɏ]", "", ""))
+_FIRSTS = re.compile(r"([A-Za-zÀ-ɏ])[\wÀ-ɏ]*")
 ENDS, LOOKED_BACK = ".!?:;)]", 40
 
 
@@ -252,20 +255,22 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
     end of the text each token learns how many named ones follow it without a break; a proposal is a token with a
     reach of that many at most.
     """
-    capitals = [w[0].isupper() for w in _WORDS.findall(text)]
-    kinds = {"marked"} if len(capitals) >= MEASURABLE and sum(capitals) > GRAMMATICAL * len(capitals) else {"marked", "capital"}
-    spans, reach, after = [], [], 0
-    for m in reversed(list(_KINDS.finditer(text))):
-        touches = bool(spans) and not text[m.end() : spans[-1][0]].strip()
-        named = m.lastgroup in kinds and m.group().casefold() not in STOPWORDS
-        after = (1 + after * touches) if named else 0
-        spans.append(m.span())
+    firsts = _FIRSTS.findall(text)
+    dense = len(firsts) >= MEASURABLE and sum(map(str.isupper, firsts)) > GRAMMATICAL * len(firsts)
+    spans = []
+    for m in (_MARKS if dense else _NAMES).finditer(text):
+        kind = m.lastindex
+        if kind and m.group(kind).casefold() not in STOPWORDS:
+            spans.append(m.span(kind))
+    # What stands between two named tokens is blank only if they are neighbours.
+    reach, after, follows = [], 0, len(text)
+    for begin, end in reversed(spans):
+        after = 1 + after * (after > 0 and not text[end:follows].strip())
+        follows = begin
         reach.append(after)
-    spans.reverse()
     reach.reverse()
     found = []
-    for k in (k for k, n in enumerate(reach) if n):
-        begin = spans[k][0]
+    for k, (begin, _) in enumerate(spans):
         before = text[max(0, begin - LOOKED_BACK) : begin]
         said = before.rstrip()
         opens = not said or said[-1] in ENDS or "\n" in before[len(said) :]
@@ -277,12 +282,16 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
 def propose_candidates(docs: DataFrame) -> DataFrame:
     """(id, surface_form, start, end): proposed terms of every text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *p) for i, text in zip(batch["id"], batch["text"]) if text for p in proposals(text)]
-            yield pd.DataFrame(rows, columns=["id", "surface_form", "start", "end"])
-
-    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, surface_form string, start int, end int")
+            for at in range(0, batch.num_rows, 1_000):
+                piece = batch.slice(at, 1_000)
+                rows = [(k, *p) for k, text in enumerate(piece.column("text").to_pylist()) if text for p in proposals(text)]
+                k, *found = zip(*rows) if rows else ((),) * 4
+                columns = [piece.column("id").take(pa.array(k, pa.int32())), *map(pa.array, found, (pa.string(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "surface_form", "start", "end"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, surface_form string, start int, end int")
 
 
 def unknown_terms(candidates: DataFrame, known: DataFrame) -> DataFrame:

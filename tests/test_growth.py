@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
-from jobloom.operators import extraction
+from pyspark.sql import functions as F
+
+from jobloom.functions.text import blocks, folded
+from jobloom.operators import boilerplate, extraction
 
 
 def test_terms_are_counted_alike_however_few_a_task_holds(spark):
@@ -21,3 +25,54 @@ def test_terms_are_counted_alike_however_few_a_task_holds(spark):
     for held in (1, 7, 1_000):
         rows = extraction.ngram_frequencies(docs, longest=4, least=2, share=0.5, held=held).collect()
         assert {r["term"]: r["df"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_a_backfill_deals_no_texts_out(spark):
+    rows = [(k, f"Acme{k % 3} GmbH", f"Acme{k % 3} builds tools.\nText {k}") for k in range(40)]
+    postings = spark.createDataFrame(rows, "posting_id long, employer string, description string")
+    changes = boilerplate.rewrites(postings, boilerplate.removable_stored(postings))
+    assert {(r["posting_id"], r["description"], r["removed_blocks"]) for r in changes.collect()} == {(k, f"Text {k}", 1) for k in range(40)}
+    plan = changes._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
+def test_blocks_are_trimmed_and_folded_as_their_patterns_say(spark):
+    texts = [" \t a  b  \r\n\n\x0b c \f  d \n", "Straße\nSTRASSE ẞ\nﬁx", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(blocks(F.col("t")).alias("b"), F.transform(blocks(F.col("t")), folded).alias("f")).collect()
+    assert [r["b"] for r in rows] == [["a  b ", "c", " d "], ["Straße", "STRASSE ẞ", "ﬁx"], [], []]
+    assert [r["f"] for r in rows] == [[" a b ", " c ", " d "], [" strasse ", " strasse ss ", " fix "], [], []]
+
+
+def plain_proposals(text):
+    """Proposals token by token, as they are described."""
+    words = re.findall(r"[A-Za-zÀ-ɏ][\wÀ-ɏ]*", text)
+    dense = len(words) >= 30 and sum(w[0].isupper() for w in words) > 0.25 * len(words)
+    kinds = re.compile(rf"(?P<marked>{extraction.PUNCTUATED})|(?P<capital>{extraction.CAPITALISED})|[\wÀ-ɏ]+")
+    tokens = list(kinds.finditer(text))
+    named = [bool(m.lastgroup) and not (dense and m.lastgroup == "capital") and m.group().casefold() not in extraction.STOPWORDS for m in tokens]
+    found = []
+    for k, m in enumerate(tokens):
+        before = text[max(0, m.start() - 40) : m.start()]
+        said = before.rstrip()
+        opens = not said or said[-1] in ".!?:;)]" or "\n" in before[len(said) :]
+        for n in range(4):
+            run = tokens[k : k + n + 1]
+            if len(run) <= n or not all(named[k : k + n + 1]) or any(text[a.end() : b.start()].strip() for a, b in zip(run, run[1:])):
+                break
+            if n or not opens:
+                found.append((text[m.start() : run[-1].end()], m.start(), run[-1].end()))
+    return found
+
+
+def test_proposals_pass_over_plain_words_without_loss(spark):
+    rng = random.Random(11)
+    signs = [*"aBcD.+/# \n×÷ÀßÞ_1é!:İɐ", *" " * 5, "The ", " Foo", "Kafka ", " c++", " a.b"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(1, 160))) for _ in range(3_000)]
+    want = [plain_proposals(t) for t in texts]
+    assert [extraction.proposals(t) for t in texts] == want
+    docs = spark.createDataFrame([*enumerate(texts[:300]), (300, None)], "id long, text string")
+    rows = extraction.propose_candidates(docs).collect()
+    assert sorted((r["id"], r["start"], r["end"], r["surface_form"]) for r in rows) == sorted((k, a, b, t) for k, p in enumerate(want[:300]) for t, a, b in p)
+    # A long text of plain words is gone through once.
+    assert extraction.proposals("word " * 400_000 + "Kafka") == [("Kafka", 2_000_000, 2_000_005)]
+    assert "MapInArrow" in extraction.propose_candidates(docs)._jdf.queryExecution().executedPlan().toString()
