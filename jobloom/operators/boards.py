@@ -56,17 +56,20 @@ _ROW = ("status", "company_id", "kind", "pinned", "failures")
 
 
 def _fold(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Events sorted by slug and order; only the row of the current slug is held, however many claims it has."""
+    """Events sorted by slug and order, with the board's row, if any, in front as part -1; only the row of the current slug is
+    held, however many claims it has."""
     slug, row = None, None
     for batch in batches:
         out = []
         for e in batch.to_pylist():
             if e["slug"] != slug:
-                slug, row = e["slug"], {c: e[c] for c in _ROW}
-            second, toward = e["part"] == 1, standing(row["status"], row["company_id"], row["pinned"], e["claimant"])
+                slug, row = e["slug"], {c: e[c] for c in _ROW} | {"pinned": e["pinned"] or False, "failures": e["failures"] or 0}
+            second, toward, outcome = e["part"] == 1, None, None
+            if e["part"] >= 0:
+                toward = standing(row["status"], row["company_id"], row["pinned"], e["claimant"])
             if toward in ("shut", "pinned") or (second and not e["allowed"]):
                 outcome = "pinned_reported" if toward == "pinned" and not second else "unchanged"
-            else:
+            elif toward:
                 ladder = NAMED_BY_ANOTHER if second else PROBED
                 status, kind, anew, outcome = ladder[toward].get(e["answer"], _FIRST[e["answer"]])
                 if outcome == "demoted" and e["answer"] == "unverifiable" and row["kind"] in STATED_NAME:
@@ -75,7 +78,7 @@ def _fold(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
                     "status": status or row["status"], "company_id": e["claimant"], "kind": kind or row["kind"], "pinned": row["pinned"],
                     "failures": 0 if anew else row["failures"],
                 }
-            out.append({"slug": slug, "probe": e["probe"], "part": e["part"], "toward": toward, "outcome": outcome, **row})
+            out.append({c: e[c] for c in ("slug", "probe", "part", "claimant", "answer", "allowed")} | {"toward": toward, "outcome": outcome, **(row if toward else {c: e[c] for c in _ROW})})
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
@@ -90,7 +93,8 @@ def register(probes: DataFrame, boards: DataFrame) -> tuple[DataFrame, DataFrame
 
     Claims on one slug are taken in the order of the probes. Whether a probe's other board is written hangs on another slug's
     row, so all slugs are gone through again until no such decision changes; each round settles at least the earliest open
-    one. The rows come back for the slugs that a probe named or that stood in ``boards``.
+    one. Rows and claims go through a round together and a probe's two claims meet in a window, so no table is joined or sent
+    to the driver. The rows come back for the slugs that a probe named or that stood in ``boards``.
 
     Defined cases: probes are unique whole numbers and slugs not null; a null answer is ``unreachable``; another board equal to the
     guess, or with a null answer, isn't written.
@@ -102,29 +106,38 @@ def register(probes: DataFrame, boards: DataFrame) -> tuple[DataFrame, DataFrame
     other = probes.where(leads).select(
         F.col("other_slug").alias("slug"), "probe", F.lit(1).alias("part"), F.col("company_id").cast("long").alias("claimant"), F.col("other_answer").alias("answer"), F.lit(True).alias("allowed")
     )
-    events = settle(main.unionByName(other))
+    none = [F.lit(None).cast(t).alias(c) for c, t in fields.items()]
     held = boards.select("slug", *[F.col(c).cast(t).alias(c) for c, t in fields.items()])
-    schema = "slug string, probe long, part int, toward string, outcome string, " + ", ".join(f"{c} {t}" for c, t in fields.items())
+    of_held = held.select(
+        "slug", F.lit(None).cast("long").alias("probe"), F.lit(-1).alias("part"), F.lit(None).cast("long").alias("claimant"), F.lit(None).cast("string").alias("answer"),
+        F.lit(True).alias("allowed"), *fields,
+    )
+    claims = main.unionByName(other).select("slug", F.col("probe").cast("long").alias("probe"), "part", "claimant", "answer", "allowed", *none)
+    events = settle(claims.unionByName(of_held))
+    schema = "slug string, probe long, part int, claimant long, answer string, allowed boolean, toward string, outcome string, " + ", ".join(f"{c} {t}" for c, t in fields.items())
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     arrow = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))])
     fold = lambda batches: _fold(batches, arrow)
+    guess = lambda c: F.max(F.when(F.col("part") == 0, F.col(c))).over(Window.partitionBy("probe"))
     while True:
-        met = events.join(held, "slug", "left").withColumn("pinned", F.coalesce("pinned", F.lit(False))).withColumn("failures", F.coalesce("failures", F.lit(0)))
-        done = settle(met.repartition("slug").sortWithinPartitions("slug", "probe", "part").mapInArrow(fold, schema))
-        first = done.where("part = 0").select("probe", "toward")
-        answers = main.select("probe", F.col("answer").alias("guess"))
-        may = first.join(answers, "probe").select("probe", (~F.col("toward").isin("shut", "pinned") & ((F.col("guess") == "unverifiable") | (F.col("toward") != "trusted"))).alias("may"))
-        again = events.join(may, "probe").withColumn("now", (F.col("part") == 0) | F.col("may"))
+        done = settle(events.repartition("slug").sortWithinPartitions("slug", F.col("part") >= 0, "probe", "part").mapInArrow(fold, schema))
+        met = done.where("part >= 0").withColumns({"first": guess("toward"), "guess": guess("answer")})
+        may = ~F.col("first").isin("shut", "pinned") & ((F.col("guess") == "unverifiable") | (F.col("first") != "trusted"))
+        again = met.select("slug", "probe", "part", "claimant", "answer", ((F.col("part") == 0) | may).alias("now"), "allowed")
+        again = settle(again)
         if again.where("now <> allowed").isEmpty():
+            discard(again, events)
             break
-        before, events = events, settle(again.select("slug", "probe", "part", "claimant", "answer", F.col("now").alias("allowed")))
-        discard(before, done)
-    both = done.where("part = 0").select("probe", "outcome").join(main.select("probe", "answer"), "probe")
-    both = both.join(done.where("part = 1").select("probe", F.col("outcome").alias("named")), "probe", "left")
+        discard(events, done)
+        before = again.select("slug", "probe", "part", "claimant", "answer", F.col("now").alias("allowed"), *none)
+        events = before.unionByName(of_held)
+        events.settled_in = again.settled_in
+    of = lambda c, part: F.max(F.when(F.col("part") == part, F.col(c)))
+    both = done.where("part >= 0").groupBy("probe").agg(of("outcome", 0).alias("outcome"), of("answer", 0).alias("answer"), of("outcome", 1).alias("named"))
     located = F.when(F.col("named") == "reactivated", "located_reactivated").otherwise("located")
     result = F.when(F.coalesce("named", F.lit("unchanged")) == "unchanged", F.col("outcome")).when(F.col("answer") == "not_found", located).otherwise(F.col("named"))
-    last = done.groupBy("slug").agg(F.max_by(F.struct(*fields), F.struct("probe", "part")).alias("row")).select("slug", "row.*")
-    rows = last.unionByName(held.join(last.select("slug"), "slug", "left_anti")).where("status is not null")
+    place = F.struct(F.col("part") >= 0, "probe", "part")
+    rows = done.groupBy("slug").agg(F.max_by(F.struct(*fields), place).alias("row")).select("slug", "row.*").where("status is not null")
     return both.select("probe", result.alias("outcome")), rows
 
 

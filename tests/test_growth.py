@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import blocks, folded
-from jobloom.operators import boilerplate, extraction
+from jobloom.operators import boards, boilerplate, extraction
 
 
 def test_terms_are_counted_alike_however_few_a_task_holds(spark):
@@ -76,3 +76,19 @@ def test_proposals_pass_over_plain_words_without_loss(spark):
     # A long text of plain words is gone through once.
     assert extraction.proposals("word " * 400_000 + "Kafka") == [("Kafka", 2_000_000, 2_000_005)]
     assert "MapInArrow" in extraction.propose_candidates(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_probes_are_registered_without_a_table_sent_to_the_driver(spark):
+    pick = lambda xs, k: xs[k % len(xs)]
+    answers, named = ("unverifiable", "not_found", "confirmed", "named", None), ("confirmed", "named", None, "wrong_company")
+    probes = [(k, k % 5, f"s{k * 7 % 11}", pick(answers, k // 3), f"s{(k * 5 + 1) % 11}", pick(named, k)) for k in range(200)]
+    held = [(f"s{k}", pick(("confirmed", "inactive", "blocked", "candidate"), k), k % 3, None, None if k % 2 else False, None) for k in range(0, 20, 2)]
+    boards_ = spark.createDataFrame(held, "slug string, status string, company_id long, kind string, pinned boolean, failures int")
+    made = spark.createDataFrame(probes, "probe long, company_id long, slug string, answer string, other_slug string, other_answer string")
+    outcomes, rows = boards.register(made.repartition(3), boards_)
+    for df in (outcomes, rows, boards.tallied(outcomes)):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert outcomes.count() == outcomes.distinct().count() == 200
+    after = {r["slug"]: tuple(r)[1:] for r in rows.collect()}
+    # Boards that no probe named are as they were.
+    assert all(after[s] == tuple(rest) for s, *rest in held if int(s[1:]) >= 11)
