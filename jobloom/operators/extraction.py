@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from jobloom.functions.text import normal_text
+from jobloom.session import settle
 
 # Token shapes and the words that never name a skill.
 PUNCTUATED = r"[A-Za-z]\w*(?:[./][A-Za-z]\w*)+|[A-Za-z]\w*[+#]+"
@@ -44,7 +45,7 @@ def form(values: pd.Series) -> pd.Series:
 
 def load_vocabulary(surface_forms: DataFrame) -> DataFrame:
     """(form, concept, words): concept is null where a form names several concepts. A form without a term raises."""
-    named = surface_forms.withColumn("form", form(F.col("surface_form")))
+    named = settle(surface_forms.select("surface_form", "concept", form(F.col("surface_form")).alias("form")))
     blank = named.where(F.coalesce(F.col("form"), F.lit("")) == "").select("surface_form").first()
     if blank is not None:
         raise ValueError(f"surface form without a term: {blank[0]!r}")
@@ -83,8 +84,11 @@ def checked_aliases(concepts: DataFrame, surface_forms: DataFrame) -> DataFrame:
 def gold_resolution(gold: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(gold_mentions, resolved_mentions, rate) of ``gold`` (mention, labels array): a mention resolves if one of its labels is a
     form of the vocabulary, ambiguous or not. Without mentions the rate is 0."""
-    labels = gold.select("mention", F.explode("labels").alias("term")).withColumn("form", form(F.col("term")))
-    hit = labels.join(vocabulary.select("form"), "form", "left_semi").select("mention").distinct()
+    labels = settle(gold.select("mention", F.explode("labels").alias("term")))
+    # Labels are brought to their normal form once each, however often they occur.
+    terms = settle(labels.select("term").distinct()).withColumn("form", form(F.col("term")))
+    known = terms.join(vocabulary.select("form"), "form", "left_semi").select("term")
+    hit = labels.join(known, "term", "left_semi").select("mention").distinct()
     told = gold.agg(F.count("*").alias("gold_mentions")).join(hit.agg(F.count("*").alias("resolved_mentions")))
     return told.withColumn("rate", F.when(F.col("gold_mentions") > 0, F.col("resolved_mentions") / F.col("gold_mentions")).otherwise(0.0))
 

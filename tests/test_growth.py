@@ -92,3 +92,12 @@ def test_probes_are_registered_without_a_table_sent_to_the_driver(spark):
     after = {r["slug"]: tuple(r)[1:] for r in rows.collect()}
     # Boards that no probe named are as they were.
     assert all(after[s] == tuple(rest) for s, *rest in held if int(s[1:]) >= 11)
+
+
+def test_labels_are_normalised_once_each(spark):
+    vocabulary = extraction.load_vocabulary(spark.createDataFrame([("Apache-Kafka", "kafka"), ("SQL", "sql"), ("sql", "query")], "surface_form string, concept string"))
+    rows = [(1, ["apache kafka!", "x"]), (2, ["Sql"]), (3, ["none", None]), (4, []), (5, None), (6, ["sql", "SQL"]), (6, ["SQL"])]
+    told = extraction.gold_resolution(spark.createDataFrame(rows, "mention long, labels array<string>"), vocabulary)
+    assert tuple(told.first())[:2] == (7, 3)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"ArrowEvalPython \[form\(term.*\n(\W*Filter.*\n)?\W*Relation \[term#\d+\]", plan)
