@@ -6,10 +6,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import blocks, folded
-from jobloom.operators import boards, boilerplate, extraction
+from jobloom.operators import boards, boilerplate, extraction, matching
 
 
 def test_terms_are_counted_alike_however_few_a_task_holds(spark):
@@ -101,3 +104,27 @@ def test_labels_are_normalised_once_each(spark):
     assert tuple(told.first())[:2] == (7, 3)
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"ArrowEvalPython \[form\(term.*\n(\W*Filter.*\n)?\W*Relation \[term#\d+\]", plan)
+
+
+@pytest.mark.parametrize("words", [12, 64, 200])
+@pytest.mark.parametrize("digits", [None, 6])
+def test_masks_of_concepts_lose_no_best_pair(words, digits):
+    rng = np.random.default_rng(words)
+    weight = np.ones(words) if digits is None else 1 + rng.random(words)
+    sets = lambda n, most: [np.sort(rng.choice(words, rng.integers(1, most), replace=False)) for _ in range(n)]
+    asks, held, limit = sets(3_000, 9), sets(150, 12), 4
+    norm = np.array([weight[a].sum() if digits is None else np.sqrt(weight[a].sum()) for a in asks])
+    has = np.array([weight[h].sum() for h in held])
+    own = np.ones(len(held)) if digits is None else np.sqrt(has)
+    ids = rng.permutation(len(asks))
+    lists = lambda xs, kind: pa.array([x.tolist() for x in xs], pa.list_(kind))
+    jobs = pa.table({"kind": ids, "norm": norm, "asks": lists(asks, pa.int64()), "u": lists([weight[a] for a in asks], pa.float64())})
+    people = pa.table({"person": np.arange(len(held)), "own": own, "has": has, "held": lists(held, pa.int64()), "floor": np.zeros(len(held))})
+    want = []
+    for k, h in enumerate(held):
+        mine = set(h.tolist())
+        common = [[c for c in a.tolist() if c in mine] for a in asks]
+        scored = sorted((-round(weight[c].sum() / (norm[j] * own[k]), digits or 12), ids[j], len(c)) for j, c in enumerate(common) if c)
+        want += [(k, j, n, -s) for s, j, n in scored[:limit]]
+    columns = [c.to_pylist() for c in matching._best_of_blocks(jobs, people, limit, digits)]
+    assert sorted((p, j, n, round(s, digits or 12)) for p, j, n, s in zip(*columns)) == sorted(want)
