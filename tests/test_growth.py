@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import blocks, folded
-from jobloom.operators import boards, boilerplate, extraction, matching
+from jobloom.operators import boards, boilerplate, extraction, identity, matching
 
 
 def test_terms_are_counted_alike_however_few_a_task_holds(spark):
@@ -128,3 +128,29 @@ def test_masks_of_concepts_lose_no_best_pair(words, digits):
         want += [(k, j, n, -s) for s, j, n in scored[:limit]]
     columns = [c.to_pylist() for c in matching._best_of_blocks(jobs, people, limit, digits)]
     assert sorted((p, j, n, round(s, digits or 12)) for p, j, n, s in zip(*columns)) == sorted(want)
+
+
+def test_texts_that_share_too_few_parts_do_not_meet(spark):
+    rng = random.Random(3)
+    words = [[f"w{k}", *rng.sample([f"common{c}" for c in range(30)], 5), *(f"own{k}x{c}" for c in range(45))] for k in range(60)]
+    near = [["a"], [f"n{c}" for c in range(50)], [f"n{c}" for c in range(48)]]
+    df = spark.createDataFrame([(k, "key", w, [], False) for k, w in enumerate(words + near)], "id long, match_key string, vocabulary array<string>, cities array<string>, partial boolean")
+    assert {r["id"] for r in identity.meeting_words(df).select("id").distinct().collect()} == {61, 62}
+    pairs = identity.block_pairs(df, df, lambda mine, other: mine > other).collect()
+    assert [tuple(r) for r in pairs] == [(62, 61, 0.96)]
+
+
+def test_words_of_records_with_a_lone_key_are_not_read(spark):
+    def told(text):
+        if text.startswith("lone"):
+            raise ValueError("a text that nothing can agree with")
+        return text.split()
+
+    rows = [(1, "a", "x y z"), (2, "a", "z y x"), (3, "b", "lone b"), (4, None, "lone"), (5, "c", "lone c")]
+    df = spark.createDataFrame(rows, "id long, match_key string, text string")
+    df = df.withColumns({"partial": F.lit(False), "cities": F.array().cast("array<string>")})
+    read = lambda sides: [x.withColumn("vocabulary", F.udf(told, "array<string>")("text")) for x in sides]
+    (own,) = read(identity.rivalled(df))
+    assert {tuple(r)[:2] for r in identity.block_pairs(own, own).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    left, right = read(identity.rivalled(df.where("id in (1, 3)"), df.where("id in (2, 5)")))
+    assert [tuple(r) for r in identity.block_matches(left, right).collect()] == [(1, 1, 2)]
